@@ -171,56 +171,85 @@ def span_in_chunk(spans: DataFrame, chunks: DataFrame) -> DataFrame:
         ).drop("c_start", "c_end", "chunk")
 
 
-def term_statistics(chunks: DataFrame, scope: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _okapi(tf: Column, dl: Column, avgdl: Column, idf: Column, qtf: Column) -> Column:
+    return qtf * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _raw_idf(n: Column, df: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5))
+
+
+def term_statistics(chunks: DataFrame) -> DataFrame:
     """Frequency of each token in each chunk with the figures ranking needs.
 
-    With the default scope each document is its own collection. All groupings
-    refine the scope, so they share one exchange on it.
+    Each document is its own collection. All figures are windows inside a
+    document, so the tokens move once and nothing is computed twice.
     """
-    tokens = chunks.select("doc_id", "chunk_index", tokenize("chunk").alias("t"))
-    whole = not scope
-    if whole:
-        # One collection: a constant key, so each figure is a small equi-join.
-        tokens, scope = tokens.withColumn("_all", F.lit(0)), ("_all",)
-    else:
-        tokens = tokens.repartition(*scope)
-    keys = list(dict.fromkeys((*scope, "doc_id", "chunk_index")))
-    sizes = tokens.select(*keys, F.size("t").alias("dl"))
-    totals = sizes.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
-    tf = tokens.select(*keys, F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy(
-        *keys, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("df")).join(totals, list(scope))
-    df = df.withColumn("raw_idf", F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = df.groupBy(*scope).agg((F.avg("raw_idf") * IDF_FLOOR_SHARE).alias("floor"))
+    doc = Window.partitionBy("doc_id")
+    tokens = chunks.select("doc_id", "chunk_index", tokenize("chunk").alias("t")).repartition("doc_id")
+    sized = tokens.withColumn("dl", F.size("t")).withColumn(
+        "n_chunks", F.count(F.lit(1)).over(doc)).withColumn("avgdl", F.avg("dl").over(doc))
+    keys = ["doc_id", "chunk_index", "dl", "n_chunks", "avgdl"]
+    tf = sized.select(*keys, F.explode("t").alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
+    tf = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "token")))
+    raw = _raw_idf(F.col("n_chunks"), F.col("df"))
+    # Mean weight of the distinct tokens: each row stands for 1/df of its token.
+    mean = F.sum(raw / F.col("df")).over(doc) / F.sum(1 / F.col("df")).over(doc)
     # Tokens of more than half of the chunks get a share of the mean weight.
-    df = df.join(mean, list(scope)).withColumn(
-        "idf", F.when(F.col("raw_idf") < 0, F.col("floor")).otherwise(F.col("raw_idf")))
-    out = tf.join(df.select(*scope, "token", "df", "n_chunks", "avgdl", "idf"), [*scope, "token"])
-    return out.drop("_all") if whole else out
-
+    return tf.withColumn("_raw", raw).withColumn("_floor", mean * IDF_FLOOR_SHARE).withColumn(
+        "idf", F.when(F.col("_raw") < 0, F.col("_floor")).otherwise(F.col("_raw"))).drop("_raw", "_floor")
 
-def rank_passages(queries: DataFrame, chunks: DataFrame, top: int = TOP_CHUNKS,
-                  min_score: float = MIN_SCORE, scope: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Best chunks of each query by BM25. Chunks below the least score are
-    dropped after ranking, not before.
 
-    `queries` has query_id, the scope columns and `terms`. A token repeated in
-    the query counts each time.
-    """
-    asked = queries.select("query_id", *scope, F.explode("terms").alias("token")).groupBy(
-        "query_id", *scope, "token").agg(F.count(F.lit(1)).alias("qtf"))
-    if scope:
-        chunks = chunks.join(queries.select(*scope).distinct(), list(scope), "left_semi")
-    stats = term_statistics(chunks, scope)
-    weight = (F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1)
-              / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    scored = asked.join(stats, [*scope, "token"]).groupBy("query_id", "doc_id", "chunk_index").agg(
-        F.sum(weight).alias("score"))
+def _top(scored: DataFrame, top: int, min_score: float) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id", "chunk_index")
     return (scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
             .where(F.col("score") >= min_score))
 
 
+def _asked(queries: DataFrame, *scope: str) -> DataFrame:
+    return queries.select("query_id", *scope, F.explode("terms").alias("token")).groupBy(
+        "query_id", *scope, "token").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def rank_passages(queries: DataFrame, chunks: DataFrame, top: int = TOP_CHUNKS,
+                  min_score: float = MIN_SCORE) -> DataFrame:
+    """Best chunks of each query within its own document, by BM25. Chunks below
+    the least score are dropped after ranking, not before.
+
+    `queries` has query_id, doc_id and `terms`; a repeated term counts each time.
+    """
+    wanted = chunks.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+    weight = _okapi(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), F.col("qtf"))
+    scored = _asked(queries, "doc_id").join(term_statistics(wanted), ["doc_id", "token"]).groupBy(
+        "query_id", "doc_id", "chunk_index").agg(F.sum(weight).alias("score"))
+    return _top(scored, top, min_score)
+
+
+def rank_corpus(queries: DataFrame, chunks: DataFrame, top: int = TOP_CHUNKS,
+                min_score: float = MIN_SCORE) -> DataFrame:
+    """Best chunks of each query among all documents.
+
+    Document frequencies come from the distinct tokens of each chunk, counted
+    before the shuffle; only tokens some query asks for are scored.
+    """
+    sized = chunks.select("doc_id", "chunk_index", tokenize("chunk").alias("t")).withColumn("dl", F.size("t"))
+    one = F.lit(0).alias("_all")
+    totals = sized.groupBy(one).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
+    df = sized.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("df")).withColumn("_all", F.lit(0)).join(totals, "_all")
+    df = df.withColumn("raw", _raw_idf(F.col("n_chunks"), F.col("df")))
+    floor = df.groupBy("_all").agg((F.avg("raw") * IDF_FLOOR_SHARE).alias("floor"))
+    asked = _asked(queries)
+    weights = df.join(asked.select("token").distinct(), "token", "left_semi").join(floor, "_all").select(
+        "token", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    tf = sized.select("doc_id", "chunk_index", "dl", F.explode("t").alias("token")).join(
+        weights, "token").groupBy("doc_id", "chunk_index", "dl", "token", "avgdl", "idf").agg(
+            F.count(F.lit(1)).alias("tf"))
+    weight = _okapi(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), F.col("qtf"))
+    scored = tf.join(asked, "token").groupBy("query_id", "doc_id", "chunk_index").agg(F.sum(weight).alias("score"))
+    return _top(scored, top, min_score)
+
+
 def keyword_topk(queries: DataFrame, chunks: DataFrame, top: int = TOP_CHUNKS) -> DataFrame:
     """Share of the query's distinct tokens that a chunk holds."""
     q = queries.select("query_id", "doc_id", F.array_distinct("terms").alias("q"))

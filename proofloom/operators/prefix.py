@@ -63,3 +63,95 @@ def first_n_per_key(df: DataFrame, keys: Sequence[str], n: int, *order: Column)
     w = Window.partitionBy(*keys).orderBy(*order)
     return (df.withColumn("_rank", F.row_number().over(w))
             .where(F.col("_rank") <= n).drop("_rank"))
+
+
+def trailing_rows(df: DataFrame, keys: Sequence[str], order: str, back: int,
+                  value: Column, name: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The `value` of the `back` rows before each row, oldest first.
+
+    Rows are numbered, cut into buckets, and the last rows of a bucket are
+    copied into the next one, so no window spans a whole group.
+    """
+    if bucket_rows <= back:
+        raise ValueError("a bucket must hold more rows than the frame looks back")
+    keys = list(keys)
+    numbered = number_rows(df, keys, order, "_n", bucket_rows).withColumn("_value", value)
+    own = F.floor((F.col("_n") - 1) / F.lit(bucket_rows))
+    closing = (F.col("_n") - 1) % bucket_rows >= bucket_rows - back
+    spread = numbered.withColumn("_own", own).withColumn(
+        "_part", F.explode(F.when(closing, F.array(own, own + 1)).otherwise(F.array(own))))
+    frame = Window.partitionBy(*keys, "_part").orderBy("_n").rowsBetween(-back, -1)
+    return (spread.withColumn(name, F.collect_list("_value").over(frame))
+            .where(F.col("_part") == F.col("_own")).drop("_n", "_value", "_own", "_part"))
+
+
+def pack_batches(df: DataFrame, key: str, order: str, size: str, budget: int,
+                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Greedy packing in order: a batch closes when the next row would exceed
+    the budget. Adds `batch`, counted from 0.
+
+    What a bucket does depends only on the length carried into it, and only the
+    place of its first closed batch matters. Each bucket reports that mapping
+    (at most `budget` entries); the mappings are chained per key; then each
+    bucket numbers its rows from its own carry.
+    """
+    import numpy as np
+    import pandas as pd
+
+    cut = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket_rows)))
+    rows = cut.select(F.col(key).cast("bigint").alias("k"), F.col("_bucket").alias("b"),
+                      F.col(order).alias("o"), F.col(size).cast("bigint").alias("n"))
+
+    def next_starts(total):
+        """Start of the batch after the one that starts at each row."""
+        ends = np.searchsorted(total[1:], total[:-1] + budget, side="right")
+        return np.maximum(ends, np.arange(len(total) - 1) + 1)
+
+    def describe(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("o")
+        total = np.concatenate([[0], pdf["n"].to_numpy().cumsum()])
+        m = len(pdf)
+        nxt = next_starts(total)
+        last, opened = np.arange(m), np.ones(m, dtype="int64")
+        for i in range(m - 1, -1, -1):
+            if nxt[i] < m:
+                last[i], opened[i] = last[nxt[i]], opened[nxt[i]] + 1
+        reach = np.unique(total[1:][total[:-1] <= budget], return_index=True)
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "b": [pdf["b"].iloc[0]], "size": [total[-1]],
+                             "limit": [reach[0].tolist()], "carry": [(total[-1] - total[last[reach[1]]]).tolist()],
+                             "opened": [opened[reach[1]].tolist()]})
+
+    maps = rows.groupBy("k", "b").applyInPandas(
+        describe, "k bigint, b bigint, size bigint, limit array<bigint>, carry array<bigint>, opened array<bigint>")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("b")
+        carry, batch, out = None, -1, []
+        for r in pdf.itertuples():
+            out.append((r.k, r.b, -1 if carry is None else carry, batch))
+            # With nothing carried in, the first row opens a batch in any case.
+            at = 0 if carry is None else int(np.searchsorted(r.limit, budget - carry, side="right"))
+            if at == len(r.limit):
+                carry += r.size
+            else:
+                carry, batch = r.carry[at], batch + r.opened[at]
+        return pd.DataFrame(out, columns=["k", "b", "carry", "batch"])
+
+    entry = maps.groupBy("k").applyInPandas(chain, "k bigint, b bigint, carry bigint, batch bigint")
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("o")
+        total = np.concatenate([[0], pdf["n"].to_numpy().cumsum()])
+        m, carry, batch = len(pdf), pdf["carry"].iloc[0], pdf["batch"].iloc[0]
+        nxt = next_starts(total)
+        start = 0 if carry < 0 else int(np.searchsorted(total[1:], budget - carry, side="right"))
+        label = np.full(m, batch, dtype="int64")
+        while start < m:
+            batch += 1
+            label[start:nxt[start]] = batch
+            start = nxt[start]
+        return pd.DataFrame({"k": pdf["k"], "o": pdf["o"], "batch": label})
+
+    labels = rows.join(entry, ["k", "b"]).groupBy("k", "b").applyInPandas(
+        number, "k bigint, o bigint, batch bigint")
+    return df.join(labels.select(F.col("k").alias(key), F.col("o").alias(order), "batch"), [key, order])

@@ -143,11 +143,13 @@ def accept_match(similarity: Column | str, quote: Column | str, found: Column |
 MATCH_TYPE = "struct<method:string,start:int,end:int,confidence:double,similarity:double>"
 
 
-def approximate_matches(pairs: DataFrame, min_similarity: float = 0.0) -> DataFrame:
+def approximate_matches(pairs: DataFrame, min_similarity: float = 0.0,
+                        where: Column | None = None) -> DataFrame:
     """Add `a`, the outcome of the approximate strategies on each pair.
 
     With a least similarity, pairs that cannot reach it are skipped by a
-    necessary condition on shared character grams.
+    necessary condition on shared character grams. Pairs that fail `where`
+    reach the Python step as nulls and cost nothing there.
     """
     @F.pandas_udf(MATCH_TYPE)
     def match(quotes: pd.Series, chunks: pd.Series) -> pd.DataFrame:
@@ -164,7 +166,8 @@ def approximate_matches(pairs: DataFrame, min_similarity: float = 0.0) -> DataFr
         out = pd.DataFrame(rows, columns=["method", "start", "end", "confidence", "similarity"])
         return out.astype({"start": "Int32", "end": "Int32", "confidence": "float64", "similarity": "float64"})
 
-    return pairs.withColumn("a", match("quote", "chunk")).withColumn(
+    wanted = F.lit(True) if where is None else where
+    return pairs.withColumn("a", match(F.when(wanted, F.col("quote")), F.when(wanted, F.col("chunk")))).withColumn(
         "a", F.when(F.col("a.method").isNotNull(), F.col("a")))
 
 
@@ -201,23 +204,21 @@ def locate_quotes(proposals: DataFrame, chunks: DataFrame,
     long_enough = proposals.where(F.length("quote") >= MIN_QUOTE_CHARS)
     cand = candidate_chunks(long_enough, chunks).withColumn(
         "v", verbatim_match(F.col("quote"), F.col("chunk")))
-    keep = ["quote_id", "doc_id", "quote", "rank", "chunk_index", "start", "chunk"]
-
-    def best(rows: DataFrame, field: str, sim: Column) -> DataFrame:
-        span = F.substring("chunk", F.col(f"{field}.start") + 1, F.col(f"{field}.end") - F.col(f"{field}.start"))
-        found = rows.select("quote_id", "doc_id", "quote", "rank", sim.alias("similarity"),
-                            F.col(f"{field}.method").alias("method"),
-                            (F.col("start") + F.col(f"{field}.start")).alias("m_start"),
-                            (F.col("start") + F.col(f"{field}.end")).alias("m_end"), span.alias("matched"))
-        return found.groupBy("quote_id").agg(F.max_by(F.struct(
-            "doc_id", "quote", "method", "m_start", "m_end", "matched", "similarity"),
-            F.struct("similarity", -F.col("rank"))).alias("b")).select("quote_id", "b.*")
-
-    sure = best(cand.where(F.col("v").isNotNull()), "v", F.lit(1.0))
-    rest = cand.select(*keep, "v").join(sure.select("quote_id"), "quote_id", "left_anti")
-    tried = approximate_matches(rest.drop("v"), threshold).where(F.col("a").isNotNull())
-    near = best(tried, "a", F.col("a.similarity"))
-    return sure.unionByName(near.where(accept_match("similarity", "quote", "matched", threshold))).withColumn(
+    # A quotation with a verbatim match needs no approximate one. The flag uses
+    # the partitioning of the candidate step, so nothing moves again.
+    cand = cand.withColumn("_sure", F.max(F.col("v").isNotNull()).over(Window.partitionBy("quote_id")))
+    tried = approximate_matches(cand, threshold, ~F.col("_sure"))
+    verbatim = F.struct("v.method", "v.start", "v.end", F.lit(1.0).alias("similarity"))
+    near = F.struct("a.method", "a.start", "a.end", "a.similarity")
+    tried = tried.withColumn("m", F.when(F.col("v").isNotNull(), verbatim).when(F.col("a").isNotNull(), near)).where("m is not null")
+    found = tried.select(
+        "quote_id", "doc_id", "quote", "rank", "m.method", "m.similarity",
+        (F.col("start") + F.col("m.start")).alias("m_start"), (F.col("start") + F.col("m.end")).alias("m_end"),
+        F.substring("chunk", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("matched"))
+    best = found.groupBy("quote_id").agg(F.max_by(F.struct(
+        "doc_id", "quote", "method", "m_start", "m_end", "matched", "similarity"),
+        F.struct("similarity", -F.col("rank"))).alias("b")).select("quote_id", "b.*")
+    return best.where(accept_match("similarity", "quote", "matched", threshold)).withColumn(
         "similarity", F.round("similarity", 4))
 
 

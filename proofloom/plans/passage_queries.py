@@ -369,7 +369,7 @@ ranked as (select *, row_number() over (partition by query_id order by round(sco
 select query_id, doc_id, chunk_index, cast(rank as int) as rank, round(score, 6) as score from ranked where rank <= 50 and score >= 0.05""")
 def _(spark, sf):
     ask = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), _terms("text").alias("terms"))
-    return P.rank_passages(ask, P.chunk_offsets(docs_of(spark, sf)), scope=()).withColumn("score", F.round("score", 6))
+    return P.rank_corpus(ask, P.chunk_offsets(docs_of(spark, sf))).withColumn("score", F.round("score", 6))
 
 
 @query("t2_keyword_topk", oracle(CHUNKS.replace("{src}", "documents") + rf"""
