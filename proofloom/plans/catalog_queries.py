@@ -6,6 +6,7 @@ from ..functions import authors as A
 from ..functions import keys as K
 from ..functions.text import numbers_subset
 from ..operators import catalog as C
+from ..session import cut_lineage
 from .registry import query
 from .tables import derive, oracle
 
@@ -102,6 +103,11 @@ def catalog_of(spark, sf):
     return C.resolve_catalog(derive(spark, sf, "papers"))
 
 
+def catalog_table(spark, sf):
+    """The catalog as a written table, for plans that read it several times."""
+    return cut_lineage(catalog_of(spark, sf), "catalog")
+
+
 @query("a1_resolve_catalog", oracle(CATALOG + f"""select seq, paper_id, title, {AUTHORS} as authors, year, venue, doi, source_api, abstract,
  citation_count, open_access_pdf_url, pmcid, arxiv_id, full_text_available, md5(full_text_content) as text_md5, acquisition_method, n_records from catalog""", "keyed_papers"))
 def _(spark, sf):
@@ -153,7 +159,7 @@ def inventory_of(spark, sf):
     studies, decisions = derive(spark, sf, "studies"), derive(spark, sf, "decisions")
     curated = studies.join(decisions.where("pass = 1 and include"), "doc_id", "left_semi").select("paper_id").distinct()
     return C.evidence_inventory(
-        catalog_of(spark, sf), studies.where("study_index <> 2"), studies.select("paper_id").distinct(),
+        catalog_table(spark, sf), studies.where("study_index <> 2"), studies.select("paper_id").distinct(),
         curated, decisions, derive(spark, sf, "search_rounds"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.text import missing
 from ..operators import catalog as C
 from ..operators import selection as S
-from .catalog_queries import CATALOG, TKEY, catalog_of, inventory_of
+from .catalog_queries import CATALOG, TKEY, catalog_of, catalog_table, inventory_of
 from .registry import query
 from .tables import derive, oracle, read
 
@@ -23,7 +23,7 @@ def studies_of(spark, sf):
 u as (select c.seq, mode, full_text_available as f, coalesce(abstract, '') <> '' as a from catalog c, modes where paper_id not in (select paper_id from studies where study_index = 1))
 select seq, mode, case when f or (mode = 'tangential' and a) then 'read' else 'skip abstract only' end as action from u where f or a""", "keyed_papers", "studies"))
 def _(spark, sf):
-    p, read_ids = catalog_of(spark, sf), studies_of(spark, sf).where("study_index = 1")
+    p, read_ids = catalog_table(spark, sf), studies_of(spark, sf).where("study_index = 1")
     both = [S.readable_papers(p, read_ids, m).withColumn("mode", F.lit(m)) for m in ("main", "tangential")]
     return both[0].unionByName(both[1]).select("seq", "mode", "action")
 

@@ -157,7 +157,7 @@ from (select cast(floor(doc_id / 4) as bigint) as review_id, doc_id, cast(0 as b
     "reviews": """
 select review_id,
  'INTRODUCTION' || chr(10) || chr(10) || 'Opening words.The topic [[S1]] (Kingdon, 1990) matters. ' || coalesce(t1, '') || chr(10) || chr(10) ||
- 'EVIDENCE' || chr(10) || chr(10) || '[[Q1]] (Kingdon, 1990) ' || case when review_id % 3 = 0 then '[[S2]] ' else '' end || 'and "[[Q2]]" then [[Q4]]' ||
+ 'EVIDENCE' || chr(10) || chr(10) || '[[Q1]] (Kingdon, 1990) ' || case when review_id % 3 = 0 then '[[S2]] ' else '' end || 'and ‘[[Q2]]’ then [[Q4]]' ||
  case when review_id % 3 = 1 then ' [[S2]]' else '' end || ' [[Q1]] [[Q77]] [[S9]]. Smith (' || cast(1993 + (review_id * 4) % 35 as string) || ') agrees.' || chr(10) || chr(10) ||
  'One claim is "' || coalesce(q1, '') || '" (Kingdon, ' || cast(1990 + (review_id * 4) % 35 as string) || ') as told. ' ||
  'Another is "' || coalesce(q3, '') || '" (Salotti & Cornet, ' || cast(1991 + (review_id * 4) % 35 as string) || ') in full. ' ||
