@@ -1,2 +1,2 @@
-from . import catalog_queries, passage_queries, review_queries, selection_queries  # noqa: F401
+from . import catalog_queries, passage_queries, review_queries, selection_queries, source_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -193,6 +193,101 @@ union all
 select cast(2 as bigint), doc_id, cast(floor(doc_id / 4) as bigint), toxic = 0 and doc_id % 8 > 3 from {labels}""",
 }
 
+
+
+def _js(expr: str) -> str:
+    """JSON string literal of a text expression."""
+    return (f"(chr(34) || replace(replace(replace({expr}, chr(92), chr(92) || chr(92)), chr(34), "
+            f"chr(92) || chr(34)), chr(9), ' ') || chr(34))")
+
+
+def _payload(*fields: str) -> str:
+    """JSON object from `name: expression` parts; expressions give JSON text."""
+    parts = []
+    for f in fields:
+        name, expr = f.split(": ", 1)
+        parts.append(f"chr(34) || '{name}' || chr(34) || ':' || {expr}")
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+_TITLE = _js("split_part(text, chr(10), 1)")
+_SECOND = _js("split_part(text, chr(10), 2)")
+_ID = "cast(doc_id as string)"
+_DOI = "substring(md5(text), 1, 10)"
+
+
+def _q(text: str) -> str:
+    """Plain JSON text with double quotes, as an SQL literal."""
+    return "replace('" + text.replace('"', "~") + "', '~', chr(34))"
+
+
+SQL["raw_semantic_scholar"] = "select doc_id, " + _payload(
+    f"title: case when doc_id % 17 = 0 then 'null' else {_TITLE} end",
+    "authors: case doc_id % 4 when 0 then '[]' when 1 then " + _q('[{"name":"Jack Kingdon"},{"name":""}]')
+    + " else " + _q('[{"name":"A One"},{"name":null},{"name":"B Two"}]') + " end",
+    "year: case when doc_id % 6 = 0 then 'null' else cast(1990 + doc_id % 35 as string) end",
+    f"abstract: case when doc_id % 3 = 0 then 'null' else {_SECOND} end",
+    "externalIds: case when doc_id % 4 = 3 then 'null' else '{' || chr(34) || 'DOI' || chr(34) || ':' || " + _js("'10.5555/' || " + _DOI) + " || '}' end",
+    "openAccessPdf: case when doc_id % 5 = 0 then 'null' else '{' || chr(34) || 'url' || chr(34) || ':' || " + _js(f"'https://oa.example.org/' || {_ID}") + " || '}' end",
+    "venue: case when doc_id % 2 = 0 then chr(34) || chr(34) else " + _js("'Venue ' || cast(doc_id % 7 as string)") + " end",
+    "journal: case when doc_id % 8 = 0 then 'null' else '{' || chr(34) || 'name' || chr(34) || ':' || " + _js("'Journal ' || cast(doc_id % 11 as string)") + " || '}' end",
+    "citationCount: cast(doc_id % 100 as string)", "publicationTypes: " + _q('["Review","Study"]'),
+) + " as payload from {documents}"
+
+SQL["raw_openalex"] = "select doc_id, " + _payload(
+    "id: " + _js("'https://openalex.example.org/W' || " + _ID), f"title: case when doc_id % 17 = 0 then chr(34) || chr(34) else {_TITLE} end",
+    "doi: case when doc_id % 4 = 3 then 'null' else " + _js("'https://doi.org/10.5555/' || " + _DOI) + " end",
+    "publication_year: cast(1990 + doc_id % 35 as string)", "cited_by_count: cast(doc_id % 100 as string)",
+    "type: case when doc_id % 9 = 0 then 'null' else " + _q('"article"') + " end",
+    "authorships: " + _q('[{"author":{"display_name":"Ann Lee"}},{"author":{"display_name":""}},{"author":{"display_name":"Bo Kim"}}]'),
+    "open_access: case when doc_id % 3 = 0 then '{' || chr(34) || 'oa_url' || chr(34) || ':' || " + _js(f"'https://oa.example.org/' || {_ID}") + " || '}' else 'null' end",
+    "primary_location: case when doc_id % 10 = 0 then 'null' else '{' || chr(34) || 'is_oa' || chr(34) || ':' || case when doc_id % 2 = 0 then 'true' else 'false' end || ',' || chr(34) || 'pdf_url' || chr(34) || ':' || case when doc_id % 4 = 0 then 'null' else "
+    + _js(f"'https://pdf.example.org/' || {_ID}") + " end || ',' || chr(34) || 'landing_page_url' || chr(34) || ':' || " + _js(f"'https://page.example.org/' || {_ID}")
+    + " || ',' || chr(34) || 'source' || chr(34) || ':' || case when doc_id % 7 = 0 then 'null' else '{' || chr(34) || 'display_name' || chr(34) || ':' || " + _js("'Source ' || cast(doc_id % 11 as string)") + " || '}' end || '}' end",
+    "abstract_inverted_index: case when doc_id % 5 = 0 then 'null' else '{' || " + _q('"alpha":[0,2],"beta":[1],') + " || " + _js("'d' || " + _ID) + " || ':[3]}' end",
+) + " as payload from {documents}"
+
+SQL["raw_core"] = "select doc_id, " + _payload(
+    f"id: {_ID}", f"title: {_TITLE}",
+    "authors: case when doc_id % 3 = 0 then " + _q('[{"name":"Ann Lee"},{"name":""}]') + " when doc_id % 3 = 1 then " + _q('["Bo Kim","Cy Orr"]') + " else '[]' end",
+    "doi: case when doc_id % 4 = 3 then 'null' when doc_id % 4 = 2 then " + _js("'http://doi.org/10.5555/' || " + _DOI) + " else " + _js("'https://doi.org/10.5555/' || " + _DOI) + " end",
+    f"downloadUrl: case when doc_id % 6 = 0 then 'null' else {_js('https_core')} end",
+    "journals: case when doc_id % 3 = 0 then '[]' else '[{' || chr(34) || 'title' || chr(34) || ':' || " + _js("'Journal ' || cast(doc_id % 11 as string)") + " || '}]' end",
+    "publisher: case when doc_id % 9 = 0 then 'null' else " + _js("'Publisher ' || cast(doc_id % 5 as string)") + " end",
+    f"fullText: case when doc_id % 2 = 0 then {_TITLE} else chr(34) || chr(34) end",
+    "yearPublished: cast(1990 + doc_id % 35 as string)", f"abstract: {_SECOND}", "citationCount: 'null'",
+).replace("https_core", f"'https://core.example.org/' || {_ID}") + " as payload from {documents}"
+
+SQL["raw_europe_pmc"] = "select doc_id, " + _payload(
+    f"title: {_TITLE}", "authorList: " + _q('{"author":[{"fullName":"Salotti JM"},{"fullName":""},{"fullName":"Cornet JF"}]}'),
+    "doi: case when doc_id % 4 = 3 then 'null' else " + _js("'10.5555/' || " + _DOI) + " end",
+    f"pmid: {_js(_ID)}", "pmcid: case when doc_id % 3 = 0 then 'null' else " + _js(f"'PMC' || {_ID}") + " end",
+    "isOpenAccess: case when doc_id % 2 = 0 then " + _q('"Y"') + " else " + _q('"N"') + " end",
+    "journalTitle: " + _js("'Journal ' || cast(doc_id % 11 as string)"), "citedByCount: cast(doc_id % 100 as string)",
+    f"abstractText: {_SECOND}", "pubYear: case when doc_id % 6 = 0 then 'null' else " + _js("cast(1990 + doc_id % 35 as string)") + " end",
+    "pubType: " + _q('"research-article"'),
+) + " as payload from {documents}"
+
+SQL["raw_crossref"] = "select doc_id, " + _payload(
+    f"title: case when doc_id % 17 = 0 then '[]' else '[' || {_TITLE} || ']' end",
+    "author: " + _q('[{"given":"Ann","family":"Lee"},{"family":"Orr"},{"given":"","family":""}]'),
+    "DOI: " + _js("'10.5555/' || " + _DOI),
+    "published-print: case when doc_id % 3 = 0 then " + _q('{"date-parts":[[2001,4]]}') + " else 'null' end",
+    "published-online: case when doc_id % 3 <> 2 then " + _q('{"date-parts":[[2002]]}') + " else 'null' end",
+    "created: " + _q('{"date-parts":[[2003,1,1]]}'),
+    "container-title: case when doc_id % 4 = 0 then '[]' else '[' || " + _js("'Journal ' || cast(doc_id % 11 as string)") + " || ']' end",
+    "abstract: case when doc_id % 5 = 0 then 'null' else " + _js("'<jats:p>' || split_part(text, chr(10), 2) || ' </jats:p>'") + " end",
+    "is-referenced-by-count: cast(doc_id % 100 as string)",
+    "link: case when doc_id % 2 = 0 then " + _q('[{"content-type":"text/html","URL":"https://a.example.org"},{"content-type":"application/pdf","URL":"https://b.example.org"}]') + " else '[]' end",
+    "type: " + _q('"journal-article"'),
+) + " as payload from {documents}"
+
+SQL["raw_unpaywall"] = "select doc_id, " + _payload(
+    "doi: " + _js("'10.5555/' || upper(" + _DOI + ")"), "is_oa: case when doc_id % 3 = 0 then 'true' else 'false' end",
+    "best_oa_location: case doc_id % 4 when 0 then 'null' when 1 then " + _q('{"url":"https://u.example.org","url_for_pdf":null}') + " else " + _q('{"url":"https://u.example.org","url_for_pdf":"https://p.example.org"}') + " end",
+    "oa_locations: case when doc_id % 5 = 0 then '[]' else " + _q('[{"url":"https://u.example.org","url_for_pdf":null,"host_type":"repository","version":"v1"},{"url":"https://w.example.org","url_for_pdf":"https://x.example.org","host_type":"publisher","version":null}]') + " end",
+) + " as payload from {documents}"
+
 _REF = re.compile(r"@([a-z_]+)\b(?!\()")
 
 
