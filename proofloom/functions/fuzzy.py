@@ -94,23 +94,43 @@ def may_reach(quote: str, passage: str, threshold: float, gram: int = 6) -> bool
     return True
 
 
+def _live_blocks(bound: Bound, passage: str, stride: int) -> list[bool]:
+    """Per stretch of window starts, whether any window there may reach the
+    least ratio: the common subsequence of a block bounds all windows in it."""
+    n = bound.size
+    need = FUZZY_MIN * (n + int(n * 0.9)) / 2
+    return [bound.common(passage[at:at + stride + int(n * 1.1)]) >= need for at in range(0, len(passage), stride)]
+
+
 def _window_match(quote: str, passage: str):
     q, p = quote.lower(), passage.lower()
     bound = Bound(q)
     best, span = 0.0, None
     n = len(quote)
+    stride = max(8, n // 3)
+    live = _live_blocks(bound, p, stride)
+    if not any(live):
+        return None
     for size in (n, int(n * 0.9), int(n * 1.1)):
         if size < MIN_WINDOW:
             continue
         step = max(1, size // 10)
-        for start in range(0, len(passage) - size + 1, step):
+        start = 0
+        while start <= len(passage) - size:
+            if not live[min(start // stride, len(live) - 1)]:
+                start += step
+                continue
             window = p[start:start + size]
-            ceiling = bound.ratio(window)
-            if ceiling <= best or ceiling < FUZZY_MIN:
+            common = bound.common(window)
+            need = max(best, FUZZY_MIN) * (n + size) / 2
+            if common < need:
+                # A shift by one character adds at most one common character.
+                start += step * max(1, ceil((need - common) / step))
                 continue
             ratio = SequenceMatcher(None, q, window).ratio()
             if ratio > best:
                 best, span = ratio, (start, start + size)
+            start += step
     return ("fuzzy", *span, best) if best >= FUZZY_MIN else None
 
 
@@ -225,24 +245,29 @@ def approximate_match(quote: str, passage: str, expand: bool = True):
 
 
 def best_windows(quote: str, text: str, threshold: float, top: int = 5):
-    """Windows of the quote's length with the highest ratio, best first."""
+    """Windows of the quote's length with the highest ratio, best first.
+
+    Windows are tried from the highest bound down until no bound can enter the
+    list any more.
+    """
     q, t, n = quote.lower(), text.lower(), len(quote)
     if n == 0 or len(t) < n:
         return []
     bound = Bound(q)
-    need = threshold * n
-    stride = max(1, n // 10)
-    hits = []
-    for block in range(0, len(t) - n + 1, stride):
-        # The wider block bounds every window that starts inside it.
-        if bound.common(t[block:block + n + stride - 1]) < need:
-            continue
-        for start in range(block, min(block + stride, len(t) - n + 1)):
-            window = t[start:start + n]
-            if bound.common(window) < need:
-                continue
-            ratio = SequenceMatcher(None, q, window).ratio()
-            if ratio >= threshold:
-                hits.append((start, start + n, ratio))
-    hits.sort(key=lambda h: -h[2])
-    return hits[:top]
+    likely, start = [], 0
+    while start <= len(t) - n:
+        common = bound.common(t[start:start + n])
+        if common >= threshold * n:
+            likely.append((-common, start))
+            start += 1
+        else:
+            # A shift by one character adds at most one common character.
+            start += max(1, ceil(threshold * n - common))
+    best: list[tuple[float, int]] = []
+    for negative, start in sorted(likely):
+        if len(best) == top and -negative / n < -best[-1][0]:
+            break
+        ratio = SequenceMatcher(None, q, t[start:start + n]).ratio()
+        if ratio >= threshold:
+            best = sorted([*best, (-ratio, start)])[:top]
+    return [(s, s + n, -r) for r, s in best]

@@ -12,6 +12,7 @@ from ..functions.headings import section_at, sections
 from ..functions.keys import quote_key
 from ..functions.text import let, missing, normalize_text, numbers_subset, tokenize, words
 from . import passages as P
+from ..session import spread
 from .prefix import first_n_per_key, first_per_key
 
 # Acceptance and gating.
@@ -178,7 +179,7 @@ def match_cascade(pairs: DataFrame) -> DataFrame:
     sure = m.where(F.col("v").isNotNull()).select(
         *pairs.columns, F.col("v.method").alias("method"), F.col("v.start").alias("m_start"),
         F.col("v.end").alias("m_end"), F.col("v.confidence").alias("confidence"))
-    rest = approximate_matches(m.where(F.col("v").isNull()).drop("v")).where(F.col("a").isNotNull()).select(
+    rest = approximate_matches(spread(m.where(F.col("v").isNull()).drop("v"), F.xxhash64("quote", "chunk"))).where(F.col("a").isNotNull()).select(
         *pairs.columns, F.col("a.method").alias("method"), F.col("a.start").alias("m_start"),
         F.col("a.end").alias("m_end"), F.col("a.confidence").alias("confidence"))
     return sure.unionByName(rest)
@@ -190,7 +191,7 @@ def candidate_chunks(proposals: DataFrame, chunks: DataFrame) -> DataFrame:
     ask = proposals.select(F.col("quote_id").alias("query_id"), "doc_id", tokenize(P.first_words("quote", SEARCH_WORDS)).alias("terms"))
     ranked = P.rank_passages(ask, chunks, SEARCH_TOP).select(
         F.col("query_id").alias("quote_id"), "chunk_index", "rank")
-    every = proposals.join(chunks.drop("position_ratio"), "doc_id")
+    every = spread(proposals.join(chunks.drop("position_ratio"), "doc_id"), "quote_id")
     seen = Window.partitionBy("quote_id")
     return (every.join(ranked, ["quote_id", "chunk_index"], "left")
             .withColumn("_ranked", F.max("rank").over(seen))
@@ -317,7 +318,7 @@ def fuzzy_topk(pairs: DataFrame, threshold: float = 0.9, top: int = 5) -> DataFr
         return pd.Series([[{"start": s, "end": e, "ratio": r} for s, e, r in fuzzy.best_windows(q, t, threshold, top)]
                           if q and t else [] for q, t in zip(quotes, texts)])
 
-    return pairs.withColumn("_w", search("quote", "text")).select(
+    return spread(pairs, "quote_id", "doc_id").withColumn("_w", search("quote", "text")).select(
         "quote_id", "doc_id", F.posexplode("_w").alias("rank", "w")).select(
             "quote_id", "doc_id", "rank", "w.start", "w.end", F.round("w.ratio", 6).alias("ratio"))
 

@@ -118,20 +118,18 @@ def _(spark, sf):
 @query("a2_api_stats", oracle("""
 select api, count(*) as total_queries, cast(sum(case when error is null then n_results else 0 end) as bigint) as total_results,
  count(error) as total_errors, arg_max(error, call_id) filter (where error is not null) as last_error,
- round((count(*) - count(error)) / count(*), 6) as success_rate,
- round(case when count(*) > count(error) then sum(case when error is null then n_results else 0 end) / (count(*) - count(error)) else 0 end, 6) as avg_results
+ (count(*) - count(error)) / count(*) as success_rate,
+ case when count(*) > count(error) then sum(case when error is null then n_results else 0 end) / (count(*) - count(error)) else 0 end as avg_results
 from search_calls group by api""", "search_calls"))
 def _(spark, sf):
-    s = C.api_stats(derive(spark, sf, "search_calls"))
-    return s.withColumn("success_rate", F.round("success_rate", 6)).withColumn("avg_results", F.round("avg_results", 6))
+    return C.api_stats(derive(spark, sf, "search_calls"))
 
 
 @query("w8_running_response_time", oracle("""
-select call_id, api, round(cast(sum(cast(response_time as decimal(18,6))) over w as double) / count(*) over w, 4) as avg_response_time
+select call_id, api, cast(sum(cast(response_time as decimal(18,6))) over w as double) / count(*) over w as avg_response_time
 from search_calls window w as (partition by api order by call_id rows between unbounded preceding and current row)""", "search_calls"))
 def _(spark, sf):
-    r = C.running_response_time(derive(spark, sf, "search_calls"))
-    return r.select("call_id", "api", F.round("avg_response_time", 4).alias("avg_response_time"))
+    return C.running_response_time(derive(spark, sf, "search_calls")).select("call_id", "api", "avg_response_time")
 
 
 @query("a3_catalog_summary", oracle(CATALOG + """

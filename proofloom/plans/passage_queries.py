@@ -7,6 +7,7 @@ from ..functions import headings as H
 from ..functions import text as X
 from ..operators import passages as P
 from ..operators import quotes as Q
+from ..session import spread
 from .registry import query
 from .tables import derive, oracle, read
 
@@ -72,11 +73,10 @@ def _(spark, sf):
 
 
 @query("f26_chunk_offsets", oracle(CHUNKS.replace("{src}", "documents").replace(", cuts", "with recursive cuts", 1) +
-       'select doc_id, chunk_index, start, "end", md5(chunk) as chunk_md5, round(position_ratio, 6) as position_ratio from chunks'))
+       'select doc_id, chunk_index, start, "end", md5(chunk) as chunk_md5, position_ratio from chunks'))
 def _(spark, sf):
     return P.chunk_offsets(docs_of(spark, sf)).select(
-        "doc_id", "chunk_index", "start", "end", F.md5("chunk").alias("chunk_md5"),
-        F.round("position_ratio", 6).alias("position_ratio"))
+        "doc_id", "chunk_index", "start", "end", F.md5("chunk").alias("chunk_md5"), "position_ratio")
 
 
 @query("f25_chunk_sequential")
@@ -376,10 +376,10 @@ def _(spark, sf):
 , q as (select quote_id as query_id, doc_id, list_distinct({TOKENS.format("array_to_string(list_filter(regexp_split_to_array(quote, '\\s+'), lambda w: w <> '')[1:10], ' ')")}) as q from proposals),
 hit as (select query_id, q.doc_id, chunk_index, len(list_intersect(q.q, {TOKENS.format('chunk')})) / len(q.q) as score from q join chunks c on q.doc_id = c.doc_id where len(q.q) > 0),
 r as (select *, row_number() over (partition by query_id order by score desc, chunk_index) as rank from hit where score > 0)
-select query_id, doc_id, chunk_index, cast(rank as int) as rank, round(score, 6) as score from r where rank <= 3""", "proposals"))
+select query_id, doc_id, chunk_index, cast(rank as int) as rank, score from r where rank <= 3""", "proposals"))
 def _(spark, sf):
     ask = proposals_of(spark, sf).select(F.col("quote_id").alias("query_id"), "doc_id", _terms().alias("terms"))
-    return P.keyword_topk(ask, P.chunk_offsets(docs_of(spark, sf)), 3).withColumn("score", F.round("score", 6))
+    return P.keyword_topk(ask, P.chunk_offsets(docs_of(spark, sf)), 3)
 
 
 # ---- quotations -----------------------------------------------------------
@@ -397,7 +397,7 @@ def _(spark, sf):
 
 
 @query("c1_locate_in_corpus", r"""
-with q as (select item_id as quote_id, case item_id % 3 when 0 then text when 1 then replace(text, ' ', '  ') else upper(text) end as quote from benchmark),
+with q as (select item_id as quote_id, case item_id % 3 when 0 then text when 1 then replace(text, ' ', '  ') else translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') end as quote from benchmark),
 n as (select quote_id, quote, lower(trim(regexp_replace(quote, '\s+', ' ', 'g'))) as nq from q),
 d as (select doc_id, text, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as nt from documents),
 hit as (select n.quote_id, n.quote, d.doc_id, d.text, '(?i)' || regexp_replace(regexp_replace(n.nq, '([^\p{L}\p{N} ])', '\\\1', 'g'), ' ', '\\s+', 'g') as pat from n join d on contains(d.nt, n.nq)),
@@ -407,7 +407,7 @@ def _(spark, sf):
     q = benchmark_quotes(spark, sf)
     k = F.col("quote_id") % 3
     q = q.withColumn("quote", F.when(k == 0, F.col("quote")).when(k == 1, F.replace("quote", F.lit(" "), F.lit("  ")))
-                     .otherwise(F.upper("quote")))
+                     .otherwise(F.translate("quote", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
     return Q.locate_in_corpus(q, docs_of(spark, sf))
 
 
@@ -435,7 +435,8 @@ def _(spark, sf):
 
 @query("f18_expand_sentence")
 def _(spark, sf):
-    a = Q.approximate_matches(_own_pairs(spark, sf), Q.MIN_SIMILARITY).where("a is not null")
+    pairs = _own_pairs(spark, sf).where(Q.verbatim_match(F.col("quote"), F.col("chunk")).isNull())
+    a = Q.approximate_matches(spread(pairs, "quote_id", "chunk_index"), Q.MIN_SIMILARITY).where("a is not null")
     return a.select("quote_id", "doc_id", "chunk_index", "a.method", F.substring(
         "chunk", F.col("a.start") + 1, F.col("a.end") - F.col("a.start")).alias("sentence"))
 

@@ -271,13 +271,13 @@ def _(spark, sf):
 r as (select query_id as g, paper_index as pos, seq as result_id, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]{3,}')) as t from candidates),
 s as (select want_id, pos, result_id, len(list_intersect(w.t, r.t)) / len(w.t) as share from w join r on w.g = r.g where len(w.t) > 0),
 b as (select *, row_number() over (partition by want_id order by share desc, pos) as rn from s where share >= 0.6)
-select want_id, result_id, round(share, 6) as share from b where rn = 1
+select want_id, result_id, share from b where rn = 1
 union all select w.want_id, arg_min(r.result_id, r.pos), 0 from w join r on w.g = r.g where len(w.t) = 0 group by w.want_id""", "selections", "candidates"))
 def _(spark, sf):
     w = derive(spark, sf, "selections").select(F.col("sel").alias("want_id"), F.col("query_id").alias("group"), "title")
     r = derive(spark, sf, "candidates").select(F.col("query_id").alias("group"), F.col("paper_index").alias("pos"),
                                                F.col("seq").alias("result_id"), "title")
-    return S.best_title_match(w, r).withColumn("share", F.round("share", 6))
+    return S.best_title_match(w, r)
 
 
 @query("j16_merge_grades", oracle("""

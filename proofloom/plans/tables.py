@@ -76,7 +76,7 @@ select doc_id as quote_id, doc_id, cast(doc_id % 5 as int) as pos,
  case doc_id % 8
    when 0 then line
    when 1 then replace(line, ' ', '  ')
-   when 2 then upper(line)
+   when 2 then translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
    when 3 then replace(line, ' the ', ' teh ')
    when 4 then 'In 1999 ' || line
    when 5 then other

@@ -56,3 +56,14 @@ def cut_lineage(df, name: str):
     path = work_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df, *keys):
+    """Hash rows over enough tasks for a step that costs far more time than bytes.
+
+    The number is explicit: the adaptive planner sizes partitions by bytes and
+    would put such a step into a few long tasks.
+    """
+    spark = df.sparkSession
+    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
