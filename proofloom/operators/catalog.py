@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import doi_key, paper_id, title_key, title_usable
@@ -22,56 +22,46 @@ def catalog_entry(papers: DataFrame) -> DataFrame:
         preview("abstract", 300).alias("abstract_preview"), "source_api")
 
 
+def _take_fields(chosen: DataFrame, keys: list[str], own: str, roles: dict[str, str],
+                 rows: DataFrame, row_id: str, rest: list[str]) -> DataFrame:
+    """Fetch the row `own` points at, and each field of `roles` from the row its
+    column points at.
+
+    Only identifiers were aggregated so far. A role that points at the own row
+    needs nothing more; the others are few and are looked up in one join.
+    """
+    base = chosen.join(rows.select(F.col(row_id).alias(own), *rest, *roles), own)
+    elsewhere = chosen.select(*keys, F.explode(F.filter(
+        F.array(*[F.struct(F.lit(f).alias("role"), F.when(F.col(c) != F.col(own), F.col(c)).alias("id")) for f, c in roles.items()]),
+        lambda x: x["id"].isNotNull())).alias("x")).select(*keys, "x.role", F.col("x.id").alias(row_id))
+    found = elsewhere.join(rows.select(row_id, *roles), row_id).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("role") == f, F.col(f))).alias(f"_{f}") for f in roles])
+    out = base.join(found, keys, "left")
+    for f, c in roles.items():
+        out = out.withColumn(f, F.when(F.col(c) != F.col(own), F.col(f"_{f}")).otherwise(F.col(f)))
+    return out.drop(*[f"_{f}" for f in roles])
+
+
 def link_search_hits(hits: DataFrame) -> DataFrame:
     """Union of the hits of one query: the first record of a DOI (else of an
     identity) stands; later records of that DOI only fill an absent open-access
-    link or abstract."""
-    keyed = hits.withColumn("link_key", paper_id("doi", "title"))
+    link or abstract. `ord` numbers the hits of all queries."""
     fill = ~missing("doi")
-    rest = [c for c in hits.columns if c not in ("query_id", "open_access_pdf_url", "abstract")]
-
-    def first_value(name: str):
-        own = F.min_by(name, "ord")
-        filled = F.min_by(name, F.when(fill & ~missing(name), F.col("ord")))
-        return F.coalesce(F.when(~missing(own), own), filled, own).alias(name)
-
-    return keyed.groupBy("query_id", "link_key").agg(
-        F.min_by(F.struct(*rest), "ord").alias("_first"),
-        first_value("open_access_pdf_url"), first_value("abstract"),
-        F.count(F.lit(1)).alias("n_hits")).select(
-            "query_id", "link_key", "_first.*", "open_access_pdf_url", "abstract", "n_hits")
-
-
-def _merge_states(by: list[str], rows: DataFrame) -> DataFrame:
-    """Fold records that describe one work. Every part is a mergeable
-    aggregate, so a work with very many copies is reduced before the shuffle."""
-    return rows.groupBy(*by).agg(
-        F.max_by(F.struct("abstract", "abstract_seq"),
-                 F.when(~missing("abstract"), F.struct(F.length("abstract"), -F.col("abstract_seq")))).alias("_a"),
-        F.max(F.when(F.col("citation_count") > 0, F.col("citation_count"))).alias("_c"),
-        F.min_by(F.struct("open_access_pdf_url", "pdf_seq"),
-                 F.when(~missing("open_access_pdf_url"), F.col("pdf_seq"))).alias("_p"),
-        F.min_by(F.struct("full_text_content", "acquisition_method", "text_seq"),
-                 F.when(F.col("full_text_available"), F.col("text_seq"))).alias("_t"),
-        F.min_by(F.struct("pmcid", "pmcid_seq"),
-                 F.when(~missing("pmcid"), F.col("pmcid_seq"))).alias("_m"),
-        F.min_by(F.struct("arxiv_id", "arxiv_seq"),
-                 F.when(~missing("arxiv_id"), F.col("arxiv_seq"))).alias("_x"),
-        F.max("full_text_available").alias("full_text_available"),
-        F.sum("n_records").alias("n_records"),
-        F.min("rep_seq").alias("rep_seq"))
-
-
-def _flat(states: DataFrame, keep: list[str]) -> DataFrame:
-    return states.select(
-        *keep, F.col("_a.abstract").alias("abstract"), F.col("_a.abstract_seq").alias("abstract_seq"),
-        F.col("_c").alias("citation_count"),
-        F.col("_p.open_access_pdf_url").alias("open_access_pdf_url"), F.col("_p.pdf_seq").alias("pdf_seq"),
-        F.col("_t.full_text_content").alias("full_text_content"),
-        F.col("_t.acquisition_method").alias("acquisition_method"), F.col("_t.text_seq").alias("text_seq"),
-        F.col("_m.pmcid").alias("pmcid"), F.col("_m.pmcid_seq").alias("pmcid_seq"),
-        F.col("_x.arxiv_id").alias("arxiv_id"), F.col("_x.arxiv_seq").alias("arxiv_seq"),
-        "full_text_available", "n_records", "rep_seq")
+    slim = hits.select("query_id", "ord", paper_id("doi", "title").alias("link_key"), fill.alias("fill"),
+                       (~missing("open_access_pdf_url")).alias("has_pdf"), (~missing("abstract")).alias("has_abstract"))
+    chosen = slim.groupBy("query_id", "link_key").agg(
+        F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n_hits"),
+        F.min(F.when(F.col("fill") & F.col("has_pdf"), F.col("ord"))).alias("pdf_ord"),
+        F.min(F.when(F.col("fill") & F.col("has_abstract"), F.col("ord"))).alias("abstract_ord"))
+    rest = [c for c in hits.columns if c not in ("query_id", "ord", "open_access_pdf_url", "abstract")]
+    return _take_fields(chosen, ["query_id", "link_key"], "ord",
+                        {"open_access_pdf_url": "pdf_ord", "abstract": "abstract_ord"}, hits, "ord", rest).drop(
+                            "pdf_ord", "abstract_ord")
+
+
+# Record numbers stay below 2^40 and abstracts below 2^23 characters, so the
+# longest abstract and, among those, the earliest record are one long maximum.
+_SEQ_BITS = 1 << 40
 
 
 def resolve_catalog(papers: DataFrame) -> DataFrame:
@@ -83,52 +73,54 @@ def resolve_catalog(papers: DataFrame) -> DataFrame:
     highest citation count and the first open-access link, external id and full
     text. One exception keeps arrival-order semantics: a record without a DOI
     that repeats the identity of the survivor adds nothing.
-    """
-    seqs = ["abstract_seq", "pdf_seq", "text_seq", "pmcid_seq", "arxiv_seq"]
-    base = papers.withColumn("_dkey", doi_key("doi")).withColumn("paper_id", paper_id("doi", "title"))
-    base = base.withColumn("_k1", F.when(F.col("_dkey") != "", F.concat(F.lit("d"), "_dkey"))
-                           .otherwise(F.concat(F.lit("p"), "paper_id")))
-    for s in [*seqs, "rep_seq"]:
-        base = base.withColumn(s, F.col("seq"))
-    base = base.withColumn("n_records", F.lit(1).cast("bigint"))
-
-    # The earliest record of each first-level group, and the fold of the group.
-    own = ["seq", "paper_id", "title", "authors", "year", "venue", "doi", "source_api",
-           "abstract", "citation_count", "open_access_pdf_url", "full_text_available",
-           "full_text_content", "acquisition_method", "pmcid", "arxiv_id"]
-    rep = base.groupBy("_k1").agg(F.min_by(F.struct(*own), "seq").alias("rep"))
-    fold = _merge_states(["_k1"], base)
-    level1 = rep.join(fold, "_k1")
-    level1 = level1.withColumn("_k2", F.when(title_usable("rep.title"), F.concat(F.lit("t"), title_key("rep.title")))
-                               .otherwise(F.concat(F.lit("k"), "_k1")))
-    survivors = level1.groupBy("_k2").agg(F.min_by(F.struct("rep", "_k1"), "rep_seq").alias("s"))
-    joined = level1.join(survivors.select("_k2", F.col("s.rep.seq").alias("survivor_seq")), "_k2")
 
+    Both groupings fold plain numbers (which record supplies which field), so
+    they hash-aggregate before the shuffle, a work with very many copies costs
+    one row per task, and texts move only once, at the end.
+    """
+    seq = F.col("seq")
+    dkey = doi_key("doi")
+
+    def supplier(ok) -> Column:
+        return F.when(ok, seq)
+
+    slim = papers.select(
+        "seq", F.when(dkey != "", F.concat(F.lit("d"), dkey)).otherwise(F.concat(F.lit("p"), paper_id("doi", "title"))).alias("k1"),
+        # The title key as two hashes: grouping by them is grouping by the key.
+        F.when(title_usable("title"), F.xxhash64(title_key("title"))).alias("t1"),
+        F.when(title_usable("title"), F.xxhash64(F.lit("second"), title_key("title"))).alias("t2"),
+        F.when(~missing("abstract"), F.length("abstract").cast("bigint") * _SEQ_BITS + (_SEQ_BITS - 1 - seq)).alias("abstract"),
+        F.when(F.col("citation_count") > 0, F.col("citation_count")).alias("cites"),
+        supplier(~missing("open_access_pdf_url")).alias("pdf"), supplier(F.col("full_text_available")).alias("full"),
+        supplier(~missing("pmcid")).alias("pmc"), supplier(~missing("arxiv_id")).alias("arx"))
+    least, most = ["pdf", "full", "pmc", "arx"], ["abstract", "cites"]
+
+    def fold(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+        return rows.groupBy(*by).agg(*more, *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most])
+
+    level1 = fold(slim, ["k1"], F.min("seq").alias("rep"), F.count(F.lit(1)).alias("n_records"),
+                  F.min_by("t1", "seq").alias("t1"), F.min_by("t2", "seq").alias("t2"),
+                  *[F.min_by(c, "seq").alias(f"first_{c}") for c in least + most])
+    level1 = level1.withColumn("g1", F.coalesce("t1", F.xxhash64(F.lit("own"), "k1"))).withColumn(
+        "g2", F.coalesce("t2", F.xxhash64(F.lit("own second"), "k1")))
+    survivors = level1.groupBy("g1", "g2").agg(F.min("rep").alias("survivor"))
+    member = level1.join(survivors, ["g1", "g2"])
     # A group without a DOI whose earliest record survives keeps that record only.
-    alone = F.startswith(F.col("_k1"), F.lit("p")) & (F.col("rep_seq") == F.col("survivor_seq"))
-    states = _flat(joined.withColumn("_alone", alone), ["_k2", "_alone", "rep"])
-    single = {"abstract": "abstract", "citation_count": "citation_count",
-              "open_access_pdf_url": "open_access_pdf_url", "full_text_available": "full_text_available",
-              "full_text_content": "full_text_content", "acquisition_method": "acquisition_method",
-              "pmcid": "pmcid", "arxiv_id": "arxiv_id"}
-    for name, field in single.items():
-        states = states.withColumn(name, F.when(F.col("_alone"), F.col(f"rep.{field}")).otherwise(F.col(name)))
-    for s in seqs:
-        states = states.withColumn(s, F.when(F.col("_alone"), F.col("rep_seq")).otherwise(F.col(s)))
-    merged = _flat(_merge_states(["_k2"], states), ["_k2"])
-    out = survivors.select("_k2", "s.rep").join(merged, "_k2")
-
-    def kept(name: str):
-        return F.coalesce(F.col(name), F.col(f"rep.{name}")).alias(name)
-
+    alone = F.startswith(F.col("k1"), F.lit("p")) & (F.col("rep") == F.col("survivor"))
+    for c in least + most:
+        member = member.withColumn(c, F.when(alone, F.col(f"first_{c}")).otherwise(F.col(c)))
+    merged = fold(member, ["survivor"], F.sum("n_records").alias("n_records"))
+    chosen = merged.withColumn("abstract_seq", _SEQ_BITS - 1 - F.col("abstract") % _SEQ_BITS).drop("abstract")
+
+    rest = ["title", "authors", "year", "venue", "doi", "source_api", "citation_count"]
+    roles = {"abstract": "abstract_seq", "open_access_pdf_url": "pdf", "pmcid": "pmc", "arxiv_id": "arx",
+             "full_text_content": "full", "acquisition_method": "full"}
+    out = _take_fields(chosen, ["survivor"], "survivor", roles, papers, "seq", rest)
     return out.select(
-        F.col("rep.seq").alias("seq"), F.col("rep.paper_id").alias("paper_id"),
-        F.col("rep.title").alias("title"), F.col("rep.authors").alias("authors"),
-        F.col("rep.year").alias("year"), F.col("rep.venue").alias("venue"), F.col("rep.doi").alias("doi"),
-        F.col("rep.source_api").alias("source_api"), kept("abstract"), kept("citation_count"),
-        kept("open_access_pdf_url"), kept("pmcid"), kept("arxiv_id"),
-        F.col("full_text_available"), F.col("full_text_content"), F.col("acquisition_method"),
-        F.col("n_records"))
+        F.col("survivor").alias("seq"), paper_id("doi", "title").alias("paper_id"), "title", "authors", "year", "venue",
+        "doi", "source_api", "abstract", F.coalesce("cites", "citation_count").alias("citation_count"),
+        "open_access_pdf_url", "pmcid", "arxiv_id", F.col("full").isNotNull().alias("full_text_available"),
+        "full_text_content", "acquisition_method", "n_records")
 
 
 def external_ids(papers: DataFrame) -> DataFrame:

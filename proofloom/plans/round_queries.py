@@ -7,7 +7,6 @@ from ..operators import answers as N
 from ..operators import references as X
 from ..session import cut_lineage
 from ..streaming import rounds as S
-from . import tables
 from .catalog_queries import CATALOG, TKEY
 from .passage_queries import ENTRIES, entries_of
 from .registry import query
@@ -222,8 +221,7 @@ def stream_of(spark, sf, base, name):
     """A derived table over a stream of its base table."""
     view = f"stream_{base}"
     S.read_table_stream(spark, sf, base).createOrReplaceTempView(view)
-    head = tables._with([name], "array(", lambda t: view if t == base else f"parquet.`{sf}/{t}.parquet`")
-    return spark.sql(head.replace("with recursive", "with", 1) + f"\nselect * from {name}")
+    return derive(spark, sf, name, **{base: view})
 
 
 @query("r1_stream_catalog", oracle(CATALOG + """select seq, paper_id, abstract, citation_count, open_access_pdf_url, full_text_available, n_records from catalog""", "keyed_papers"))

@@ -9,6 +9,7 @@ differ between the two.
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -312,19 +313,32 @@ def _with(names: list[str], array: str, base) -> str:
         text = SQL[name].replace("@arr(", array)
         text = _REF.sub(lambda m: m.group(1), text)
         for table in BASE:
-            text = text.replace("{" + table + "}", base(table))
+            if "{" + table + "}" in text:
+                text = text.replace("{" + table + "}", base(table))
         parts.append(f"{name} as ({text})")
     return "with recursive " + ",\n".join(parts) if parts else ""
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One with fewer splits than cores is spread by its key, so
+    costly row steps use all cores; a large table keeps its splits."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, df.columns[0])
+    return df
 
 
-def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table as a Spark plan over the given tables."""
-    head = _with([name], "array(", lambda t: f"parquet.`{sf_dir}/{t}.parquet`")
+def _view(spark: SparkSession, sf_dir: str, name: str) -> str:
+    view = f"{name}_{zlib.crc32(sf_dir.encode()):08x}"
+    read(spark, sf_dir, name).createOrReplaceTempView(view)
+    return view
+
+
+def derive(spark: SparkSession, sf_dir: str, name: str, **streams: str) -> DataFrame:
+    """A derived table as a Spark plan over the given tables. A base table may
+    be replaced by a named view, such as a stream."""
+    head = _with([name], "array(", lambda t: streams.get(t) or _view(spark, sf_dir, t))
     return spark.sql(head.replace("with recursive", "with", 1) + f"\nselect * from {name}")
 
 
