@@ -233,19 +233,18 @@ def rank_corpus(queries: DataFrame, chunks: DataFrame, top: int = TOP_CHUNKS,
     before the shuffle; only tokens some query asks for are scored.
     """
     sized = chunks.select("doc_id", "chunk_index", tokenize("chunk").alias("t")).withColumn("dl", F.size("t"))
-    one = F.lit(0).alias("_all")
-    totals = sized.groupBy(one).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
-    df = sized.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("df")).withColumn("_all", F.lit(0)).join(totals, "_all")
-    df = df.withColumn("raw", _raw_idf(F.col("n_chunks"), F.col("df")))
-    floor = df.groupBy("_all").agg((F.avg("raw") * IDF_FLOOR_SHARE).alias("floor"))
+    n_chunks = sized.agg(F.count(F.lit(1))).scalar()
+    avgdl = sized.agg(F.avg("dl")).scalar()
+    df = sized.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = df.withColumn("raw", _raw_idf(n_chunks, F.col("df")))
+    floor = df.agg(F.avg("raw") * IDF_FLOOR_SHARE).scalar()
     asked = _asked(queries)
-    weights = df.join(asked.select("token").distinct(), "token", "left_semi").join(floor, "_all").select(
-        "token", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    weights = df.join(asked.select("token").distinct(), "token", "left_semi").select(
+        "token", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
     tf = sized.select("doc_id", "chunk_index", "dl", F.explode("t").alias("token")).join(
-        weights, "token").groupBy("doc_id", "chunk_index", "dl", "token", "avgdl", "idf").agg(
+        weights, "token").groupBy("doc_id", "chunk_index", "dl", "token", "idf").agg(
             F.count(F.lit(1)).alias("tf"))
-    weight = _okapi(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), F.col("qtf"))
+    weight = _okapi(F.col("tf"), F.col("dl"), avgdl, F.col("idf"), F.col("qtf"))
     scored = tf.join(asked, "token").groupBy("query_id", "doc_id", "chunk_index").agg(F.sum(weight).alias("score"))
     return _top(scored, top, min_score)
 

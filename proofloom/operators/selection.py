@@ -178,7 +178,7 @@ def mode_entry_gates(inventory: DataFrame, abstract_only: DataFrame, healthy: in
 
     Both inputs hold one row.
     """
-    one = inventory.withColumn("_k", F.lit(0)).join(abstract_only.withColumn("_k", F.lit(0)), "_k")
+    one = inventory.withColumn("n_abstract_only", abstract_only.select("n_abstract_only").scalar())
     c = F.col
     forced = ((c("full_text") == 0) & (c("pool") == 0) & (c("curated") == 0)
               & (c("standard_rounds") >= min_rounds) & (c("n_abstract_only") >= min_abstracts))

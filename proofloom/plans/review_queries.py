@@ -60,10 +60,9 @@ def _(spark, sf):
 
 
 @query("a10_study_quote_map", oracle(REG + """
-select review_id, study_index, string_agg(cast(n as string), ' ' order by n) as quotes, any_value(citation) as citation from reg where not is_summary group by review_id, study_index""", *IN_REG))
+select review_id, study_index, n, row_number() over (partition by review_id, study_index order by n) as place, citation from reg where not is_summary""", *IN_REG))
 def _(spark, sf):
-    return R.study_quote_map(registry_of(spark, sf)).withColumn(
-        "quotes", F.array_join(F.transform("quotes", lambda n: n.cast("string")), " "))
+    return R.study_quote_map(registry_of(spark, sf))
 
 
 PLAN = REG + r"""

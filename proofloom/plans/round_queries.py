@@ -78,8 +78,7 @@ firsts as (select paper, min(depth) as depth from walk group by paper)
 
 def snowball_of(spark, sf, budget=None):
     docs = read(spark, sf, "documents").select("doc_id")
-    n = docs.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(0))
-    d = docs.withColumn("_k", F.lit(0)).join(n, "_k")
+    d = docs.withColumn("n", docs.agg(F.count(F.lit(1))).scalar())
     edges = d.select(F.col("doc_id").alias("paper"), F.explode(F.array(
         F.struct(F.lit(1).cast("bigint").alias("entry_no"), ((F.col("doc_id") * 7 + 1) % F.col("n")).alias("cited")),
         F.struct(F.lit(2).cast("bigint").alias("entry_no"), ((F.col("doc_id") * 3 + 2) % F.col("n")).alias("cited")),

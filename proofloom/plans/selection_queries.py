@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.text import missing
 from ..operators import catalog as C
 from ..operators import selection as S
+from ..operators.prefix import first_n_per_key
 from .catalog_queries import CATALOG, TKEY, catalog_of, catalog_table, inventory_of
 from .registry import query
 from .tables import derive, oracle, read
@@ -296,7 +297,8 @@ def _(spark, sf):
 select review_id, cast(pos as int) as pos, query, coalesce(weakness, query) as weakness from a where pos < 3""", "studies"))
 def _(spark, sf):
     s = studies_of(spark, sf)
-    # A review has a handful of studies here, so both lists are short.
+    # Both lists are capped before they are gathered.
+    s = first_n_per_key(s, ["review_id"], 6, F.col("study_index"))
     a = s.groupBy("review_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("study_index", F.concat(F.lit("q "), "paper_title").alias("v")))), lambda x: x["v"]).alias("queries"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("study_index") <= 2, F.struct("study_index", F.concat(F.lit("w "), F.col("doc_id")).alias("v"))))), lambda x: x["v"]).alias("weaknesses"))
