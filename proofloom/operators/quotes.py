@@ -249,6 +249,7 @@ def verify_quotes(proposals: DataFrame, docs: DataFrame, text: str = "text",
 
     docs: doc_id, the text column, and optionally `abstract_only`.
     """
+    docs = docs.join(proposals.select("doc_id").distinct(), "doc_id", "left_semi")
     chunks = P.chunk_offsets(docs, text)
     found = locate_quotes(proposals, chunks)
     only = F.col("abstract_only") if "abstract_only" in docs.columns else F.lit(False)
