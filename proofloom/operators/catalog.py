@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import doi_key, paper_id, title_key, title_usable
 from ..functions.text import missing, preview, strip
+from ..session import cut_lineage
 from .prefix import first_n_per_key, first_per_key, running_totals
 
 
@@ -102,7 +103,9 @@ def resolve_catalog(papers: DataFrame) -> DataFrame:
                   F.min_by("t1", "seq").alias("t1"), F.min_by("t2", "seq").alias("t2"),
                   *[F.min_by(c, "seq").alias(f"first_{c}") for c in least + most])
     level1 = level1.withColumn("g1", F.coalesce("t1", F.xxhash64(F.lit("own"), "k1"))).withColumn(
-        "g2", F.coalesce("t2", F.xxhash64(F.lit("own second"), "k1")))
+        "g2", F.coalesce("t2", F.xxhash64(F.lit("own second"), "k1"))).drop("t1", "t2")
+    # Both uses below read this table of numbers; the records are read once.
+    level1 = cut_lineage(level1, "catalog-groups")
     survivors = level1.groupBy("g1", "g2").agg(F.min("rep").alias("survivor"))
     member = level1.join(survivors, ["g1", "g2"])
     # A group without a DOI whose earliest record survives keeps that record only.
