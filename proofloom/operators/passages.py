@@ -135,8 +135,9 @@ def with_sections(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def section_regions(docs: DataFrame) -> DataFrame:
-    """One row per heading with its region."""
-    return docs.select("doc_id", F.posexplode("section_map").alias("n", "s")).select(
+    """One row per heading with its region. The outer form keeps the optimizer
+    from testing the map's size first, which would build the map again."""
+    return docs.select("doc_id", F.posexplode_outer("section_map").alias("n", "s")).where("s is not null").select(
         "doc_id", "n", "s.start", "s.end", "s.category", "s.heading",
         (F.col("s.end") - F.col("s.start")).alias("region_chars"))
 
