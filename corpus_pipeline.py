@@ -12,10 +12,8 @@ from proofloom.session import work_dir
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as ids of the piece vocabulary, with the text they decode to."""
-    path = tokenizer_path()
-    ids = docs.select("doc_id", pieces.encode(spark, F.col("text"), path).alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                      pieces.decode(spark, F.col("ids"), path).alias("decoded"))
+    both = docs.select("doc_id", pieces.round_trip(spark, F.col("text"), tokenizer_path()).alias("p"))
+    return both.select("doc_id", F.size("p.ids").cast("long").alias("n_tokens"), "p.ids", "p.decoded")
 
 
 STAGES = [("pieces", encode)]

@@ -23,7 +23,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: Segments a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Longer segments keep their agenda in a heap.
 SHORT = 48
 
@@ -202,15 +202,15 @@ def _vocabulary(model: bytes) -> Vocabulary:
     return held[key]
 
 
-#: Characters of texts that are encoded together.
-TOGETHER = 2_000_000
+#: Characters of texts that are worked on together.
+TOGETHER = 1_000_000
 
 
-def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+def _slices(batch: pa.Array) -> Iterator[list[str | None]]:
     part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or "")
+    for t in batch:
+        part.append(t.as_py())
+        size += len(part[-1] or "")
         if size >= TOGETHER:
             yield part
             part, size = [], 0
@@ -218,20 +218,30 @@ def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield part
 
 
+def _id_array(found: bytes, ends: list[int]) -> pa.Array:
+    values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _texts(vocabulary: Vocabulary, ids: pa.Array) -> pa.Array:
+    ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+    return pa.array([vocabulary.decode(flat[a:b].tolist()) for a, b in pairwise(ends)], pa.string())
+
+
+def _broadcast(spark: SparkSession, model_path: str):
+    with open(model_path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def encode(spark: SparkSession, text: Column, model_path: str) -> Column:
     """array<int>: the ids of a text, without begin or end ids. Null and empty texts: no ids."""
-    with open(model_path, "rb") as f:
-        model = spark.sparkContext.broadcast(f.read())
+    model = _broadcast(spark, model_path)
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = _vocabulary(model.value)
         for batch in batches:
-            parts = []
-            for texts in _slices(batch.to_pylist()):
-                found, ends = vocabulary.encode(texts)
-                values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(found)])
-                parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+            parts = [_id_array(*vocabulary.encode(texts)) for texts in _slices(batch)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return ids(text)
@@ -239,14 +249,27 @@ def encode(spark: SparkSession, text: Column, model_path: str) -> Column:
 
 def decode(spark: SparkSession, ids: Column, model_path: str) -> Column:
     """string: the text of an array of ids. Null: empty."""
-    with open(model_path, "rb") as f:
-        model = spark.sparkContext.broadcast(f.read())
+    model = _broadcast(spark, model_path)
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = _vocabulary(model.value)
         for batch in batches:
-            ends, flat = batch.offsets.to_numpy(), batch.values.to_numpy(zero_copy_only=False)
-            yield pa.array([vocabulary.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+            yield _texts(vocabulary, batch)
 
     return text(F.coalesce(ids, F.array().cast("array<int>")))
+
+
+def round_trip(spark: SparkSession, text: Column, model_path: str) -> Column:
+    """struct<ids, decoded>: the ids of a text and the text of these ids, in one worker."""
+    model = _broadcast(spark, model_path)
+
+    @F.arrow_udf("struct<ids array<int>, decoded string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = _vocabulary(model.value)
+        for batch in batches:
+            ids = [_id_array(*vocabulary.encode(texts)) for texts in _slices(batch)] or [pa.array([], pa.list_(pa.int32()))]
+            decoded = [_texts(vocabulary, part) for part in ids]
+            yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(decoded)], ["ids", "decoded"])
+
+    return both(text)

@@ -30,9 +30,8 @@ def tokenizer_path() -> str:
 @query
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = docs.select("doc_id", pieces.encode(spark, F.col("text"), tokenizer_path()).alias("ids"))
-    both = ids.withColumn("decoded", pieces.decode(spark, F.col("ids"), tokenizer_path()))
-    return both.select(
+    found = docs.select("doc_id", pieces.round_trip(spark, F.col("text"), tokenizer_path()).alias("p")).select("doc_id", "p.*")
+    return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
