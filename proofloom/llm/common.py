@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,3 +19,16 @@ def fold(doc_id: str, n: int) -> Column:
 
 def held_out(doc_id: str, n: int) -> Column:
     return fold(doc_id, n) == 0
+
+
+#: Rows of a few numbers that are sent to all executors at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow table for broadcast if a count shows that it is small; else it is joined by shuffling.
+
+    The table is written to the shared folder first, so that it is worked out once.
+    """
+    df = cut_lineage(df, "small")
+    return F.broadcast(df) if df.count() <= rows else df

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from .common import small
 from .components import components
 from .shingles import Shingler, mix
 
@@ -46,9 +47,6 @@ ROWS, BANDS = 5, 26
 PERCENT = 85
 #: Members of a chunk; two chunks meet in a task.
 CHUNK = 96
-#: Ids sent to all executors at most; more are joined by shuffling.
-BROADCAST_IDS = 2_000_000
-
 
 def sketch(hashes: np.ndarray, bins: int = ROWS * BANDS) -> np.ndarray:
     """Filled coordinates of a non-empty set of hashes."""
@@ -177,9 +175,7 @@ def links(reps: DataFrame, docs: DataFrame, percent: int = PERCENT, chunk: int =
              .withColumn("chunk", F.pmod(F.xxhash64("rep", "centre"), F.col("chunks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
              .select("centre", "rep", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")))
-    asked = members.select("rep").distinct()
-    if asked.count() <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
+    asked = small(members.select("rep").distinct())
     sets = (docs.select(F.col("doc_id").alias("rep"), "text").join(asked, "rep", "left_semi")
             .select("rep", _sets("text").alias("hashes")))
     met = (dealt.join(sets, "rep").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, pieces, profiles, ranking
+from . import neardup, pieces, profiles, ranking, templates
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op8_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
