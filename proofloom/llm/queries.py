@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, pieces, profiles, ranking, templates
-from .common import held_out, table
+from . import bilinear, fractions, neardup, pieces, profiles, ranking, templates
+from .common import fold, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,13 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op2_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id", 10).alias("held_out"), "text")
+    # The remainders 1 to 9 are the training documents; odd ones train in the first round, even ones in the second.
+    return bilinear.language_model_scores(docs, "held_out", (fold("doc_id", 10) + 1) % bilinear.ROUNDS)
+
+
 @query
 def op3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -46,6 +53,11 @@ def op3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", ranking.predicted(F.col("score")))
 
 
+@query
+def op7_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fractions.edit_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
