@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear, fractions, neardup, pieces, profiles, ranking, templates
+from . import bilinear, curve, fractions, neardup, pieces, profiles, ranking, templates
 from .common import fold, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,14 @@ def op3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", ranking.predicted(F.col("score")))
 
 
+@query
+def op5_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    levels = [curve.level_of_name(F.col("source")), curve.level_of_name(F.col("lang")), curve.level_of_number(size)]
+    return curve.shards(docs, levels, 8).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 @query
 def op7_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fractions.edit_report(table(spark, sf_dir, "documents"))
