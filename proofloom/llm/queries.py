@@ -7,18 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear, curve, fractions, neardup, pieces, profiles, ranking, templates
+from . import bilinear, curve, fractions, licenses, neardup, pieces, profiles, ranking, templates
 from .common import fold, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn, sql: str | None = None):
-    QUERIES[fn.__name__] = fn
-    if sql:
-        ORACLES[fn.__name__] = sql
-    return fn
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+    return register
 
 
 def tokenizer_path() -> str:
@@ -27,7 +29,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-@query
+@query()
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", pieces.round_trip(spark, F.col("text"), tokenizer_path()).alias("p")).select("doc_id", "p.*")
@@ -37,14 +39,14 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query
+@query()
 def op2_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id", 10).alias("held_out"), "text")
     # The remainders 1 to 9 are the training documents; odd ones train in the first round, even ones in the second.
     return bilinear.language_model_scores(docs, "held_out", (fold("doc_id", 10) + 1) % bilinear.ROUNDS)
 
 
-@query
+@query()
 def op3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -53,7 +55,7 @@ def op3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", ranking.predicted(F.col("score")))
 
 
-@query
+@query()
 def op5_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = F.octet_length(F.coalesce("text", F.lit("")))
@@ -61,12 +63,17 @@ def op5_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve.shards(docs, levels, 8).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-@query
+@query(licenses.ORACLE)
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@query()
 def op7_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fractions.edit_report(table(spark, sf_dir, "documents"))
 
 
-@query
+@query()
 def op8_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     known = profiles.learn(docs.where(~held_out("doc_id", 5)))
@@ -74,11 +81,11 @@ def op8_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-@query
+@query()
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query
+@query()
 def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
