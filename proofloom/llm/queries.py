@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear, curve, fractions, licenses, neardup, pieces, profiles, ranking, templates
+from . import bilinear, curve, fractions, licenses, neardup, pieces, profiles, ranking, templates, toolcalls
 from .common import fold, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def op3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", ranking.predicted(F.col("score")))
 
 
+@query(toolcalls.ORACLE)
+def op4_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return toolcalls.link(toolcalls.derived_calls(turns), toolcalls.derived_results(turns), toolcalls.TOOLS)
+
+
 @query()
 def op5_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
