@@ -30,7 +30,6 @@ ABBREVIATIONS = frozenset([
 _SPACE = re.compile(r"\s+")
 _WORD4 = re.compile(r"\b\w{4,}\b")
 _STOP = re.compile(r"[.!?](?=\s|$)")
-_TAIL = re.compile(r"[^\W_.]*(?:\.[^\W_]*)*$")
 
 
 def normalize(text: str) -> str:
@@ -175,10 +174,17 @@ def _overlap_match(quote: str, passage: str):
     return ("word_overlap", *span, best / len(wanted))
 
 
+def _word_start(text: str, at: int) -> int:
+    """Where the run of letters, digits and dots that ends before a place begins."""
+    while at > 0 and (text[at - 1].isalnum() or text[at - 1] == "."):
+        at -= 1
+    return at
+
+
 def _ends_sentence(text: str, at: int) -> bool:
     if text[at] != ".":
         return True
-    word = _TAIL.search(text, max(0, at - 40), at).group(0).strip(".").lower()
+    word = text[_word_start(text, at):at].strip(".").lower()
     return not (word in ABBREVIATIONS or (len(word) == 1 and word.isalpha()))
 
 

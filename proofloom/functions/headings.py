@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, let, strip
+from .text import col, let, running, strip
 
 # Limits of a heading line.
 MAX_HEADING_CHARS = 90
@@ -181,12 +181,14 @@ def sections(text: Column | str) -> Column:
         tagged = F.filter(
             F.transform(lines, lambda l, i: F.struct(
                 i.alias("i"), strip(l).alias("heading"),
-                F.when(F.length(l) <= 4 * MAX_HEADING_CHARS, classify_heading(l)).alias("category"))),
+                classify_heading(l).alias("category"))),
             lambda x: x["category"].isNotNull())
-        starts = F.transform(tagged, lambda x: F.struct(
-            F.when(x["i"] == 0, F.lit(0)).otherwise(
-                F.length(F.array_join(F.slice(lines, F.lit(1), x["i"]), "\n")) + 1).alias("start"),
-            x["category"].alias("category"), x["heading"].alias("heading")))
+        # Each heading adds the lines since the one before, so all lines are measured once.
+        gaps = F.transform(tagged, lambda x, k: let(
+            F.coalesce(F.get(tagged, k - 1)["i"], F.lit(0)),
+            lambda a: F.aggregate(F.slice(lines, a + 1, x["i"] - a), F.lit(0), lambda n, l: n + F.length(l) + 1)))
+        starts = let(gaps, lambda g: F.transform(F.arrays_zip(tagged.alias("x"), running(g).alias("start")), lambda z: F.struct(
+            z["start"].alias("start"), z["x"]["category"].alias("category"), z["x"]["heading"].alias("heading"))))
         return let(starts, lambda heads: F.transform(heads, lambda h, i: F.struct(
             h["start"].alias("start"),
             F.coalesce(F.get(heads, i + 1)["start"], F.length(t)).alias("end"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, let
+from .text import col, let, running
 
 # The tokens of an assembled text.
 QUOTE_TOKEN = r"\[\[Q\d+\]\]"
@@ -19,9 +19,8 @@ def pattern_spans(text: Column | str, pattern: str) -> Column:
 
     def place(pieces: Column) -> Column:
         def with_found(found: Column) -> Column:
-            before = F.transform(found, lambda m, i: F.aggregate(
-                F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
-                + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
+            before = running(F.transform(found, lambda m, i: F.length(F.get(pieces, i))
+                                         + F.coalesce(F.length(F.get(found, i - 1)), F.lit(0))))
             return F.transform(F.arrays_zip(before.alias("start"), found.alias("found")), lambda x: F.struct(
                 x["start"].alias("start"), (x["start"] + F.length(x["found"])).alias("end"), x["found"].alias("found")))
         return let(F.regexp_extract_all(t, F.lit(f"({pattern})"), 1), with_found)

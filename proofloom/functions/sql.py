@@ -25,6 +25,8 @@ def register_functions(spark: SparkSession) -> list[str]:
 
     class Chunks:
         def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple]:
+            if size <= overlap + 100:
+                raise ValueError("chunk size must exceed the overlap by more than the look-back of 100")
             start, n, i = 0, len(text or ""), 0
             while start < n:
                 end = min(start + size, n)

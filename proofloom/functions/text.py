@@ -22,6 +22,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(numbers: Column) -> Column:
+    """Inclusive running sums of an array of integers, in as many passes as its size has bits."""
+    def passes(a: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.length(F.bin(F.size(a))))
+        return F.aggregate(steps, a, lambda s, k: F.transform(
+            s, lambda v, i: v + F.coalesce(F.get(s, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))))
+
+    return let(numbers, passes)
+
+
 def strip(c: Column | str) -> Column:
     """Drop white space at both ends, line ends included."""
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")

@@ -69,6 +69,9 @@ def _close(text: str) -> str | None:
     return best
 
 
+CLOSING = re.compile(r"\s*(?:[,:}\]]|$)")
+
+
 def _escape_inner(text: str) -> str:
     """Escape a quotation mark inside a string: one that nothing structural follows."""
     out, inside, i = [], False, 0
@@ -79,7 +82,7 @@ def _escape_inner(text: str) -> str:
             i += 2
             continue
         if c == '"':
-            closing = re.match(r"\s*(?:[,:}\]]|$)", text[i + 1:i + 64]) is not None
+            closing = CLOSING.match(text, i + 1) is not None
             if inside and not closing:
                 c = '\\"'
             else:

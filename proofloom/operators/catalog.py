@@ -60,9 +60,20 @@ def link_search_hits(hits: DataFrame) -> DataFrame:
                             "pdf_ord", "abstract_ord")
 
 
-# Record numbers stay below 2^40 and abstracts below 2^23 characters, so the
-# longest abstract and, among those, the earliest record are one long maximum.
-_SEQ_BITS = 1 << 40
+# The longest abstract and, among those, the earliest record are one decimal
+# maximum, which hash aggregation can hold. It has room for any length (an int)
+# before any record number (a long).
+_LAST_SEQ = (1 << 63) - 1
+_ROOM = "1" + "0" * 20
+
+
+def _longest_first(text: str, seq: str) -> Column:
+    return (F.length(text).cast("decimal(11,0)") * F.lit(_ROOM).cast("decimal(21,0)")
+            + (F.lit(_LAST_SEQ).cast("decimal(20,0)") - F.col(seq).cast("decimal(20,0)")))
+
+
+def _seq_of_longest(packed: str) -> Column:
+    return (F.lit(_LAST_SEQ).cast("decimal(20,0)") - F.col(packed) % F.lit(_ROOM).cast("decimal(21,0)")).cast("bigint")
 
 
 def resolve_catalog(papers: DataFrame) -> DataFrame:
@@ -90,7 +101,7 @@ def resolve_catalog(papers: DataFrame) -> DataFrame:
         # The title key as two hashes: grouping by them is grouping by the key.
         F.when(title_usable("title"), F.xxhash64(title_key("title"))).alias("t1"),
         F.when(title_usable("title"), F.xxhash64(F.lit("second"), title_key("title"))).alias("t2"),
-        F.when(~missing("abstract"), F.length("abstract").cast("bigint") * _SEQ_BITS + (_SEQ_BITS - 1 - seq)).alias("abstract"),
+        F.when(~missing("abstract"), _longest_first("abstract", "seq")).alias("abstract"),
         F.when(F.col("citation_count") > 0, F.col("citation_count")).alias("cites"),
         supplier(~missing("open_access_pdf_url")).alias("pdf"), supplier(F.col("full_text_available")).alias("full"),
         supplier(~missing("pmcid")).alias("pmc"), supplier(~missing("arxiv_id")).alias("arx"))
@@ -113,7 +124,7 @@ def resolve_catalog(papers: DataFrame) -> DataFrame:
     for c in least + most:
         member = member.withColumn(c, F.when(alone, F.col(f"first_{c}")).otherwise(F.col(c)))
     merged = fold(member, ["survivor"], F.sum("n_records").alias("n_records"))
-    chosen = merged.withColumn("abstract_seq", _SEQ_BITS - 1 - F.col("abstract") % _SEQ_BITS).drop("abstract")
+    chosen = merged.withColumn("abstract_seq", _seq_of_longest("abstract")).drop("abstract")
 
     rest = ["title", "authors", "year", "venue", "doi", "source_api", "citation_count"]
     roles = {"abstract": "abstract_seq", "open_access_pdf_url": "pdf", "pmcid": "pmc", "arxiv_id": "arx",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +29,33 @@ EXCERPT_CHARS = 2000
 CHUNK_TYPE = "array<struct<chunk_index:int,start:int,end:int,chunk:string>>"
 
 
+def _spans(body: str, size: int, overlap: int, cut) -> Iterator[tuple[int, int]]:
+    """Offsets of chunks of at most `size`; `cut` shortens a chunk, given its offsets."""
+    start = end = 0
+    while end < len(body):
+        end = min(start + size, len(body))
+        if end < len(body):
+            end = cut(body, start, end)
+        yield start, end
+        start = max(end - overlap, start + 1)
+
+
+def _after_last_mark(body: str, start: int, end: int) -> int:
+    """Just behind the last sentence or line end near the end of a chunk."""
+    found = max(body.rfind(c, end - CHUNK_LOOKBACK, end) for c in ".!?\n")
+    return found + 1 if found >= 0 else end
+
+
+#: A paragraph end, or else a sentence end, as far on as possible.
+_BREAK = re.compile(r"(?s).*\n(?=\n)|.*(?:[.?!] |\.\n)")
+
+
+def _in_last_fifth(body: str, start: int, end: int) -> int:
+    """Behind the last paragraph end in the last fifth of a chunk, else behind its last sentence end."""
+    found = _BREAK.match(body, start + int(0.8 * (end - start)), end)
+    return found.end() if found and len(found.group(0)) > 1 else end
+
+
 def chunk_offsets(docs: DataFrame, text: str = "text", size: int = CHUNK_CHARS,
                   overlap: int = CHUNK_OVERLAP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Overlapping chunks that end at a sentence or line end where one is near.
@@ -37,20 +66,10 @@ def chunk_offsets(docs: DataFrame, text: str = "text", size: int = CHUNK_CHARS,
     if size <= overlap + CHUNK_LOOKBACK:
         raise ValueError("chunk size must exceed the overlap by more than the look-back")
 
-    def walk(body: str) -> list[dict]:
-        out, start, n = [], 0, len(body)
-        while start < n:
-            end = min(start + size, n)
-            if end < n:
-                cut = max(body.rfind(c, end - CHUNK_LOOKBACK, end) for c in ".!?\n")
-                end = cut + 1 if cut >= 0 else end
-            out.append({"chunk_index": len(out), "start": start, "end": end, "chunk": body[start:end]})
-            start = end - overlap if end < n else end
-        return out
-
     @F.pandas_udf(CHUNK_TYPE)
     def cut(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: walk(b) if b else [])
+        return bodies.map(lambda b: [{"chunk_index": i, "start": s, "end": e, "chunk": b[s:e]} for i, (s, e) in enumerate(
+            _spans(b or "", size, overlap, _after_last_mark))])
 
     return (docs.select(*keep, F.length(text).alias("_n"), F.explode(cut(F.col(text))).alias("c"))
             .select(*keep, "c.chunk_index", "c.start", "c.end", "c.chunk",
@@ -58,39 +77,24 @@ def chunk_offsets(docs: DataFrame, text: str = "text", size: int = CHUNK_CHARS,
 
 
 def chunk_sequential(docs: DataFrame, text: str = "text", size: int = 12000, overlap: int = 600,
-                     max_chunks: int = 0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Reading chunks: paragraph end, else sentence end, in the last fifth."""
-    size, overlap = max(size, 1000), max(overlap, 0)
-    overlap = size // 4 if overlap >= size else overlap
-
-    def boundary(body: str, start: int, end: int) -> int:
-        low = start + int(size * 0.8)
-        paragraph = body.rfind("\n\n", low, end)
-        if paragraph >= 0:
-            return paragraph + 1 if paragraph > low else end
-        last = max((at + len(p) - 1 for p in (". ", ".\n", "? ", "! ")
-                    if (at := body.rfind(p, low, end)) >= 0), default=-1)
-        return last + 1 if last > low else end
-
-    def walk(body: str) -> list[dict]:
-        pieces, start, n = [], 0, len(body)
-        while start < n:
-            end = start + size
-            end = boundary(body, start, end) if end < n else n
-            if piece := body[start:end].strip():
-                pieces.append({"chunk_index": len(pieces), "start": start, "end": end, "chunk": piece})
-            if end >= n or (max_chunks and len(pieces) >= max_chunks):
-                break
-            start = max(end - overlap, start + 1)
-        return pieces
+                     max_chunks: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Reading chunks without blanks around them; a text of one chunk stays as it is.
+
+    A chunk ends at a paragraph end, else at a sentence end, in its last fifth.
+    With `max_chunks` only the first chunks of a text are returned.
+    """
+    if size < 1000 or not 0 <= overlap < size:
+        raise ValueError("chunks need 1000 characters or more, and an overlap below their size")
 
     @F.pandas_udf(CHUNK_TYPE)
     def cut(bodies: pd.Series) -> pd.Series:
-        def one(b):
-            if not b:
-                return []
-            return [{"chunk_index": 0, "start": 0, "end": len(b), "chunk": b}] if len(b) <= size else walk(b)
-        return bodies.map(one)
+        def pieces(b):
+            if not b or len(b) <= size:
+                return [(0, len(b), b)] if b else []
+            kept = ((s, e, b[s:e].strip()) for s, e in _spans(b, size, overlap, _in_last_fifth))
+            return list(islice((k for k in kept if k[2]), max_chunks))
+
+        return bodies.map(lambda b: [{"chunk_index": i, "start": s, "end": e, "chunk": c} for i, (s, e, c) in enumerate(pieces(b))])
 
     return docs.select(*keep, F.explode(cut(F.col(text))).alias("c")).select(
         *keep, "c.chunk_index", "c.start", "c.end", "c.chunk")

@@ -99,7 +99,8 @@ def pack_batches(df: DataFrame, key: str, order: str, size: str, budget: int,
     import pandas as pd
 
     cut = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket_rows)))
-    rows = cut.select(F.col(key).cast("bigint").alias("k"), F.col("_bucket").alias("b"),
+    kind = df.schema[key].dataType.simpleString()
+    rows = cut.select(F.col(key).alias("k"), F.col("_bucket").alias("b"),
                       F.col(order).alias("o"), F.col(size).cast("bigint").alias("n"))
 
     def next_starts(total):
@@ -122,7 +123,7 @@ def pack_batches(df: DataFrame, key: str, order: str, size: str, budget: int,
                              "opened": [opened[reach[1]].tolist()]})
 
     maps = rows.groupBy("k", "b").applyInPandas(
-        describe, "k bigint, b bigint, size bigint, limit array<bigint>, carry array<bigint>, opened array<bigint>")
+        describe, f"k {kind}, b bigint, size bigint, limit array<bigint>, carry array<bigint>, opened array<bigint>")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("b")
@@ -137,7 +138,7 @@ def pack_batches(df: DataFrame, key: str, order: str, size: str, budget: int,
                 carry, batch = r.carry[at], batch + r.opened[at]
         return pd.DataFrame(out, columns=["k", "b", "carry", "batch"])
 
-    entry = maps.groupBy("k").applyInPandas(chain, "k bigint, b bigint, carry bigint, batch bigint")
+    entry = maps.groupBy("k").applyInPandas(chain, f"k {kind}, b bigint, carry bigint, batch bigint")
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("o")
@@ -153,5 +154,5 @@ def pack_batches(df: DataFrame, key: str, order: str, size: str, budget: int,
         return pd.DataFrame({"k": pdf["k"], "o": pdf["o"], "batch": label})
 
     labels = rows.join(entry, ["k", "b"]).groupBy("k", "b").applyInPandas(
-        number, "k bigint, o bigint, batch bigint")
+        number, f"k {kind}, o bigint, batch bigint")
     return df.join(labels.select(F.col("k").alias(key), F.col("o").alias(order), "batch"), [key, order])

@@ -10,9 +10,9 @@ from ..functions import fuzzy
 from ..functions.citations import secondhand_markers
 from ..functions.headings import section_at, sections
 from ..functions.keys import quote_key
-from ..functions.text import let, missing, normalize_text, numbers_subset, tokenize, words
+from ..functions.text import let, missing, normalize_text, numbers_subset, running, tokenize, words
 from . import passages as P
-from ..session import spread
+from ..session import cut_lineage, spread
 from .prefix import first_n_per_key, first_per_key
 
 # Acceptance and gating.
@@ -39,11 +39,15 @@ def _gram_hashes(w: Column) -> Column:
             F.array().cast("array<bigint>"))
 
 
-def _char_grams(text: Column) -> Column:
-    flat = normalize_text(text)
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(flat) - 2, F.lit(1))),
-        lambda i: F.xxhash64(F.lit("c"), F.substring(flat, i, F.lit(3)))))
+def _char_grams(text: Column, n: int) -> Column:
+    """Hashes of all runs of n characters."""
+    def grams(flat: Column) -> Column:
+        last = F.length(flat) - (n - 1)
+        return F.when(last >= 1, F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.lit("c"), F.substring(flat, i, F.lit(n)))))
+        ).otherwise(F.array().cast("array<bigint>"))
+
+    return let(normalize_text(text), grams)
 
 
 def candidate_pairs(quotes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -52,35 +56,41 @@ def candidate_pairs(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     All words of a quotation but its first and last are whole words of any text
     that holds it. One run of four such words (one word, for short quotations;
     three characters, for very short ones) is looked up by an equi-join on its
-    hash, so every holder is found and no quotation meets every text.
+    hash, so every holder is found. Quotations of fewer than three characters are
+    looked up by runs of their own length. The least frequent of the runs in the
+    texts is the one that is looked up, so boilerplate in a quotation does not
+    bring all its holders together.
     """
     q = quotes.select("quote_id", F.col("quote").alias("_q"), _folded_words(F.col("quote")).alias("w"))
     n = F.size("w")
+    flat = F.length(normalize_text("_q"))
     inner = F.slice("w", F.lit(2), F.greatest(n - 2, F.lit(0)))
-    tier = F.when(n >= GRAM_WORDS + 2, F.lit("gram")).when(n >= 3, F.lit("word")).otherwise(F.lit("char"))
-    # The longest run of words, or word, is the rarest guess.
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("inner") - GRAM_WORDS, F.lit(0))), lambda i: F.struct(
-        F.length(F.concat(*[F.coalesce(F.get("inner", i + k), F.lit("")) for k in range(GRAM_WORDS)])).alias("n"),
-        F.xxhash64(*[F.get("inner", i + k) for k in range(GRAM_WORDS)]).alias("h")))
-    longest = F.array_max(F.transform("inner", lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(F.lit("w"), x).alias("h"))))
-    anchored = q.withColumn("inner", inner).withColumn("tier", tier).select(
-        "quote_id", "tier", F.when(F.col("tier") == "gram", F.array_max(runs)["h"])
-        .when(F.col("tier") == "word", longest["h"])
-        .otherwise(F.get(_char_grams(F.col("_q")), F.lit(0))).alias("anchor"))
-    # At most three tiers exist; only the indexes that are needed are built.
-    tiers = {r["tier"] for r in anchored.select("tier").distinct().collect()}
-    parts = []
+    tier = (F.when(n >= GRAM_WORDS + 2, F.lit("gram")).when(n >= 3, F.lit("word")).when(flat >= 3, F.lit("char3"))
+            .when(flat == 2, F.lit("char2")).when(flat == 1, F.lit("char1")))
+    asked = q.withColumn("inner", inner).withColumn("tier", tier).where("tier is not null")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("inner") - GRAM_WORDS, F.lit(0))),
+                       lambda i: F.xxhash64(*[F.get("inner", i + k) for k in range(GRAM_WORDS)]))
+    keys = F.when(F.col("tier") == "gram", runs).when(
+        F.col("tier") == "word", F.transform("inner", lambda x: F.xxhash64(F.lit("w"), x)))
+    for k in (3, 2, 1):
+        keys = keys.when(F.col("tier") == f"char{k}", _char_grams(F.col("_q"), k))
+    asked = asked.select("quote_id", "tier", F.explode(F.array_distinct(keys)).alias("anchor"))
     w = _folded_words(F.col("text"))
-    if "gram" in tiers:
-        parts.append(F.array_distinct(let(w, _gram_hashes)))
-    if "word" in tiers:
-        parts.append(F.transform(F.array_distinct(w), lambda x: F.xxhash64(F.lit("w"), x)))
-    if "char" in tiers:
-        parts.append(_char_grams(F.col("text")))
-    if not parts:
-        return anchored.select("quote_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id")).limit(0)
-    index = docs.select("doc_id", F.explode(F.concat(*parts)).alias("anchor"))
-    return index.join(anchored.drop("tier"), "anchor").select("quote_id", "doc_id").distinct()
+    grams = {"gram": F.array_distinct(let(w, _gram_hashes)),
+             "word": F.transform(F.array_distinct(w), lambda x: F.xxhash64(F.lit("w"), x)),
+             **{f"char{k}": _char_grams(F.col("text"), k) for k in (3, 2, 1)}}
+    # At most five tiers exist; only the runs that are needed are made. What no quotation asks for is not shuffled on.
+    tiers = sorted(r["tier"] for r in asked.select("tier").distinct().collect())
+    if not tiers:
+        return q.select("quote_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id")).limit(0)
+    index = docs.select("doc_id", F.explode(F.concat(*[grams[t] for t in tiers])).alias("anchor"))
+    index = cut_lineage(index.join(asked.select("anchor").distinct(), "anchor", "left_semi"), "quote-anchors")
+    df = index.groupBy("anchor").agg(F.count("*").alias("df"))
+    # A run that no text holds makes a quotation impossible: its frequency 0 is the least.
+    ranked = asked.join(df, "anchor", "left").groupBy("quote_id").agg(
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "anchor")).alias("m"))
+    rarest = ranked.where("m.df > 0").select("quote_id", F.col("m.anchor").alias("anchor"))
+    return index.join(rarest, "anchor").select("quote_id", "doc_id").distinct()
 
 
 def occurrences(text: Column, quote: Column) -> Column:
@@ -88,8 +98,7 @@ def occurrences(text: Column, quote: Column) -> Column:
     safe = F.concat(F.lit("(?=\\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     pieces = F.transform(F.split(text, safe), F.length)
     # A look-ahead split starts a piece at each occurrence but one at offset 0.
-    starts = F.transform(pieces, lambda _, i: F.aggregate(
-        F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    starts = let(pieces, lambda p: F.transform(F.arrays_zip(running(p).alias("end"), p.alias("n")), lambda x: x["end"] - x["n"]))
     return F.filter(starts, lambda s: (s > 0) | F.startswith(text, quote))
 
 

@@ -69,7 +69,8 @@ def citation_snowball(seeds: DataFrame, edges: DataFrame, papers: DataFrame, max
     tries over all generations in frontier order; None lifts the bound.
     Each generation is one job whose result is written before the next.
     """
-    frontier = seeds.select("paper", "ord")
+    # The place of a work is the path of entry numbers from its seed.
+    frontier = seeds.select("paper", F.array(F.col("ord").cast("bigint")).alias("ord"))
     seen = seeds.select("paper").distinct()
     generations, left = [], budget
     for depth in range(1, max_depth + 1):
@@ -93,7 +94,7 @@ def citation_snowball(seeds: DataFrame, edges: DataFrame, papers: DataFrame, max
         left = None if left is None else left - n
         seen = seen.unionByName(tried.select("paper"))
         # A work inherits the place of the first entry that led to it.
-        frontier = tried.where("kept").select("paper", (F.col("ord") * 100 + F.col("entry_no")).alias("ord"))
+        frontier = tried.where("kept").select("paper", F.concat("ord", F.array(F.col("entry_no").cast("bigint"))).alias("ord"))
     every = generations[0]
     for g in generations[1:]:
         every = every.unionByName(g)

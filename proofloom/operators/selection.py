@@ -239,11 +239,14 @@ def stagnation(rounds: DataFrame, limit: int = 3) -> DataFrame:
 
 def round_stop_reason(rounds: DataFrame, round_cap: int = 8, max_engagements: int = 2, max_stagnant: int = 3,
                       absolute_cap: int = 40, minutes: float = 90) -> DataFrame:
-    """The first stop rule that holds after each round."""
+    """The first stop rule that holds after each round.
+
+    `round_cap` counts the tangential rounds, `absolute_cap` all of them.
+    """
     run = running_totals(stagnation(rounds, max_stagnant), ["run_id"], "round", {
-        "n_rounds": F.lit(1).cast("bigint"), "n_engagements": F.col("engagements").cast("bigint"),
+        "n_rounds": F.lit(1).cast("bigint"), "n_tangential": F.col("tangential").cast("bigint"), "n_engagements": F.col("engagements").cast("bigint"),
         "n_minutes": F.col("minutes").cast("decimal(18,2)")})
-    return run.withColumn("reason", F.when(F.col("n_rounds") >= round_cap, F.lit("round cap"))
+    return run.withColumn("reason", F.when(F.col("n_tangential") >= round_cap, F.lit("round cap"))
                           .when(F.col("n_engagements") > max_engagements, F.lit("engagement limit"))
                           .when(F.col("stagnant") >= max_stagnant, F.lit("stagnation"))
                           .when(F.col("n_rounds") >= absolute_cap, F.lit("absolute cap"))

@@ -79,7 +79,23 @@ def _(spark, sf):
         "doc_id", "chunk_index", "start", "end", F.md5("chunk").alias("chunk_md5"), "position_ratio")
 
 
-@query("f25_chunk_sequential")
+def _last_fifth(start: str) -> str:
+    window = f"substring(text, {start} + 2401, 600)"
+    return rf"""({start} + 2400 + case
+ when regexp_matches({window}, '\n\n') then case when length(regexp_extract({window}, '(?s)^.*\n\n')) > 2 then length(regexp_extract({window}, '(?s)^.*\n\n')) - 1 else 600 end
+ when regexp_matches({window}, '[.?!] |\.\n') then length(regexp_extract({window}, '(?s)^.*([.?!] |\.\n)')) else 600 end)"""
+
+
+@query("f25_chunk_sequential", f"""
+with recursive cuts as (
+ select doc_id, 0 as s, text, length(text) as n, case when length(text) <= 3000 then length(text) else {_last_fifth('0')} end as e
+ from documents where length(text) > 0
+ union all
+ select doc_id, b as s, text, n, case when b + 3000 >= n then n else {_last_fifth('b')} end as e
+ from (select *, greatest(e - 300, s + 1) as b from cuts where e < n) x),
+pieces as (select doc_id, s, e, case when n <= 3000 then text else {SQL_STRIP.format('substring(text, s + 1, e - s)')} end as chunk from cuts)
+select doc_id, cast(row_number() over (partition by doc_id order by s) - 1 as int) as chunk_index, cast(s as int) as start, cast(e as int) as "end", chunk
+from pieces where chunk <> ''""")
 def _(spark, sf):
     return P.chunk_sequential(docs_of(spark, sf), size=3000, overlap=300)
 
@@ -181,7 +197,7 @@ _KNOWN = sorted({*H.EVIDENCE_NOUNS, *H.METHODS_NOUNS, *H.EXCLUDE_NOUNS, *H.QUALI
 HEADINGS = rf"""
 , ls as (select doc_id, string_split(article, chr(10)) as lines, article from articles),
 line0 as (select doc_id, unnest(lines) as raw, unnest(range(1, len(lines) + 1)) as i, lines from ls),
-line1 as (select doc_id, i, {SQL_STRIP.format('raw')} as line from line0 where length(raw) <= 360),
+line1 as (select doc_id, i, {SQL_STRIP.format('raw')} as line from line0),
 line2 as (select *, regexp_replace({SQL_STRIP.format('line')}, '^[*_`]+|[*_`]+$', '', 'g') as c0 from line1
   where length(line) between 1 and 90 and len(regexp_split_to_array(line, '\s+')) <= 10
    and not regexp_matches(line, '(?i)^(figure|fig|table|tab|scheme|equation|eq|algorithm|chart|plate|box|exhibit|appendix\s+figure|appendix\s+table)\s*\.?\s*\d')),
@@ -213,7 +229,6 @@ def articles_of(spark, sf):
 @query("f10_classify_heading", oracle(HEADINGS + "select doc_id, cast(i - 1 as int) as line_no, heading, category from heads", "articles"))
 def _(spark, sf):
     lines = articles_of(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    lines = lines.where(F.length("raw") <= 4 * H.MAX_HEADING_CHARS)
     return lines.select("doc_id", "line_no", X.strip("raw").alias("heading"), H.classify_heading("raw").alias("category")).where(
         "category is not null")
 

@@ -230,15 +230,25 @@ def _(spark, sf):
     return S.stagnation(derive(spark, sf, "search_rounds")).select("run_id", "round", "stagnant", "stop")
 
 
-@query("w14_round_stop_reason", oracle("""
+_ROUNDS = """
 , i as (select *, sum(case when added > 0 then 1 else 0 end) over (partition by run_id order by round rows unbounded preceding) as island from search_rounds),
-c as (select *, sum(case when added > 0 then 0 else 1 end) over (partition by run_id, island order by round rows unbounded preceding) as stagnant, count(*) over w as nr, sum(engagements) over w as ne, sum(cast(minutes as decimal(18,2))) over w as nm
+c as (select *, sum(case when added > 0 then 0 else 1 end) over (partition by run_id, island order by round rows unbounded preceding) as stagnant, count(*) over w as nr, count(*) filter (where tangential) over w as nt, sum(engagements) over w as ne, sum(cast(minutes as decimal(18,2))) over w as nm
  from i window w as (partition by run_id order by round rows unbounded preceding))
-select run_id, round, case when nr >= 8 then 'round cap' when ne > 2 then 'engagement limit' when stagnant >= 3 then 'stagnation' when nr >= 40 then 'absolute cap' when nm >= 90 then 'time budget' end as reason from c""", "search_rounds"))
+"""
+
+
+@query("w14_round_stop_reason", oracle(_ROUNDS + """
+select run_id, round, case when nt >= 8 then 'round cap' when ne > 2 then 'engagement limit' when stagnant >= 3 then 'stagnation' when nr >= 40 then 'absolute cap' when nm >= 90 then 'time budget' end as reason from c""", "search_rounds"))
 def _(spark, sf):
     return S.round_stop_reason(derive(spark, sf, "search_rounds")).select("run_id", "round", "reason")
 
 
+@query("w14_round_caps", oracle(_ROUNDS + """
+select run_id, round, case when nt >= 6 then 'round cap' when ne > 40 then 'engagement limit' when stagnant >= 5 then 'stagnation' when nr >= 7 then 'absolute cap' when nm >= 200 then 'time budget' end as reason from c""", "search_rounds"))
+def _(spark, sf):
+    return S.round_stop_reason(derive(spark, sf, "search_rounds"), 6, 40, 5, 7, 200).select("run_id", "round", "reason")
+
+
 @query("w7_last_n_context", """
 select conv_id, turn, array_to_string([substring(t, 1, 20) for t in coalesce(list(role || ':' || text) over (partition by conv_id order by turn rows between 4 preceding and 1 preceding), [])], '|') as context from conversations""")
 def _(spark, sf):

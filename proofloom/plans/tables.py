@@ -103,7 +103,7 @@ select user_id as run_id, cast(extract(day from ts) as bigint) as round,
  sum(case when event_type = 'view' then 1 else 0 end) as engagements,
  min(case when event_type = 'click' then 'Topic ' || cast(event_id % 12 as string)
    else 'topic: ' || cast(event_id % 7 as string) end) as query,
- sum(value) as minutes
+ cast(extract(day from ts) as bigint) % 3 > 0 as tangential, sum(value) as minutes
 from {events} group by user_id, cast(extract(day from ts) as bigint)""",
     "candidates": """
 select cast(floor(doc_id / 10) as bigint) as query_id, cast(doc_id % 10 + 1 as bigint) as paper_index,

@@ -79,14 +79,14 @@ def stagnation_stream(rounds: DataFrame, limit: int = 3) -> DataFrame:
     """Rounds in a row that added nothing, kept as state per run."""
     def count(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         idle = state.get[0] if state.exists else 0
-        for part in parts:
-            streaks = []
-            for added in part.sort_values("round")["added"]:
-                idle = 0 if added > 0 else idle + 1
-                streaks.append(idle)
-            ordered = part.sort_values("round")
-            yield pd.DataFrame({"run_id": ordered["run_id"].values, "round": ordered["round"].values, "stagnant": streaks,
-                                "stop": [s >= limit for s in streaks]})
+        # The parts of a batch come in any order; the rounds of one run in one batch are few numbers.
+        ordered = pd.concat(list(parts)).sort_values("round")
+        streaks = []
+        for added in ordered["added"]:
+            idle = 0 if added > 0 else idle + 1
+            streaks.append(idle)
+        yield pd.DataFrame({"run_id": ordered["run_id"].values, "round": ordered["round"].values, "stagnant": streaks,
+                            "stop": [s >= limit for s in streaks]})
         state.update((idle,))
 
     return rounds.groupBy("run_id").applyInPandasWithState(
