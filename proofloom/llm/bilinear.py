@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import slices
 
 #: The end of a text; no word is empty.
 END = b""
@@ -290,7 +291,7 @@ def scores(docs: DataFrame, counts: DataFrame, known: Lexicon, model: Model, tex
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         k, score = Lexicon(*lexicon_there.value), Scorer(Model(*model_there.value))
         log_count, base = np.log10(k.counts + 0.1), k.base()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for tokens, starts in _parts(t.as_py() for t in batch):
                 at, symbols = k.places(tokens)

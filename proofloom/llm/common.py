@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.Array], rows: int = 1000) -> Iterator[pa.Array]:
+    """Arrow batches cut smaller, so that a task holds few texts as Python objects."""
+    for batch in batches:
+        yield from (batch.slice(start, rows) for start in range(0, len(batch), rows))
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a missing id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import small
+from .common import slices, small
 from .components import components
 from .shingles import Shingler, mix
 
@@ -77,7 +77,7 @@ def bands(coordinates: np.ndarray, rows: int = ROWS) -> np.ndarray:
 @F.arrow_udf(T.StructType().add("n", "long").add("key", "binary").add("bands", T.ArrayType(T.LongType())))
 def _sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     shingle = Shingler()
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingle(t.as_py()) for t in batch]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         cells = [bands(sketch(s)) if len(s) else None for s in sets]
@@ -89,7 +89,7 @@ def _sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     shingle = Shingler()
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.array([shingle(t.as_py()).view(np.int64) for t in batch], pa.list_(pa.int64()))
 
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
+
 BLANK = "▁"
 #: Segments a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 300_000
@@ -241,8 +243,8 @@ def encode(spark: SparkSession, text: Column, model_path: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = _vocabulary(model.value)
         for batch in batches:
-            parts = [_id_array(*vocabulary.encode(texts)) for texts in _slices(batch)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            for texts in _slices(batch):
+                yield _id_array(*vocabulary.encode(texts))
 
     return ids(text)
 
@@ -254,7 +256,7 @@ def decode(spark: SparkSession, ids: Column, model_path: str) -> Column:
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = _vocabulary(model.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield _texts(vocabulary, batch)
 
     return text(F.coalesce(ids, F.array().cast("array<int>")))
@@ -268,8 +270,8 @@ def round_trip(spark: SparkSession, text: Column, model_path: str) -> Column:
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = _vocabulary(model.value)
         for batch in batches:
-            ids = [_id_array(*vocabulary.encode(texts)) for texts in _slices(batch)] or [pa.array([], pa.list_(pa.int32()))]
-            decoded = [_texts(vocabulary, part) for part in ids]
-            yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(decoded)], ["ids", "decoded"])
+            for texts in _slices(batch):
+                ids = _id_array(*vocabulary.encode(texts))
+                yield pa.StructArray.from_arrays([ids, _texts(vocabulary, ids)], ["ids", "decoded"])
 
     return both(text)

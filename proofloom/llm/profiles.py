@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices, small
+
 #: n-grams of a profile, and of a document.
 RANKS = 400
 #: Letters of the longest n-gram; three code points of 21 bits fit into one number.
 LONGEST = 3
 #: Documents of one language that its profile is learned from at most.
-MAX_ROWS = 2_000
+MAX_ROWS = 1_000
 UNKNOWN = "und"
 
 _BETWEEN = re.compile(r"[\W\d_]+")
@@ -84,7 +86,7 @@ class Profiles:
 
 @F.arrow_udf(T.ArrayType(T.StructType().add("code", "long").add("n", "long")))
 def _grams(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [grams(p) if len(p := letters(t)) else (p, p) for t in batch.to_pylist()]
         ends = np.cumsum([0, *(len(c) for c, _ in found)])
         codes, counts = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in (0, 1))
@@ -98,7 +100,8 @@ def learn(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str
         F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
     narrow = known.select("lang", "id")
     first = narrow.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
-    taught = first.where(F.col("r") <= max_rows).select("lang", "id").distinct()
+    # Up to a thousand rows of a group are picked before the shuffle.
+    taught = small(first.where(F.col("r") <= max_rows).select("lang", "id").distinct())
     counts = (known.join(taught, ["lang", "id"], "left_semi").select("lang", F.explode(_grams("text")).alias("g"))
               .groupBy("lang", "g.code").agg(F.sum("g.n").alias("n")))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
@@ -116,7 +119,7 @@ def predict(profiles: Profiles, text: Column) -> Column:
     """struct<lang string, score double> of a text."""
     @F.arrow_udf("struct<lang string, score double>")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [profiles.predict(t) for t in batch.to_pylist()]
             yield pa.StructArray.from_arrays(
                 [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])

@@ -76,9 +76,10 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     cut = cut.withColumn("template", template(F.col("tokens"))).where(F.size("tokens") > 0)
     cut = cut.groupBy("template").agg(F.min_by(F.struct("item_id", "tokens"), "item_id").alias("first")).select(
         "first.*", "template", F.least(F.size("template"), F.lit(width)).alias("width"))
-    rows = cut.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("template") - F.col("width") + 1)))
-    rows = rows.select("item_id", "at", "width", F.slice("template", "at", "width").alias("window"),
-                       F.slice("tokens", "at", "width").alias("own"))
+    # Only the windows are exploded: a row that carried the whole item would make long items quadratic.
+    windows = F.transform(F.sequence(F.lit(1), F.size("template") - F.col("width") + 1), lambda i: F.struct(
+        i.alias("at"), F.slice("template", i, F.col("width")).alias("window"), F.slice("tokens", i, F.col("width")).alias("own")))
+    rows = cut.select("item_id", "width", F.explode(windows).alias("x")).select("item_id", "width", "x.*")
     told = rows.where(F.size(F.filter("window", lambda t: t >= "\x04")) >= F.least(F.lit(literals), F.col("width")))
     n = told.groupBy("item_id").agg(F.count("*").alias("n"))
     return told.join(n, "item_id").select("item_id", "at", "width", "n", F.xxhash64("window").alias("hash"), "own")
