@@ -3,13 +3,13 @@
 Texts become tokens: words in lower case, and typed slots for numbers, units
 after numbers, and names (capitalised words inside a sentence). A window of
 `WIDTH` tokens, its slots reduced to their types, is a template; windows of
-documents and benchmark items meet by a hash join, and equal templates are
-confirmed token by token. A re-parameterised question keeps its template but
-has other slot values; within one occurrence (one distance between the
-positions in document and item) a value of the item must always stand for the
-same value of the document, else the occurrence does not count. A document is
-contaminated by an item if counted occurrences cover `share` of the item's
-windows.
+documents and benchmark items meet by a hash join on 64 bits, each once for a
+document and item. A re-parameterised question keeps its template but has other
+slot values. So windows with slots are looked at again: within one occurrence
+(one distance between the positions in document and item) a value of the item
+must always stand for the same value of the document, else the windows with
+slots of that occurrence do not count. A document is contaminated by an item if
+the windows that count are `share` of the item's distinct windows.
 
 Windows with fewer than `LITERALS` words outside slots are no evidence, neither
 are items of only such windows. Items shorter than a window are one window.
@@ -62,27 +62,37 @@ def template(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t < "\x04", F.substring(t, 1, 1)).otherwise(t))
 
 
-def _window_hashes(template: Column, width: int) -> Column:
-    """The hash of each window, in order; none if the text is shorter."""
-    starts = F.when(F.size(template) >= width, F.sequence(F.lit(1), F.size(template) - (width - 1))).otherwise(
+def _starts(template: Column, width) -> Column:
+    """Where windows start, from 1; nowhere if the text is shorter."""
+    return F.when(F.size(template) >= width, F.sequence(F.lit(1), F.size(template) - width + 1)).otherwise(
         F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(template, i, width)))
+
+
+def _windows(width: int, made) -> Column:
+    """made(start) of all windows of `template`, in order."""
+    return F.transform(_starts(F.col("template"), width), lambda i: made(i))
+
+
+def _has_slot(window: Column) -> Column:
+    return F.exists(window, lambda t: t < "\x04")
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WIDTH,
                  literals: int = LITERALS) -> DataFrame:
-    """(item_id, at, width, n, hash, own): the telling windows of the items; n counts them per item."""
+    """(item_id, at, width, n, hash, slots, own): the distinct telling windows of the items; n counts them per item."""
     cut = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("tokens"))
     cut = cut.withColumn("template", template(F.col("tokens"))).where(F.size("tokens") > 0)
     cut = cut.groupBy("template").agg(F.min_by(F.struct("item_id", "tokens"), "item_id").alias("first")).select(
         "first.*", "template", F.least(F.size("template"), F.lit(width)).alias("width"))
     # Only the windows are exploded: a row that carried the whole item would make long items quadratic.
-    windows = F.transform(F.sequence(F.lit(1), F.size("template") - F.col("width") + 1), lambda i: F.struct(
+    windows = F.transform(_starts(F.col("template"), F.col("width")), lambda i: F.struct(
         i.alias("at"), F.slice("template", i, F.col("width")).alias("window"), F.slice("tokens", i, F.col("width")).alias("own")))
     rows = cut.select("item_id", "width", F.explode(windows).alias("x")).select("item_id", "width", "x.*")
     told = rows.where(F.size(F.filter("window", lambda t: t >= "\x04")) >= F.least(F.lit(literals), F.col("width")))
+    told = told.groupBy("item_id", "width", "window").agg(F.min(F.struct("at", "own")).alias("f"))
     n = told.groupBy("item_id").agg(F.count("*").alias("n"))
-    return told.join(n, "item_id").select("item_id", "at", "width", "n", F.xxhash64("window").alias("hash"), "own")
+    return told.join(n, "item_id").select("item_id", "f.at", "width", "n", F.xxhash64("window").alias("hash"),
+                                          _has_slot(F.col("window")).alias("slots"), "f.own")
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -93,31 +103,36 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     document holds; n_changed: slot values that differ.
     """
     own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    theirs = item_windows(items, item_id, item_text, width, literals)
+    theirs = small(item_windows(items, item_id, item_text, width, literals))
     widths = sorted(r["width"] for r in theirs.select("width").distinct().collect()) or [width]  # at most `width` numbers
     whole = own.select("doc_id", tokens(F.col("text")).alias("tokens"))
+    # A window that a document repeats meets the items once.
     hashed = whole.select("doc_id", template(F.col("tokens")).alias("template"))
-    exploded = [hashed.select("doc_id", F.posexplode(_window_hashes(F.col("template"), w)).alias("pos", "hash")) for w in widths]
-    windows = exploded[0]
-    for more in exploded[1:]:
-        windows = windows.union(more)
-    met = windows.join(small(theirs), "hash").select(
-        "doc_id", (F.col("pos") + 1).alias("pos"), "item_id", "at", "width", "n", "own").distinct()
-    met = cut_lineage(met, "met")
-    asked = met.select("doc_id").distinct()
-    again = whole.join(small(asked), "doc_id", "left_semi")
-    both = met.join(again, "doc_id").withColumn("theirs", F.slice("tokens", "pos", "width")).drop("tokens")
-    equal = both.where(template(F.col("own")) == template(F.col("theirs")))
-    occurrence = equal.withColumn("shift", F.col("pos") - F.col("at"))
-    pairs = F.filter(F.arrays_zip(F.col("own").alias("a"), F.col("theirs").alias("b")), lambda p: p["a"] < "\x04")
-    slots = (occurrence.select("doc_id", "item_id", "shift", F.explode(pairs).alias("p"))
-             .groupBy("doc_id", "item_id", "shift", "p.a").agg(F.min("p.b").alias("least"), F.max("p.b").alias("most"))
-             .groupBy("doc_id", "item_id", "shift").agg(
-                 F.sum((F.col("least") != F.col("most")).cast("long")).alias("torn"),
-                 F.sum(((F.col("least") != F.col("a")) | (F.col("most") != F.col("a"))).cast("long")).alias("changed")))
-    counted = (occurrence.join(slots, ["doc_id", "item_id", "shift"], "left")
-               .where(F.coalesce("torn", F.lit(0)) == 0)
-               .groupBy("doc_id", "item_id", "at", "n").agg(F.min(F.coalesce("changed", F.lit(0))).alias("changed"))
-               .groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_covered"), F.max("changed").alias("n_changed")))
+    every = F.array_distinct(F.concat(*[_windows(w, lambda i, w=w: F.xxhash64(F.slice("template", i, w))) for w in widths]))
+    met = hashed.select("doc_id", F.explode(every).alias("hash")).join(theirs.drop("own"), "hash")
+    met = cut_lineage(met.select("doc_id", "item_id", "n", "hash", "slots").distinct(), "windows")
+    words = met.where("not slots").select("doc_id", "item_id", "n", "hash", F.lit(0).cast("long").alias("changed"))
+    slots = _slot_windows(whole, met.where("slots"), theirs.where("slots"), widths)
+    covered = words.unionByName(slots).groupBy("doc_id", "item_id", "n", "hash").agg(F.min("changed").alias("changed"))
+    counted = covered.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_covered"), F.max("changed").alias("n_changed"))
     return counted.where(F.col("n_covered") >= share * F.col("n")).select(
         "doc_id", "item_id", F.col("n").alias("n_windows"), "n_covered", "n_changed")
+
+
+def _slot_windows(whole: DataFrame, met: DataFrame, theirs: DataFrame, widths: list[int]) -> DataFrame:
+    """The met windows with slots that stand in an occurrence whose slot values agree, and how many values differ there."""
+    again = whole.join(small(met.select("doc_id").distinct()), "doc_id", "left_semi").withColumn("template", template(F.col("tokens")))
+    windows = F.concat(*[_windows(w, lambda i, w=w: F.struct(
+        i.alias("pos"), F.slice("template", i, w).alias("window"), F.slice("tokens", i, w).alias("theirs"))) for w in widths])
+    rows = again.select("doc_id", F.explode(F.filter(windows, lambda x: _has_slot(x["window"]))).alias("x"))
+    rows = rows.select("doc_id", F.xxhash64("x.window").alias("hash"), "x.window", "x.pos", "x.theirs")
+    both = rows.join(theirs, "hash").where(template(F.col("own")) == F.col("window"))
+    both = both.withColumn("shift", F.col("pos") - F.col("at"))
+    pairs = F.filter(F.arrays_zip(F.col("own").alias("a"), F.col("theirs").alias("b")), lambda p: p["a"] < "\x04")
+    key = ["doc_id", "item_id", "shift"]
+    values = both.select(*key, F.explode(pairs).alias("p")).groupBy(*key, F.col("p.a").alias("a")).agg(
+        F.min("p.b").alias("least"), F.max("p.b").alias("most"))
+    agreed = values.groupBy(*key).agg(
+        F.sum((F.col("least") != F.col("most")).cast("long")).alias("torn"),
+        F.sum((F.col("least") != F.col("a")).cast("long")).alias("changed")).where("torn = 0").drop("torn")
+    return both.join(agreed, key).select("doc_id", "item_id", "n", "hash", "changed")
