@@ -108,10 +108,23 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """The most frequent tokens and endings; ties by bytes."""
-    rows = counts.orderBy(F.desc("n"), "word").limit(LISTED).collect()
-    listed = [(bytes(r["word"]), r["n"]) for r in rows]
-    own = listed[:OWN]
+    """The most frequent tokens and endings; ties by bytes.
+
+    The list holds the tokens above a count, at most LISTED, which a histogram of the counts gives;
+    a sorted limit of this size would send as many rows from each task to the driver.
+    """
+    own = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()]
+    level = F.floor(F.log2("n") * 16)
+    least, n_listed = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # about a thousand rows at most
+        if n_listed + r["count"] > LISTED:
+            break
+        least, n_listed = r["level"], n_listed + r["count"]
+    listed = list(own)
+    if least is not None:
+        first = {w for w, _ in own}
+        rows = counts.where(level >= least).select("word", "n").toArrow()
+        listed += sorted((w, n) for w, n in zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True) if w not in first)
     # The tokens of their own are few enough to stand in the plan.
     rest = counts.where(~F.col("word").isin([bytearray(w) for w, _ in own])) if own else counts
     ending = F.substring("word", -ENDING, ENDING)
