@@ -69,8 +69,9 @@ def citation_snowball(seeds: DataFrame, edges: DataFrame, papers: DataFrame, max
     tries over all generations in frontier order; None lifts the bound.
     Each generation is one job whose result is written before the next.
     """
-    # The place of a work is the path of entry numbers from its seed.
-    frontier = seeds.select("paper", F.array(F.col("ord").cast("bigint")).alias("ord"))
+    # The place of a work is the path of entry numbers from its seed. Only works with a text have references to read.
+    readable = papers.where("has_text").select("paper")
+    frontier = seeds.join(readable, "paper", "left_semi").select("paper", F.array(F.col("ord").cast("bigint")).alias("ord"))
     seen = seeds.select("paper").distinct()
     generations, left = [], budget
     for depth in range(1, max_depth + 1):

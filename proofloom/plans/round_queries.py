@@ -70,16 +70,16 @@ GRAPH = """
 edges as (select doc_id as paper, cast(1 as bigint) as entry_no, (doc_id * 7 + 1) % n as cited from documents, n union all select doc_id, 2, (doc_id * 3 + 2) % n from documents, n union all select doc_id, 3, doc_id from documents),
 nodes as (select d.doc_id as paper, d.doc_id % 2 = 0 as has_text, (select count(*) from study_quotes q where q.doc_id = d.doc_id and q.verified and q.quote <> '') as n_verified from documents d),
 seeds as (select doc_id as paper from labels where toxic = 1),
-walk as (select paper, 0 as depth, true as kept from seeds
+walk as (select s.paper, 0 as depth, o.has_text as kept from seeds s join nodes o on o.paper = s.paper
  union select e.cited, w.depth + 1, o.has_text and o.n_verified >= 1 from walk w join edges e on e.paper = w.paper join nodes o on o.paper = e.cited where w.kept and w.depth < 3),
 firsts as (select paper, min(depth) as depth from walk group by paper)
 """
 
 
-def snowball_of(spark, sf, budget=None):
+def snowball_of(spark, sf, budget=None, edges=None):
     docs = read(spark, sf, "documents").select("doc_id")
     d = docs.withColumn("n", docs.agg(F.count(F.lit(1))).scalar())
-    edges = d.select(F.col("doc_id").alias("paper"), F.explode(F.array(
+    edges = edges if edges is not None else d.select(F.col("doc_id").alias("paper"), F.explode(F.array(
         F.struct(F.lit(1).cast("bigint").alias("entry_no"), ((F.col("doc_id") * 7 + 1) % F.col("n")).alias("cited")),
         F.struct(F.lit(2).cast("bigint").alias("entry_no"), ((F.col("doc_id") * 3 + 2) % F.col("n")).alias("cited")),
         F.struct(F.lit(3).cast("bigint").alias("entry_no"), F.col("doc_id").alias("cited")))).alias("e")).select("paper", "e.*")
@@ -101,6 +101,35 @@ def _(spark, sf):
     return snowball_of(spark, sf, 20).drop("ord", "entry_no")
 
 
+def parsed_edges(spark, sf):
+    """Edges read from the texts: reference sections, entries, selected works, records."""
+    entries = entries_of(spark, sf)
+    picks = entries.select("doc_id", F.col("entry_no").alias("pos"), F.col("entry_no").cast("string").alias("index"),
+                           F.lit("").alias("title"), F.lit("").alias("doi"))
+    works = X.map_reference_selection(picks, entries)
+    wanted = works.select(F.concat_ws(":", "doc_id", "pos").alias("cand_id"), F.col("doc_id").alias("group"), "title", "doi", "pos")
+    docs = read(spark, sf, "documents")
+    records = docs.select(F.col("doc_id").alias("result_id"), F.concat(
+        F.lit("10.5555/"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 10)).alias("doi"), (F.col("doc_id") % 2 == 0).alias("has_text"))
+    hits = docs.select(F.col("doc_id").alias("group"), F.lit(1).cast("bigint").alias("pos"), F.col("doc_id").alias("result_id"),
+                       F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    found = X.reference_targets(wanted.drop("pos"), records, hits).where("result_id is not null")
+    return wanted.join(found, "cand_id").select(F.col("group").alias("paper"), F.col("pos").cast("bigint").alias("entry_no"),
+                                                F.col("result_id").alias("cited"))
+
+
+PARSED = ENTRIES + """
+, records as (select doc_id as paper, '10.5555/' || substring(md5(cast(doc_id as string)), 1, 10) as doi from documents),
+edges as (select e.doc_id as paper, r.paper as cited from entries e join records r on r.doi = e.doi where e.entry_no <= 80),
+""" + GRAPH[GRAPH.index("nodes as"):]
+
+
+@query("c2_chase_from_texts", oracle(PARSED + """
+select f.paper, f.depth, o.has_text as acquired, o.n_verified, o.has_text and o.n_verified >= 1 as kept from firsts f join nodes o on o.paper = f.paper where f.depth > 0""", "articles", "study_quotes"))
+def _(spark, sf):
+    return snowball_of(spark, sf, edges=parsed_edges(spark, sf)).drop("ord", "entry_no")
+
+
 @query("a8_harvest_rollup", oracle(GRAPH + """
 , ev as (select f.paper, f.depth, o.has_text and o.n_verified >= 1 as kept from firsts f join nodes o on o.paper = f.paper where f.depth > 0),
 p as (select depth, count(*) as candidates, count(*) filter (where kept) as kept from ev group by depth)

@@ -96,7 +96,7 @@ def test_read_once_over_several_batches(spark, tmp_path):
 def test_entry_numbers_over_one_hundred_keep_their_order(spark):
     edges = spark.createDataFrame([("s1", n, f"a{n}") for n in (1, 250)] + [("s2", 1, "b1")] + [(f"a{n}", 1, f"c{n}") for n in (1, 250)]
                                   + [("b1", 1, "d1")], "paper string, entry_no long, cited string")
-    papers = spark.createDataFrame([(p, 1, True) for p in ("a1", "a250", "b1", "c1", "c250", "d1")], "paper string, n_verified long, has_text boolean")
+    papers = spark.createDataFrame([(p, 1, True) for p in ("s1", "s2", "a1", "a250", "b1", "c1", "c250", "d1")], "paper string, n_verified long, has_text boolean")
     seeds = spark.createDataFrame([("s1", 1), ("s2", 2)], "paper string, ord long")
     got = X.citation_snowball(seeds, edges, papers, max_depth=2, per_study=1000, budget=5)
     assert {r.paper for r in got.collect()} == {"a1", "a250", "b1", "c1", "c250"}
