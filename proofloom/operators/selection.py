@@ -214,19 +214,25 @@ def next_issue(issues: DataFrame, keys: list[str]) -> DataFrame:
 def budgeted_history(entries: DataFrame, key: str, order: str, full_entries: int = 8,
                      max_chars: int = 40000) -> DataFrame:
     """The newest entries in full, older ones compact, the oldest left out
-    beyond the budget. Columns: full_chars, compact_chars."""
+    beyond the budget; `omitted` counts those of the key. Columns: full_chars, compact_chars."""
     newest = entries.withColumn("_rev", -F.col(order))
     numbered = number_rows(newest, [key], "_rev", "_n")
     chars = F.when(F.col("_n") <= full_entries, F.col("full_chars")).otherwise(F.col("compact_chars"))
     run = running_totals(numbered, [key], "_rev", {"_used": chars.cast("bigint")})
-    return run.withColumn("form", F.when(F.col("_n") <= full_entries, F.lit("full")).when(
+    formed = run.withColumn("form", F.when(F.col("_n") <= full_entries, F.lit("full")).when(
         F.col("_used") <= max_chars, F.lit("compact")).otherwise(F.lit("omitted"))).drop("_rev", "_n", "_used")
+    return _with_omitted(formed, key, F.col("form") == "omitted")
+
+
+def _with_omitted(rows: DataFrame, key: str, out: Column) -> DataFrame:
+    """Add the number of rows of the key that were left out."""
+    return rows.join(rows.groupBy(key).agg(F.count_if(out).alias("omitted")), key)
 
 
 def budgeted_list(rows: DataFrame, key: str, order: str, size: Column, max_chars: int = 20000) -> DataFrame:
-    """Rows in order up to the first that would exceed the budget."""
+    """Rows in order up to the first that would exceed the budget; `omitted` counts the others of the key."""
     run = running_totals(rows, [key], order, {"used": size.cast("bigint")})
-    return run.withColumn("kept", F.col("used") <= max_chars)
+    return _with_omitted(run.withColumn("kept", F.col("used") <= max_chars), key, ~F.col("kept"))
 
 
 def stagnation(rounds: DataFrame, limit: int = 3) -> DataFrame:

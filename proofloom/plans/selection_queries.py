@@ -197,19 +197,20 @@ def _(spark, sf):
 @query("w3_budgeted_history", oracle("""
 , e as (select run_id, round, 200 + 40 * added as full_chars, 60 + length(query) as compact_chars, row_number() over (partition by run_id order by round desc) as n from search_rounds where query is not null),
 u as (select *, sum(case when n <= 3 then full_chars else compact_chars end) over (partition by run_id order by round desc rows unbounded preceding) as used from e)
-select run_id, round, case when n <= 3 then 'full' when used <= 1000 then 'compact' else 'omitted' end as form from u""", "search_rounds"))
+select run_id, round, case when n <= 3 then 'full' when used <= 1000 then 'compact' else 'omitted' end as form,
+ count(*) filter (where n > 3 and used > 1000) over (partition by run_id) as omitted from u""", "search_rounds"))
 def _(spark, sf):
     e = derive(spark, sf, "search_rounds").where("query is not null").withColumn(
         "full_chars", 200 + 40 * F.col("added")).withColumn("compact_chars", 60 + F.length("query"))
-    return S.budgeted_history(e, "run_id", "round", 3, 1000).select("run_id", "round", "form")
+    return S.budgeted_history(e, "run_id", "round", 3, 1000).select("run_id", "round", "form", "omitted")
 
 
 @query("w4_budgeted_list", oracle("""
 , u as (select doc_id, cast(floor(doc_id / 25) as bigint) as grp, sum(length(paper_title) + 80) over (partition by cast(floor(doc_id / 25) as bigint) order by doc_id rows unbounded preceding) as used from studies)
-select doc_id, grp, cast(used as bigint) as used, used <= 2000 as kept from u""", "studies"))
+select doc_id, grp, cast(used as bigint) as used, used <= 2000 as kept, count(*) filter (where used > 2000) over (partition by grp) as omitted from u""", "studies"))
 def _(spark, sf):
     return S.budgeted_list(_grouped(spark, sf, 25), "grp", "doc_id", F.length("paper_title") + 80, 2000).select(
-        "doc_id", "grp", "used", "kept")
+        "doc_id", "grp", "used", "kept", "omitted")
 
 
 @query("w5_pack_batches", oracle("""
