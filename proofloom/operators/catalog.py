@@ -190,24 +190,19 @@ def text_availability(papers: DataFrame) -> DataFrame:
 def evidence_inventory(papers: DataFrame, read_ids: DataFrame, pool: DataFrame,
                        curated: DataFrame, decisions: DataFrame, rounds: DataFrame) -> DataFrame:
     """Evidence that is held but not used, as one row."""
-    full = papers.where("full_text_available")
-    unread = full.join(read_ids.select("paper_id"), "paper_id", "left_anti")
-    unused = pool.join(curated.select("paper_id"), "paper_id", "left_anti")
-
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-
-    parts = [count(papers, "catalog"), count(full, "full_text"), count(unread, "unread_full_text"),
-             count(pool, "pool"), count(unused, "pool_unused"), count(curated, "curated"),
-             count(decisions.where("not include"), "curation_excluded"),
-             rounds.agg(F.coalesce(F.max("round"), F.lit(0)).alias("n")).select(
-                 F.lit("standard_rounds").alias("name"), "n")]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    names = ["catalog", "full_text", "unread_full_text", "pool", "pool_unused", "curated",
-             "curation_excluded", "standard_rounds"]
-    return both.agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names])
+    def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        return rows.join(ids.select("paper_id").distinct().withColumn("_seen", F.lit(True)), "paper_id", "left")
+
+    full, new = F.col("full_text_available"), F.col("_seen").isNull()
+    records = marked(papers, read_ids).agg(
+        F.count("*").alias("catalog"), F.count_if(full).alias("full_text"), F.count_if(full & new).alias("unread_full_text"))
+    pooled = marked(pool, curated).agg(F.count("*").alias("pool"), F.count_if(new).alias("pool_unused"))
+    totals = records
+    for part in (pooled, curated.agg(F.count("*").alias("curated")),
+                 decisions.agg(F.count_if(~F.col("include")).alias("curation_excluded")),
+                 rounds.agg(F.coalesce(F.max("round"), F.lit(0)).alias("standard_rounds"))):
+        totals = totals.unionByName(part, allowMissingColumns=True)
+    return totals.agg(*[F.max(c).alias(c) for c in totals.columns])
 
 
 def backfill_venue(studies: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headings import section_at, sections
 from ..functions.text import missing, strip, tokenize, words
+from ..session import cut_lineage
 
 # Chunking and ranking.
 CHUNK_CHARS = 4000
@@ -237,7 +238,8 @@ def rank_corpus(queries: DataFrame, chunks: DataFrame, top: int = TOP_CHUNKS,
     Document frequencies come from the distinct tokens of each chunk, counted
     before the shuffle; only tokens some query asks for are scored.
     """
-    sized = chunks.select("doc_id", "chunk_index", tokenize("chunk").alias("t")).withColumn("dl", F.size("t"))
+    # Cutting and tokenising cost most and four steps read the tokens, so they are written once.
+    sized = cut_lineage(chunks.select("doc_id", "chunk_index", tokenize("chunk").alias("t")).withColumn("dl", F.size("t")), "tokens")
     n_chunks = sized.agg(F.count(F.lit(1))).scalar()
     avgdl = sized.agg(F.avg("dl")).scalar()
     df = sized.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
