@@ -195,36 +195,41 @@ def match_cascade(pairs: DataFrame) -> DataFrame:
 
 
 def candidate_chunks(proposals: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks of the quotation's own paper to search: the ranked ones for its
-    first words, or all chunks when ranking yields none."""
+    """(quote_id, doc_id, chunk_index, rank): chunks of the quotation's own paper to search.
+
+    These are the ranked ones for its first words, or all chunks when ranking
+    yields none. No text is carried.
+    """
     ask = proposals.select(F.col("quote_id").alias("query_id"), "doc_id", tokenize(P.first_words("quote", SEARCH_WORDS)).alias("terms"))
-    ranked = P.rank_passages(ask, chunks, SEARCH_TOP).select(
-        F.col("query_id").alias("quote_id"), "chunk_index", "rank")
-    every = spread(proposals.join(chunks.drop("position_ratio"), "doc_id"), "quote_id")
-    seen = Window.partitionBy("quote_id")
-    return (every.join(ranked, ["quote_id", "chunk_index"], "left")
-            .withColumn("_ranked", F.max("rank").over(seen))
-            .where(F.col("_ranked").isNull() | F.col("rank").isNotNull())
-            .withColumn("rank", F.coalesce("rank", F.col("chunk_index") + 1)).drop("_ranked"))
+    ranked = cut_lineage(P.rank_passages(ask, chunks, SEARCH_TOP).select(
+        F.col("query_id").alias("quote_id"), "doc_id", "chunk_index", "rank"), "ranked-chunks")
+    unranked = proposals.select("quote_id", "doc_id").join(ranked.select("quote_id").distinct(), "quote_id", "left_anti")
+    every = unranked.join(chunks.select("doc_id", "chunk_index"), "doc_id").withColumn("rank", F.col("chunk_index") + 1)
+    return ranked.unionByName(every.select(*ranked.columns))
 
 
 def locate_quotes(proposals: DataFrame, chunks: DataFrame,
                   threshold: float = MIN_SIMILARITY) -> DataFrame:
     """Best accepted match of each proposed quotation in its own paper."""
     long_enough = proposals.where(F.length("quote") >= MIN_QUOTE_CHARS)
-    cand = candidate_chunks(long_enough, chunks).withColumn(
-        "v", verbatim_match(F.col("quote"), F.col("chunk")))
-    # A quotation with a verbatim match needs no approximate one. The flag uses
-    # the partitioning of the candidate step, so nothing moves again.
-    cand = cand.withColumn("_sure", F.max(F.col("v").isNotNull()).over(Window.partitionBy("quote_id")))
-    tried = approximate_matches(cand, threshold, ~F.col("_sure"))
-    verbatim = F.struct("v.method", "v.start", "v.end", F.lit(1.0).alias("similarity"))
-    near = F.struct("a.method", "a.start", "a.end", "a.similarity")
-    tried = tried.withColumn("m", F.when(F.col("v").isNotNull(), verbatim).when(F.col("a").isNotNull(), near)).where("m is not null")
-    found = tried.select(
-        "quote_id", "doc_id", "quote", "rank", "m.method", "m.similarity",
-        (F.col("start") + F.col("m.start")).alias("m_start"), (F.col("start") + F.col("m.end")).alias("m_end"),
-        F.substring("chunk", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("matched"))
+    chunks = cut_lineage(chunks, "chunks")
+    pairs = cut_lineage(candidate_chunks(long_enough, chunks), "candidate-chunks")
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        return rows.join(long_enough.drop("doc_id"), "quote_id").join(
+            chunks.select("doc_id", "chunk_index", "start", "chunk"), ["doc_id", "chunk_index"])
+
+    def placed(rows: DataFrame, method: Column, similarity: Column, start: Column, end: Column) -> DataFrame:
+        return rows.select("quote_id", "doc_id", "quote", "rank", method.alias("method"), similarity.alias("similarity"),
+                           (F.col("start") + start).alias("m_start"), (F.col("start") + end).alias("m_end"),
+                           F.substring("chunk", start + 1, end - start).alias("matched"))
+
+    sure = with_texts(pairs).withColumn("v", verbatim_match(F.col("quote"), F.col("chunk"))).where("v is not null")
+    sure = cut_lineage(placed(sure, F.col("v.method"), F.lit(1.0), F.col("v.start"), F.col("v.end")), "verbatim-matches")
+    # A quotation with a verbatim match needs no approximate one.
+    open_pairs = pairs.join(sure.select("quote_id").distinct(), "quote_id", "left_anti")
+    near = approximate_matches(spread(with_texts(open_pairs), "quote_id", "chunk_index"), threshold).where("a is not null")
+    found = sure.unionByName(placed(near, F.col("a.method"), F.col("a.similarity"), F.col("a.start"), F.col("a.end")))
     best = found.groupBy("quote_id").agg(F.max_by(F.struct(
         "doc_id", "quote", "method", "m_start", "m_end", "matched", "similarity"),
         F.struct("similarity", -F.col("rank"))).alias("b")).select("quote_id", "b.*")
