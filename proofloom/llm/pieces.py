@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import slices
 
 BLANK = "▁"
-#: Segments a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 300_000
+#: Segments a worker remembers, twice: when the memory is full it becomes the old one, and what is met again moves on.
+REMEMBERED = 350_000
+#: Score of a pair that is no piece.
+NEVER = float("-inf")
 #: Longer segments keep their agenda in a heap.
 SHORT = 48
 
@@ -59,6 +61,7 @@ class Vocabulary:
         self.blanks_only = all(BLANK not in name.lstrip(BLANK) for name in self.ids)
         #: Ids of the segments met so far, as bytes of 32-bit numbers.
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.bytes_of = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent
                          else " ⁇ ".encode() if i == self.unknown
                          else name.replace(BLANK, " ").encode() for i, name in enumerate(self.names)]
@@ -80,19 +83,16 @@ class Vocabulary:
 
     def _merge_short(self, symbols: list[str]) -> list[str]:
         """The agenda is the list of the adjacent pairs' scores."""
-        score, none = self.scores.get, float("-inf")
-        agenda = [score(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
-        while agenda:
-            best = max(agenda)
-            if best == none:
-                break
+        score, none = self.scores.get, NEVER
+        agenda = [score(a + b, none) for a, b in pairwise(symbols)]
+        while agenda and (best := max(agenda)) > none:
             i = agenda.index(best)
-            symbols[i] += symbols.pop(i + 1)
+            symbols[i] = joined = symbols[i] + symbols.pop(i + 1)
             del agenda[i]
             if i:
-                agenda[i - 1] = score(symbols[i - 1] + symbols[i], none)
+                agenda[i - 1] = score(symbols[i - 1] + joined, none)
             if i < len(agenda):
-                agenda[i] = score(symbols[i] + symbols[i + 1], none)
+                agenda[i] = score(joined + symbols[i + 1], none)
         return symbols
 
     def _merge_long(self, text: str) -> list[str]:
@@ -152,10 +152,15 @@ class Vocabulary:
         """Ids of all texts in a row, as bytes of 32-bit numbers, and the end of each text."""
         parts = [self.segments(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [s for s in set(chain.from_iterable(parts)) if s not in self.known]
-        for s in new:
-            self.known[s] = self.ids_of(s)
+            self.known, self.old = {}, self.known
+        fresh = set(chain.from_iterable(parts)).difference(self.known)
+        new = []
+        for s in fresh:
+            ids = self.old.get(s)
+            if ids is None:
+                new.append(s)
+                ids = self.ids_of(s)
+            self.known[s] = ids
         if new and self.blanks_only:
             self.check(new)
         flat = [b"".join(map(self.known.__getitem__, p)) for p in parts]
