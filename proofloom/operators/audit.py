@@ -100,10 +100,19 @@ def citation_to_study(cited: DataFrame, studies: DataFrame) -> DataFrame:
 
 
 def _holds(pairs: DataFrame, texts: DataFrame, confidence: float = Q.AUDIT_CONFIDENCE) -> DataFrame:
-    """(quotation, document) pairs whose text holds the quotation."""
-    chunks = P.chunk_offsets(texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"))
-    tried = Q.match_cascade(pairs.join(chunks.select("doc_id", "chunk"), "doc_id"))
-    return tried.where(F.col("confidence") >= confidence).select("review_id", "n", "doc_id").distinct()
+    """(quotation, document) pairs whose text holds the quotation.
+
+    Whole texts are searched for verbatim matches first; only the other pairs
+    are cut into chunks and reach the approximate strategies.
+    """
+    key = ["review_id", "n", "doc_id"]
+    pairs = cut_lineage(pairs.select(*key, "quote"), "quotation-pairs")
+    whole = pairs.join(texts.select("doc_id", "text"), "doc_id")
+    sure = cut_lineage(whole.where(Q.verbatim_match(F.col("quote"), F.col("text")).isNotNull()).select(*key).distinct(), "verbatim-holders")
+    rest = pairs.join(sure, key, "left_anti")
+    chunks = P.chunk_offsets(texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"))
+    tried = Q.match_cascade(rest.join(chunks.select("doc_id", "chunk"), "doc_id"))
+    return sure.unionByName(tried.where(F.col("confidence") >= confidence).select(*key)).distinct()
 
 
 def _source_candidates(open_quotes: DataFrame, studies: DataFrame, texts: DataFrame) -> DataFrame:
