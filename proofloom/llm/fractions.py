@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -71,6 +71,14 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
+def _ends_not_below(ends: list[int], value: Column) -> Column:
+    """How many of the descending ends are not below a value, by bisection."""
+    listed = F.lit(ends).cast("array<bigint>")
+    steps = F.array(*[F.lit(2**k) for k in range(len(ends).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(listed, at + step - 1) >= value, at + step).otherwise(at))
+
+
 def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(part, ghost, doc_id, text): the documents in ranges of descending ids, each with the first row of the next range.
 
@@ -84,9 +92,7 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ends = own.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []
     ends = sorted(set(ends), reverse=True)
-    # A range is the number of ends that are not below the id; at most one literal for each shuffle partition.
-    part = F.coalesce(F.aggregate(F.lit(ends).cast("array<bigint>"), F.lit(0), lambda a, e: a + (F.col("doc_id") <= e).cast("int")),
-                      F.lit(len(ends))) if ends else F.lit(0)
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(ends))).otherwise(_ends_not_below(ends, F.col("doc_id"))) if ends else F.lit(0)
     placed = own.select(part.alias("part"), "doc_id", "text")
     heads = cut_lineage(placed.groupBy("part").agg(F.max("doc_id").alias("head")), "heads")
     last = F.lag("part").over(Window.orderBy("part"))  # one row for each range
