@@ -98,9 +98,11 @@ def learn(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str
     """Profiles of the languages of labelled documents; rows without language or text teach nothing."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    narrow = known.select("lang", "id")
-    first = narrow.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
-    # Up to a thousand rows of a group are picked before the shuffle.
+    narrow = known.select("lang", "id", (F.pmod(F.xxhash64("id"), F.lit(2**30)) / 2**30).alias("draw"))
+    # About twice the rows that are wanted of a language go on to be ranked, however many it has.
+    sizes = small(narrow.groupBy("lang").agg(F.count("*").alias("n")))
+    drawn = narrow.join(sizes, "lang").where(F.col("draw") * F.col("n") < 2 * max_rows + 100)
+    first = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id")))
     taught = small(first.where(F.col("r") <= max_rows).select("lang", "id").distinct())
     counts = (known.join(taught, ["lang", "id"], "left_semi").select("lang", F.explode(_grams("text")).alias("g"))
               .groupBy("lang", "g.code").agg(F.sum("g.n").alias("n")))
