@@ -30,6 +30,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +40,13 @@ from .common import slices
 #: The end of a text; no word is empty.
 END = b""
 #: Tokens with a symbol of their own, endings with a symbol, and words whose counts all tasks know.
-OWN, ENDINGS, LISTED = 256, 127, 250_000
+OWN, ENDINGS, LISTED = 256, 127, 150_000
 #: Bytes of an ending.
 ENDING = 2
 #: Length of the vectors, noise symbols of a batch, tokens of a batch, step, rounds of averaging.
 SIZE, NOISE, BATCH, STEP, ROUNDS = 24, 32, 1024, 0.1, 2
 #: Tokens worked on together, and distinct words that a task counts before it passes them on.
-TOGETHER, COUNTED = 400_000, 300_000
+TOGETHER, COUNTED = 300_000, 200_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -266,11 +267,9 @@ def _plain(record) -> tuple:
     return tuple(getattr(record, f.name) for f in fields(record))
 
 
-def fit(docs: DataFrame, known: Lexicon, share: Column, text: str = "text", rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, known: Lexicon, lexicon_there: Broadcast, share: Column, text: str = "text", rounds: int = ROUNDS) -> Model:
     """The averaged model after `rounds` rounds; `share` deals the documents to rounds (0 to rounds - 1)."""
-    spark = docs.sparkSession
     model = untrained(known.frequency)
-    lexicon_there = spark.sparkContext.broadcast(_plain(known))
     for r in range(rounds):
         start = model
 
@@ -292,13 +291,13 @@ def fit(docs: DataFrame, known: Lexicon, share: Column, text: str = "text", roun
     return model
 
 
-def scores(docs: DataFrame, counts: DataFrame, known: Lexicon, model: Model, text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, counts: DataFrame, known: Lexicon, lexicon_there: Broadcast, model: Model,
+           text: str = "text") -> DataFrame:
     """The rows of docs without the text, with n_tokens, n_known, train_tokens, base_score and score.
 
     Columns of docs that have one of these names give way.
     """
-    spark = docs.sparkSession
-    lexicon_there, model_there = (spark.sparkContext.broadcast(_plain(x)) for x in (known, model))
+    model_there = docs.sparkSession.sparkContext.broadcast(_plain(model))
 
     @F.arrow_udf("struct<n_tokens bigint, listed bigint, base double, score double, rest array<struct<word binary, n int>>>")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -353,4 +352,6 @@ def language_model_scores(docs: DataFrame, held_out: str, share: Column, text: s
     training = docs.where(~F.col(held_out))
     counts = cut_lineage(count_tokens(training, text), "counts")
     known = lexicon(counts)
-    return scores(docs, counts, known, fit(training, known, share, text), text)
+    # One copy of the lexicon serves all steps, so that a worker holds it once.
+    there = docs.sparkSession.sparkContext.broadcast(_plain(known))
+    return scores(docs, counts, known, there, fit(training, known, there, share, text), text)
