@@ -127,7 +127,8 @@ edges as (select e.doc_id as paper, r.paper as cited from entries e join records
 @query("c2_chase_from_texts", oracle(PARSED + """
 select f.paper, f.depth, o.has_text as acquired, o.n_verified, o.has_text and o.n_verified >= 1 as kept from firsts f join nodes o on o.paper = f.paper where f.depth > 0""", "articles", "study_quotes"))
 def _(spark, sf):
-    return snowball_of(spark, sf, edges=parsed_edges(spark, sf)).drop("ord", "entry_no")
+    # Every generation reads the edges, so the texts are parsed once.
+    return snowball_of(spark, sf, edges=cut_lineage(parsed_edges(spark, sf), "parsed-edges")).drop("ord", "entry_no")
 
 
 @query("a8_harvest_rollup", oracle(GRAPH + """
