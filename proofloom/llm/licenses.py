@@ -1,15 +1,20 @@
 """License notices by an exact set-similarity join.
 
-A block (a line of a text) matches a template if it holds at least `SHARE` of
-the template's distinct words. The join is exact. Words of the templates are
-ordered by the number of documents that hold them, rare ones first; then
+A block matches a template if it holds at least `SHARE` of the template's
+distinct words. Blocks for labels and scores are windows of words, `SPREAD`
+times as long as the template, that reach over line ends; blocks of `matches`
+are lines. Both joins are exact. Words of the templates are ordered by the
+number of documents that hold them, rare ones first; then
   - prefix: a match holds one of the template's first n - needed + 1 words, so
     only these words are joined on;
   - length: a match has at least `needed` template words;
   - position: the words that follow the met one on either side must be enough;
-and the pairs that are left are verified on whole sets. Words of a block that
+and the pairs that are left are verified on whole sets. Words of a line that
 stand in no template change neither side and are dropped first.
 
+The SQL takes lines as blocks for labels too, so it does not see wrapped
+notices, and takes scattered words of a long line for one.
+
 Beside the templates, fixed phrases are searched as words that stand one after
 another, over line ends too. Null texts count as empty. Rows are searched one
 by one, also rows of equal id.
@@ -19,13 +24,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 #: Share of a template's distinct words that a block must hold.
 SHARE = 0.8
+#: Length of a window in lengths of the template: as many foreign words may stand between as the template has words.
+SPREAD = 2
 
 #: Fixed values: (label, words of a notice).
 TEMPLATES = [
@@ -87,10 +94,11 @@ def _list(values: list[str]) -> Column:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE,
          templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(doc_id, n_words, places, matches) of every row.
+    """(doc_id, n_words, places, matches, notices) of every row.
 
     places: array<struct<label, at>> of the phrases; matches:
-    array<struct<label, template, line, share, common>> of the blocks that match.
+    array<struct<label, template, line, share, common>> of the lines that match;
+    notices: array<struct<label, template, at, end, share, common>> of the windows that match, see `_notices`.
     """
     spark = docs.sparkSession
     sets = [sorted(set(t.split())) for _, t in templates]
@@ -110,7 +118,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: flo
     places = F.when(F.contains("t", F.lit("license")), phrase_places(F.col("w")))
     rows = cut_lineage(with_words.select(
         "doc_id", F.size("w").cast("long").alias("n_words"), places.alias("places"), candidates.alias("blocks"),
-        F.monotonically_increasing_id().alias("row")), "license-blocks")
+        _surroundings(prefixes, templates).alias("near"), F.monotonically_increasing_id().alias("row")), "license-blocks")
 
     order = F.create_map(*[F.lit(x) for w, i in rank.items() for x in (w, i)])
     block = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.line", F.array_sort(F.transform(
@@ -123,7 +131,59 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: flo
     matched = (met.withColumn("common", common).where(F.col("common") >= F.col("needed"))
                .select("row", "line", "template", "label", (F.col("common") / F.col("n")).alias("share"), "common").distinct()
                .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("label", "template", "line", "share", "common"))).alias("matches")))
-    return rows.join(matched, "row", "left").select("doc_id", "n_words", _or_empty("places", rows), _or_empty("matches", matched))
+    notices = _notices(rows, asked)
+    return rows.join(matched, "row", "left").join(notices, "row", "left").select(
+        "doc_id", "n_words", _or_empty("places", rows), _or_empty("matches", matched), _or_empty("notices", notices))
+
+
+def _surroundings(prefixes: list[str], templates: list[tuple[str, str]]) -> Column:
+    """array<struct<at, first, word, words>>: the prefix words of `w`, and all words that share a window with them."""
+    reach = max((SPREAD * len(t.split()) for _, t in templates), default=1)
+    def found(word: Column, i: Column) -> Column:
+        first = F.greatest(i - (reach - 1), F.lit(0))
+        return F.when(word.isin(prefixes), F.struct(
+            i.alias("at"), first.alias("first"), word.alias("word"), F.slice("w", first + 1, i + reach - first).alias("words")))
+
+    return F.when(F.arrays_overlap("w", _list(prefixes)), F.filter(F.transform("w", found), lambda x: x.isNotNull()))
+
+
+def _notices(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(row, notices): the windows that match, from the first to the last word that they need.
+
+    A window starts at a word of its template that it does not hold again. It
+    counts unless it lies within another one of a larger share, or of the same
+    share and more common words.
+    """
+    met = rows.select("row", F.explode("near").alias("b")).select("row", "b.*").join(
+        F.broadcast(asked.withColumnRenamed("words", "own")), "word")
+    first = F.greatest(F.col("at") - F.col("span") + 1, F.lit(0))
+    met = met.withColumn("from", first).withColumn("region", F.slice(
+        "words", F.col("from") - F.col("first") + 1, F.col("at") + F.col("span") - F.col("from")))
+    # The rarest word that a match holds is a prefix word, and the others follow it in the template's order.
+    met = met.where(F.size(F.array_intersect("region", F.slice("own", F.col("i") + 1, F.col("n")))) >= F.col("needed"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("at") - F.col("from")), lambda k: F.array_contains("own", F.get("region", k)))
+    block = met.select("*", F.explode(starts).alias("k")).select(
+        "row", "template", "label", "n", "needed", (F.col("from") + F.col("k")).cast("long").alias("at"),
+        F.slice("region", F.col("k") + 1, F.col("span")).alias("block"), "own")
+    held = block.withColumn("held", F.array_intersect("block", "own")).where(F.size("held") >= F.col("needed"))
+    last = F.array_max(F.transform("held", lambda h: F.array_position("block", h)))
+    held = held.withColumn("last", last.cast("int")).where(
+        "last < 2 or not array_contains(slice(block, 2, last - 1), block[0])")
+    held = held.select("row", "label", "template", "at", (F.col("at") + F.col("last") - 1).alias("end"),
+                       (F.size("held") / F.col("n")).alias("share"), F.size("held").alias("common"), "held").dropDuplicates(
+                           ["row", "template", "at"])
+    reach = asked.agg(F.max("span")).first()[0] or 1
+    # A window that another one lies in starts less than a length before it: the frame stays short in any text.
+    frame = Window.partitionBy("row").orderBy("at").rangeBetween(-reach, 0)
+    around = held.withColumn("around", F.collect_list(F.struct("end", "share", "common", "held")).over(frame))
+    kept = around.where(~F.exists("around", _over))
+    return kept.groupBy("row").agg(F.sort_array(F.collect_list(
+        F.struct("label", "template", "at", "end", "share", "common"))).alias("notices"))
+
+
+def _over(o: Column) -> Column:
+    """Whether a window that starts no later hides the one of the row."""
+    return (o["end"] >= F.col("end")) & (F.struct(o["share"], o["common"]) > F.struct("share", "common"))
 
 
 def _or_empty(name: str, df: DataFrame) -> Column:
@@ -131,26 +191,21 @@ def _or_empty(name: str, df: DataFrame) -> Column:
 
 
 def _asked(spark: SparkSession, templates, sets: list[list[str]], rank: dict[str, int], share: float) -> DataFrame:
-    """(word, i, n, needed, template, label, words): the prefix words of the templates."""
+    """(word, i, n, needed, span, template, label, words): the prefix words of the templates; span is the length of a window."""
     rows = []
-    for no, ((label, _), own) in enumerate(zip(templates, sets, strict=True)):
+    for no, ((label, text), own) in enumerate(zip(templates, sets, strict=True)):
         ordered = sorted(own, key=rank.__getitem__)
         needed = math.ceil(share * len(own) - 1e-9)
-        rows += [(w, i, len(own), needed, no, label, ordered) for i, w in enumerate(ordered[:len(own) - needed + 1])]
-    return spark.createDataFrame(rows, "word string, i int, n int, needed int, template int, label string, words array<string>")
+        rows += [(w, i, len(own), needed, SPREAD * len(text.split()), no, label, ordered) for i, w in enumerate(ordered[:len(own) - needed + 1])]
+    return spark.createDataFrame(rows, "word string, i int, n int, needed int, span int, template int, label string, words array<string>")
 
 
 def report(scanned: DataFrame) -> DataFrame:
-    """Counts, labels and a score for each row of `scan`; the score is the best share, and 1 for a phrase.
-
-    A block is labelled by the templates of the largest share, of these by the ones with the most common words.
-    """
+    """Counts, labels and a score for each row of `scan`; the score is the best share of a notice, and 1 for a phrase."""
     at = F.transform("places", lambda p: p["at"])
     base = F.transform("places", lambda p: p["label"])
-    worth = lambda m: F.struct(m["share"], m["common"])
-    first = F.filter("matches", lambda m: ~F.exists("matches", lambda o: (o["line"] == m["line"]) & (worth(o) > worth(m))))
-    labels = F.array_union(base, F.transform(first, lambda m: m["label"]))
-    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0))
+    labels = F.array_union(base, F.transform("notices", lambda m: m["label"]))
+    best = F.coalesce(F.array_max(F.transform("notices", lambda m: m["share"])), F.lit(0.0))
     return scanned.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(at).alias("first_word"),
         F.array_max(at).alias("last_word"), F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),

@@ -301,6 +301,45 @@ def test_licenses_of_odd_rows(odd, empty):
     assert licenses.report(licenses.scan(empty)).collect() == []
 
 
+def test_licenses_of_wrapped_notices(spark):
+    far = " and so on".join(f" {w} " + "word " * 12 for w in ("released", "under", "the", "license"))
+    docs = [
+        (1, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"),
+        (2, "This file is subject to the terms of the Mozilla Public\n * License, v. 2.0"),
+        (3, "you can redistribute it and/or modify\nit under the terms\nof the GNU\nGeneral Public License"),
+        (4, far), (5, f"{'word ' * 50}\n{'text ' * 50} Released\n\nunder the MIT\nlicense {'word ' * 50}"),
+        (6, "licensed under CC\nBY-NC 4.0"), (7, "all rights reserved")]
+    rows = {r.doc_id: r for r in licenses.report(licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    assert {k: r.labels for k, r in rows.items()} == {1: "bsd", 2: "mpl", 3: "gpl", 4: "", 5: "mit", 6: "cc-by-nc", 7: ""}
+    assert {k: r.score for k, r in rows.items()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 1, 6: 1, 7: 0}
+
+
+def test_license_windows_equal_brute_force(spark):
+    draw = random.Random(5)
+    words = [*sorted({w for _, t in licenses.TEMPLATES for w in t.split()}), *["other"] * 30]
+    docs = []
+    for i in range(60):
+        parts = [draw.choice(draw.choice(licenses.TEMPLATES)[1:]).split() for _ in range(draw.randint(0, 4))]
+        docs.append((i, "".join(w + draw.choice(" \n") for p in parts for w in [
+            *(draw.choice(words) for _ in range(draw.randint(0, 25))), *(w if draw.random() < 0.9 else draw.choice(words) for w in p)])))
+    rows = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    met = 0
+    for r in rows:
+        ws, best = docs[r.doc_id][1].split(), {}
+        for k, (_, t) in enumerate(licenses.TEMPLATES):
+            own, span = set(t.split()), licenses.SPREAD * len(t.split())
+            common = max((len(own & set(ws[i:i + span])) for i in range(len(ws))), default=0)
+            if common >= math.ceil(0.8 * len(own) - 1e-9):
+                best[k] = common / len(own)
+        got = collections.defaultdict(list)
+        for m in r.notices:
+            got[m.template].append(m.share)
+        assert set(got) <= set(best) and bool(got) == bool(best)
+        assert max(best.values(), default=0) == max((max(x) for x in got.values()), default=0)
+        met += len(best)
+    assert met > 50
+
+
 # 7: fingerprints
 
 def _words(text):
