@@ -11,8 +11,16 @@ must always stand for the same value of the document, else the windows with
 slots of that occurrence do not count. A document is contaminated by an item if
 the windows that count are `share` of the item's distinct windows.
 
-Windows with fewer than `LITERALS` words outside slots are no evidence, neither
-are items of only such windows. Items shorter than a window are one window.
+Windows with fewer than `LITERALS` words outside slots are no evidence. Items
+shorter than a window are one window.
+
+A document is also contaminated by an item of which it holds `RUN` words in a
+row (all words of a shorter item), slot values included and case folded,
+whatever share of the item that is and however few words stand outside slots.
+Runs of an occurrence whose slot values do not agree do not count either. Such
+a run holds windows of `KEY` words, of which a document looks up only every
+sixth; documents that meet one are looked at again.
+
 Items of equal templates count as one, under the smallest id. Null and empty
 texts, and rows without id, have no windows. Rows of equal id are one document.
 """
@@ -29,6 +37,8 @@ from .common import small
 WIDTH, LITERALS = 8, 5
 #: Share of an item's windows that a document must hold.
 SHARE = 0.5
+#: Words in a row that are a copy whatever the share, and words of the windows that find them.
+RUN, KEY = 13, 8
 
 #: Units that may follow a number.
 UNITS = ("percent|kilometers|kilometres|kilograms|meters|metres|grams|litres|liters|hours|hour|minutes|minute|seconds|days|day|"
@@ -77,13 +87,24 @@ def _has_slot(window: Column) -> Column:
     return F.exists(window, lambda t: t < "\x04")
 
 
+def plain(tokens: Column) -> Column:
+    """array<struct<word, at>>: the tokens without slot types, and where they stand, from 1."""
+    bare = F.transform(tokens, lambda t, i: F.struct(
+        F.when(t < "\x04", F.substr(t, F.lit(2))).otherwise(t).alias("word"), (i + 1).alias("at")))
+    return F.filter(bare, lambda x: x["word"] != "")
+
+
+def _items(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item_id, tokens, template) of the items that count as one, under the smallest id."""
+    cut = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("tokens"))
+    cut = cut.withColumn("template", template(F.col("tokens"))).where(F.size("tokens") > 0)
+    return cut.groupBy("template").agg(F.min_by(F.struct("item_id", "tokens"), "item_id").alias("first")).select("first.*", "template")
+
+
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WIDTH,
                  literals: int = LITERALS) -> DataFrame:
     """(item_id, at, width, n, hash, slots, own): the distinct telling windows of the items; n counts them per item."""
-    cut = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("tokens"))
-    cut = cut.withColumn("template", template(F.col("tokens"))).where(F.size("tokens") > 0)
-    cut = cut.groupBy("template").agg(F.min_by(F.struct("item_id", "tokens"), "item_id").alias("first")).select(
-        "first.*", "template", F.least(F.size("template"), F.lit(width)).alias("width"))
+    cut = _items(items, item_id, text).withColumn("width", F.least(F.size("template"), F.lit(width)))
     # Only the windows are exploded: a row that carried the whole item would make long items quadratic.
     windows = F.transform(_starts(F.col("template"), F.col("width")), lambda i: F.struct(
         i.alias("at"), F.slice("template", i, F.col("width")).alias("window"), F.slice("tokens", i, F.col("width")).alias("own")))
@@ -95,6 +116,26 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
                                           _has_slot(F.col("window")).alias("slots"), "f.own")
 
 
+def _runs(words: Column, width, step: int = 1) -> Column:
+    """array<struct<at, run>> of the runs of `width` words, or of every `step`-th."""
+    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1, F.lit(step))).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(
+        F.get(words, i - 1)["at"].alias("at"), F.transform(F.slice(words, i, width), lambda x: x["word"]).alias("run")))
+
+
+def item_runs(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(item_id, at, width, size, hash, run): all runs of the items; (width, hash): the windows that find them."""
+    cut = _items(items, item_id, text).select("item_id", plain(F.col("tokens")).alias("words")).where(F.size("words") > 0)
+    cut = cut.withColumn("size", F.least(F.size("words"), F.lit(RUN)))
+
+    def exploded(width: Column) -> DataFrame:
+        rows = cut.select("item_id", "size", width.alias("width"), F.explode(_runs(F.col("words"), width)).alias("x"))
+        return rows.select("item_id", "x.at", "width", "size", F.xxhash64("x.run").alias("hash"), "x.run")
+
+    return exploded(F.col("size")), exploded(F.least("size", F.lit(KEY))).select("width", "size", "hash").distinct()
+
+
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", share: float = SHARE, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
     """(doc_id, item_id, n_windows, n_covered, n_changed): the items that contaminate a document.
@@ -104,23 +145,50 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """
     own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     theirs = small(item_windows(items, item_id, item_text, width, literals))
+    runs, keys = (small(x) for x in item_runs(items, item_id, item_text))
     widths = sorted(r["width"] for r in theirs.select("width").distinct().collect()) or [width]  # at most `width` numbers
     whole = own.select("doc_id", tokens(F.col("text")).alias("tokens"))
     # A window that a document repeats meets the items once.
-    hashed = whole.select("doc_id", template(F.col("tokens")).alias("template"))
-    every = F.array_distinct(F.concat(*[_windows(w, lambda i, w=w: F.xxhash64(F.slice("template", i, w))) for w in widths]))
-    met = hashed.select("doc_id", F.explode(every).alias("hash")).join(theirs.drop("own"), "hash")
-    met = cut_lineage(met.select("doc_id", "item_id", "n", "hash", "slots").distinct(), "windows")
-    words = met.where("not slots").select("doc_id", "item_id", "n", "hash", F.lit(0).cast("long").alias("changed"))
-    slots = _slot_windows(whole, met.where("slots"), theirs.where("slots"), widths)
+    hashed = whole.select("doc_id", template(F.col("tokens")).alias("template"), plain(F.col("tokens")).alias("words"))
+    every = [_windows(w, lambda i, w=w: F.xxhash64(F.slice("template", i, w))) for w in widths]
+    # A run of `least` words holds windows of w words at least - w + 1 starts in a row.
+    for w, least in sorted(tuple(r) for r in keys.groupBy("width").agg(F.min("size")).collect()):  # at most `KEY` rows
+        every.append(F.transform(_runs(F.col("words"), w, least - w + 1), lambda x: F.xxhash64(x["run"])))
+    asked = small(theirs.select("hash").unionByName(keys.select("hash")).distinct())
+    met = hashed.select("doc_id", F.explode(F.array_distinct(F.concat(*every))).alias("hash")).join(asked, "hash", "left_semi")
+    met = cut_lineage(met.distinct(), "windows")
+    windows = met.join(theirs.select("item_id", "n", "hash", "slots"), "hash")
+    words = windows.where("not slots").select("doc_id", "item_id", "n", "hash", F.lit(0).cast("long").alias("changed"))
+    slots, torn = _slot_windows(whole, windows.where("slots"), theirs.where("slots"), widths)
     covered = words.unionByName(slots).groupBy("doc_id", "item_id", "n", "hash").agg(F.min("changed").alias("changed"))
     counted = covered.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_covered"), F.max("changed").alias("n_changed"))
-    return counted.where(F.col("n_covered") >= share * F.col("n")).select(
+    held = _held_runs(whole, met.join(keys.select("hash"), "hash", "left_semi"), runs, torn)
+    n = theirs.groupBy("item_id").agg(F.first("n").alias("n"))
+    held = held.join(n, "item_id", "left").select("doc_id", "item_id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).alias(
+        "n_covered"), F.lit(0).alias("n_changed"), F.lit(True).alias("held"))
+    both = counted.withColumn("held", F.lit(False)).unionByName(held).groupBy("doc_id", "item_id").agg(
+        *[F.max(c).alias(c) for c in ("n", "n_covered", "n_changed", "held")])
+    return both.where(F.col("held") | (F.col("n_covered") >= share * F.col("n"))).select(
         "doc_id", "item_id", F.col("n").alias("n_windows"), "n_covered", "n_changed")
 
 
-def _slot_windows(whole: DataFrame, met: DataFrame, theirs: DataFrame, widths: list[int]) -> DataFrame:
-    """The met windows with slots that stand in an occurrence whose slot values agree, and how many values differ there."""
+def _held_runs(whole: DataFrame, met: DataFrame, runs: DataFrame, torn: DataFrame) -> DataFrame:
+    """(doc_id, item_id): documents with a run of the item in an occurrence that is not torn."""
+    sizes = sorted(r["size"] for r in runs.select("size").distinct().collect())  # at most `RUN` numbers
+    again = whole.join(small(met.select("doc_id").distinct()), "doc_id", "left_semi").withColumn("words", plain(F.col("tokens")))
+    every = [_runs(F.col("words"), w) for w in sizes] or [_runs(F.col("words"), RUN)]
+    rows = again.select("doc_id", F.explode(F.concat(*every)).alias("x")).select(
+        "doc_id", F.col("x.at").alias("pos"), F.col("x.run").alias("theirs"), F.xxhash64("x.run").alias("hash"))
+    both = rows.join(runs, "hash").where(F.col("run") == F.col("theirs"))
+    places = both.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    return places.join(torn, ["doc_id", "item_id", "shift"], "left_anti").select("doc_id", "item_id").distinct()
+
+
+def _slot_windows(whole: DataFrame, met: DataFrame, theirs: DataFrame, widths: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The met windows with slots that stand in an occurrence whose slot values agree, and how many values differ there.
+
+    Also (doc_id, item_id, shift): the occurrences whose slot values do not agree.
+    """
     again = whole.join(small(met.select("doc_id").distinct()), "doc_id", "left_semi").withColumn("template", template(F.col("tokens")))
     windows = F.concat(*[_windows(w, lambda i, w=w: F.struct(
         i.alias("pos"), F.slice("template", i, w).alias("window"), F.slice("tokens", i, w).alias("theirs"))) for w in widths])
@@ -132,7 +200,8 @@ def _slot_windows(whole: DataFrame, met: DataFrame, theirs: DataFrame, widths: l
     key = ["doc_id", "item_id", "shift"]
     values = both.select(*key, F.explode(pairs).alias("p")).groupBy(*key, F.col("p.a").alias("a")).agg(
         F.min("p.b").alias("least"), F.max("p.b").alias("most"))
-    agreed = values.groupBy(*key).agg(
+    agreed = cut_lineage(values.groupBy(*key).agg(
         F.sum((F.col("least") != F.col("most")).cast("long")).alias("torn"),
-        F.sum((F.col("least") != F.col("a")).cast("long")).alias("changed")).where("torn = 0").drop("torn")
-    return both.join(agreed, key).select("doc_id", "item_id", "n", "hash", "changed")
+        F.sum((F.col("least") != F.col("a")).cast("long")).alias("changed")), "occurrences")
+    found = both.join(agreed.where("torn = 0").drop("torn"), key).select("doc_id", "item_id", "n", "hash", "changed")
+    return found, agreed.where("torn > 0").select(*key)

@@ -446,6 +446,21 @@ def test_templates_catch_changed_questions(spark):
     assert rows[1, 1].n_changed == 0 and rows[3, 1].n_changed > 2
 
 
+def test_templates_catch_copies_without_telling_windows_and_parts(spark):
+    long = _passage(300, 21)
+    sums, names = "What is 48 * 17 + 23 - 5?", "In 1867, Canada, France, Spain and Italy met. Who led Canada?"
+    items = spark.createDataFrame([(1, sums), (2, names), (3, long), (4, "12.5 %")], "item_id long, text string")
+    words = long.split()
+    docs = spark.createDataFrame(
+        [(1, f"{_passage(40, 22)} {sums} {_passage(9, 23)}"), (2, f"{_passage(5, 24)}. {names.upper()}"), (3, names.lower()),
+         (4, f"{_passage(30, 25)} {' '.join(words[100:150])} {_passage(30, 26)}"), (5, sums.replace("17", "18")),
+         (6, names.replace("Spain", "Greece")), (7, f"{_passage(9, 27)} {' '.join(words[100:112])} {_passage(9, 28)}"),
+         (8, f"{_passage(31, 29)} {' '.join(words[7:20]).upper()}"), (9, _passage(200, 30))], "doc_id long, text string")
+    rows = {(r.doc_id, r.item_id): r for r in templates.contamination(docs, items).collect()}
+    assert set(rows) == {(1, 1), (2, 2), (3, 2), (4, 3), (8, 3)}
+    assert rows[1, 1].n_windows == 0 and rows[4, 3].n_windows == 293 and 40 <= rows[4, 3].n_covered <= 50
+
+
 def test_templates_catch_planted_passages(spark, texts):
     items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
     want = {(i, k) for i, t in texts.items() for k, q in items if q in t}
