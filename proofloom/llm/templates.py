@@ -21,7 +21,8 @@ Runs of an occurrence whose slot values do not agree do not count either. Such
 a run holds windows of `KEY` words, of which a document looks up only every
 sixth; documents that meet one are looked at again.
 
-Items of equal templates count as one, under the smallest id. Null and empty
+Items of equal templates and slot values
+count as one, under the smallest id. Null and empty
 texts, and rows without id, have no windows. Rows of equal id are one document.
 """
 
@@ -98,7 +99,7 @@ def _items(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """(item_id, tokens, template) of the items that count as one, under the smallest id."""
     cut = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("tokens"))
     cut = cut.withColumn("template", template(F.col("tokens"))).where(F.size("tokens") > 0)
-    return cut.groupBy("template").agg(F.min_by(F.struct("item_id", "tokens"), "item_id").alias("first")).select("first.*", "template")
+    return cut.groupBy("template", "tokens").agg(F.min("item_id").alias("item_id"))
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WIDTH,

@@ -461,6 +461,17 @@ def test_templates_catch_copies_without_telling_windows_and_parts(spark):
     assert rows[1, 1].n_windows == 0 and rows[4, 3].n_windows == 293 and 40 <= rows[4, 3].n_covered <= 50
 
 
+def test_templates_keep_items_that_differ_in_slot_values(spark):
+    q = "the farmer has 3 apples and buys 3 more at the market before the sun goes down"
+    items = spark.createDataFrame([(1, q), (2, q.replace("buys 3", "buys 4")), (3, q), (4, q.replace("buys 3", "buys 4"))],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, q), (2, f"x {q.replace('buys 3', 'buys 4')} y"), (3, q.replace("3", "8"))],
+                                 "doc_id long, text string")
+    rows = {(r.doc_id, r.item_id): r for r in templates.contamination(docs, items).collect()}
+    assert {(1, 1), (2, 2), (3, 1)} <= set(rows) and not {k for _, k in rows} & {3, 4}
+    assert rows[2, 2].n_changed == 0 and rows[2, 2].n_covered == rows[2, 2].n_windows
+
+
 def test_templates_catch_planted_passages(spark, texts):
     items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
     want = {(i, k) for i, t in texts.items() for k, q in items if q in t}
