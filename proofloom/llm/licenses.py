@@ -13,7 +13,8 @@ and the pairs that are left are verified on whole sets. Words of a line that
 stand in no template change neither side and are dropped first.
 
 The SQL takes lines as blocks for labels too, so it does not see wrapped
-notices, and takes scattered words of a long line for one.
+notices, takes scattered words of a long line for one, and labels a line by its
+best template only.
 
 Beside the templates, fixed phrases are searched as words that stand one after
 another, over line ends too. Null texts count as empty. Rows are searched one
@@ -151,8 +152,8 @@ def _notices(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """(row, notices): the windows that match, from the first to the last word that they need.
 
     A window starts at a word of its template that it does not hold again. It
-    counts unless it lies within another one of a larger share, or of the same
-    share and more common words.
+    counts unless it lies within another one that holds all its template words,
+    and more of them or as many and a larger share: agpl in gpl, cc-by in cc-by-nc.
     """
     met = rows.select("row", F.explode("near").alias("b")).select("row", "b.*").join(
         F.broadcast(asked.withColumnRenamed("words", "own")), "word")
@@ -183,7 +184,8 @@ def _notices(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _over(o: Column) -> Column:
     """Whether a window that starts no later hides the one of the row."""
-    return (o["end"] >= F.col("end")) & (F.struct(o["share"], o["common"]) > F.struct("share", "common"))
+    return ((o["end"] >= F.col("end")) & (F.struct(o["common"], o["share"]) > F.struct("common", "share"))
+            & (F.size(F.array_except("held", o["held"])) == 0))
 
 
 def _or_empty(name: str, df: DataFrame) -> Column:

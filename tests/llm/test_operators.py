@@ -314,6 +314,23 @@ def test_licenses_of_wrapped_notices(spark):
     assert {k: r.score for k, r in rows.items()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 1, 6: 1, 7: 0}
 
 
+def test_licenses_of_two_notices_in_a_line(spark):
+    docs = [
+        (1, "Redistribution and use in source and binary forms, with or without modification, are permitted. Docs licensed under CC BY 4.0"),
+        (2, "licensed under CC BY-NC 4.0"), (3, "licensed under the GNU Affero General Public License"),
+        (4, "code licensed under CC BY-NC 4.0, " + "word " * 20 + "docs licensed under CC BY 4.0"),
+        (5, "This work is licensed under the GNU General Public License, version 3. All rights reserved. "
+            "Unauthorized copying of this file is strictly prohibited")]
+    rows = licenses.report(licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"))).collect()
+    assert {r.doc_id: r.labels for r in rows} == {1: "bsd,cc-by", 2: "cc-by-nc", 3: "agpl,gpl", 4: "cc-by,cc-by-nc", 5: "gpl,proprietary"}
+
+
+def test_license_words_of_another_notice_do_not_hide_one(spark):
+    inner = "redistribution and use in source licensed under cc by 4 0 and binary forms with or without modification are permitted"
+    rows = licenses.report(licenses.scan(spark.createDataFrame([(1, inner)], "doc_id long, text string"))).collect()
+    assert rows[0].labels == "bsd,cc-by"
+
+
 def test_license_windows_equal_brute_force(spark):
     draw = random.Random(5)
     words = [*sorted({w for _, t in licenses.TEMPLATES for w in t.split()}), *["other"] * 30]
