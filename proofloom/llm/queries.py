@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear, curve, fractions, importance, licenses, neardup, pieces, profiles, ranking, templates, toolcalls
+from . import bilinear, curve, fractions, importance, licenses, neardup, pieces, profiles, ranking, repair, templates, toolcalls
 from .common import fold, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A fifth of the labelled rows stays out of the trusted texts, for tests.
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").where(~held_out("doc_id", 5))
     return importance.report(docs, importance.learn(docs, trusted))
+
+
+@query()
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))

@@ -14,7 +14,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 from test_operators import CLASHES, ODD
 
-from proofloom.llm import importance, queries
+from proofloom.llm import importance, queries, repair
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +117,136 @@ def test_importance_of_odd_rows(spark, odd):
     assert not importance.learn(odd, trusted.where("false")).any()
     empty = odd.where("false")
     assert not importance.learn(empty, trusted).any() and importance.report(empty, weights).count() == 0
+
+
+# 13: conversation repair
+
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
+def damaged_by_hand(turns):
+    out = collections.defaultdict(list)
+    for conv, turn, role, text in turns:
+        out[conv]  # all conversations are reported
+        one = lambda v: " " if v is None else str(v)
+        role, text = one(role), one(text)
+        kind = zlib.crc32(f"{one(conv)}:{one(turn)}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        if kind:
+            out[conv] += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return {c: sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), hashlib.sha256(r[2].encode()).digest()))
+            for c, rows in out.items()}
+
+
+def cheapest(rows):
+    """(cost, audit) by trying all edits; rows: (initial, to be deleted, truncated)."""
+    after = {"": "u", "s": "u", "u": "a", "a": "u"}
+    best = {}
+    for i in range(len(rows), -1, -1):
+        # Best without an insert first; three rounds of inserts reach every state from every other.
+        for state in after:
+            options = [(0, "")] if i == len(rows) and state in ("", "a") else []
+            if i < len(rows):
+                initial, gone, cut = rows[i]
+                cost, edits = best[i + 1, state]
+                options.append((cost + 3, "D" + edits))
+                if not gone:
+                    if initial == after[state] or (initial, state) == ("s", ""):
+                        cost, edits = best[i + 1, initial]
+                        options.append((cost + cut, "K" + edits))
+                    cost, edits = best[i + 1, after[state]]
+                    options.append((cost + cut + 2, "R" + edits))
+            best[i, state] = min(options, default=(math.inf, ""))
+        for _ in range(3):
+            for state in after:
+                cost, edits = best[i, after[state]]
+                best[i, state] = min(best[i, state], (cost + 2, "I" + edits))
+    return best[0, ""]
+
+
+def repair_by_hand(rows):
+    blanks = " \t\n\x0b\x0c\r"
+    seen, faults = set(), []
+    for _, role, text in rows:
+        bare = text.rstrip(blanks)
+        faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    cost, audit = cheapest([(r[1][:1], f in ("blank", "duplicate"), f == "truncated") for r, f in zip(rows, faults, strict=True)])
+    lines, state, i = [], "", 0
+    names = {"u": "user", "a": "assistant"}
+    for edit in audit:
+        due = "a" if state == "u" else "u"
+        if edit == "I":
+            lines.append(names[due] + ":")
+        elif edit == "R":
+            lines.append(names[due] + ":" + rows[i][2])
+        elif edit == "K":
+            lines.append(rows[i][1] + ":" + rows[i][2])
+            due = rows[i][1][0]
+        state = state if edit == "D" else due
+        i += edit != "I"
+    turns = [r[0] for r in rows if r[0] is not None]
+    pairs = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(rows))
+    return (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, faults.count("blank"), faults.count("duplicate"),
+            faults.count("truncated"), pairs, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+
+
+def reported(df):
+    return {r.conv_id: tuple(r)[1:] for r in df.collect()}
+
+
+def test_repair_equals_brute_force(spark):
+    turns = duckdb.sql(f"select conv_id, turn, role, text from '{SF}/conversations.parquet'").fetchall()
+    got = reported(queries.op13_repair(spark, SF))
+    assert got == {c: repair_by_hand(rows) for c, rows in damaged_by_hand(turns).items()}
+
+
+def odd_turns(seed, convs, longest):
+    rng = random.Random(seed)
+    roles = ["user", "assistant", "system", "user", "assistant", "tool", "agent", "", None, "User"]
+    texts = ["Yes.", "No", "", " \n", None, "What?", "é漢😀.", "so\x0b", "Ends. \t", "x" * 50_000 + "!"]
+    out = []
+    for c in range(convs):
+        for t in range(rng.randint(1, longest)):
+            text = rng.choice(texts) if rng.random() < 0.5 else f"text {rng.random()}" + rng.choice([".", "", "!"])
+            out.append((None if c == 0 else c, None if rng.random() < 0.05 else t * rng.choice([1, 1, 1, 2]), rng.choice(roles[:rng.choice([2, 3, 10])]), text))
+    return out + out[:3]
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 65_536])
+def test_repair_in_chunks_of_any_size(spark, rows):
+    turns = odd_turns(rows, 40, 30)
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    for c in ("number", "uid", "kind", "found", "digest", "blank", "id"):
+        df = df.withColumn(c, F.lit(f"x-{c}"))
+    assert reported(repair.report(df, rows)) == {c: repair_by_hand(own) for c, own in damaged_by_hand(turns).items()}
+
+
+def test_guesses_that_never_converge(spark):
+    """Rows that all must go pass every vector on unchanged, so only the last chunk's costs are right at first."""
+    turns = [(1, t, "system", " ") for t in range(60)] + [(1, 60 + t, "user", f"Say {t}.") for t in range(2)] + [
+        (2, t, "user", f"Say {t}") for t in range(40)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    assert reported(repair.report(df, 1)) == {c: repair_by_hand(own) for c, own in damaged_by_hand(turns).items()}
+
+
+def test_repaired_rows_and_their_grammar(spark):
+    turns = [r for r in odd_turns(9, 60, 20) if r[0] is not None]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    own = repair.damaged(df)
+    found = repair.audits(repair.faults(own)).cache()
+    lines = collections.defaultdict(list)
+    for r in repair.repaired(own, found).orderBy("conv_id", "position").collect():
+        lines[r.conv_id].append((r.role, r.text))
+    want = {c: repair_by_hand(rows) for c, rows in damaged_by_hand(turns).items()}
+    for c, w in want.items():
+        assert re.fullmatch("(s?(ua)+)?", "".join(role[0] for role, _ in lines[c]))
+        assert hashlib.sha256("\n".join(f"{a}:{b}" for a, b in lines[c]).encode()).hexdigest() == w[-1]
+
+
+def test_repair_of_empty_and_dropped_conversations(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert repair.report(df).collect() == []
+    gone = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
+    df = spark.createDataFrame([(gone, 0, "user", "Hello.")], df.schema)
+    assert reported(repair.report(df)) == {gone: (0, 0, 0, 0, 0, 0, "", EMPTY)}
