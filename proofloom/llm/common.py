@@ -41,3 +41,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     df = cut_lineage(df, "small")
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of an intermediate table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

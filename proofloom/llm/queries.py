@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear, curve, fractions, importance, licenses, neardup, pieces, profiles, ranking, repair, templates, toolcalls
+from . import bilinear, collocations, curve, fractions, importance, licenses, neardup, pieces, profiles, ranking, repair, templates, toolcalls
 from .common import fold, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(table(spark, sf_dir, "conversations"))
+
+
+@query(collocations.ORACLE)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(collocations.frequent(table(spark, sf_dir, "documents")), 2000)

@@ -14,7 +14,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 from test_operators import CLASHES, ODD
 
-from proofloom.llm import importance, queries, repair
+from proofloom.llm import collocations, importance, queries, repair
 
 
 @pytest.fixture(scope="module")
@@ -250,3 +250,65 @@ def test_repair_of_empty_and_dropped_conversations(spark):
     gone = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
     df = spark.createDataFrame([(gone, 0, "user", "Hello.")], df.schema)
     assert reported(repair.report(df)) == {gone: (0, 0, 0, 0, 0, 0, "", EMPTY)}
+
+
+# 12: phrases
+
+def phrases_by_hand(rows, least, top, longest=4):
+    counts = collections.defaultdict(collections.Counter)
+    for text, lang in rows:
+        own = counts["und" if lang is None else lang]
+        text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            own.update(tuple(words[i:i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1))
+    out = []
+    for lang, own in counts.items():
+        n = sum(f for p, f in own.items() if len(p) == 1)
+        often = {p: f for p, f in own.items() if f >= least and len(p) > 1}
+        found = []
+        for p, a in often.items():
+            if any(100 * f >= 80 * a and any(q[i:i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, f in often.items() if len(q) > len(p)):
+                continue
+            score, _, left, rest = min((2_000_000 * a // (own[p[:k]] + own[p[k:]]), k, own[p[:k]], own[p[k:]]) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), left, rest))
+        for rank, (score, a, p, left, rest) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, rest, n, -score))
+    return sorted(out)
+
+
+def odd_texts(seed, rows):
+    rng = random.Random(seed)
+    words = ["The", "the", "of", "é", "\x00", "漢", "a\x85b", " ", "new", "York", "city"]
+    out = [(None, "en"), ("", None), (" \t ", "en"), ("..!", "en"), ("x" * 3000, "fr")] + [("New York city hall!", "de")] * 9
+    for _ in range(rows):
+        text = "".join(rng.choice(words[:rng.choice([4, 11])]) + rng.choice([" ", " ", " ", "\t", "  ", ". ", "\n", ";"]) for _ in range(rng.randint(0, 60)))
+        out.append((text, rng.choice(["en", "en", "fr", None])))
+    return out
+
+
+@pytest.mark.parametrize(("bits", "shards", "together", "least"), [(22, 4, 8_000_000, 9), (2, 4, 200, 9), (3, 3, 50, 4), (5, 1, 1000, 9), (1, 2, 1, 30)])
+def test_phrases_equal_brute_force(spark, monkeypatch, bits, shards, together, least):
+    monkeypatch.setattr(collocations, "BITS", bits)
+    rows = odd_texts(bits, 120)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    for c in ("words", "phrase", "total", "shard", "fresh"):
+        df = df.withColumn(c, F.lit(f"x-{c}"))
+    counted = collocations.frequent(df, least=least, shards=shards, together=together)
+    got = sorted(tuple(r) for r in collocations.collocations(counted, 40).collect())
+    assert got == phrases_by_hand(rows, least, 40)
+
+
+def test_a_phrase_that_becomes_frequent_in_the_last_scan_is_counted_whole(spark):
+    """Shards are dealt by row: each holds a few of the occurrences, so the threshold is reached late."""
+    rows = [("alpha beta gamma delta", "en")] * 30 + [("alpha beta", "en"), ("gamma", "en")]
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    got = {(r.words, r.phrase): r.total for r in collocations.frequent(df).collect()}
+    assert got[4, "alpha beta gamma delta"] == 30 and got[2, "alpha beta"] == 31 and got[1, "gamma"] == 31 and got[0, ""] == 123
+
+
+def test_phrases_of_odd_tables(spark, odd):
+    assert collocations.collocations(collocations.frequent(odd.where("false")), 10).collect() == []
+    counted = collocations.frequent(odd)
+    got = [tuple(r) for r in collocations.collocations(counted, 2000).collect()]
+    assert sorted(got) == phrases_by_hand([(t, "en") for _, t in ODD], 30, 2000)
