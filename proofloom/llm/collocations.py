@@ -8,9 +8,10 @@ complete after one full cycle. So phrases of all lengths are counted in the same
 scans, mostly in fewer than one cycle for each length, and every count is that
 of the whole corpus.
 
-One scan is a Spark job. Tasks number the words of some megabytes of text and
-count phrases as numbers; Spark adds the counts up by language and phrase and
-merges them with those of earlier scans. What has reached the threshold comes to
+Texts are split once: blocks of some megabytes of a language and a shard are
+written as their distinct words and the numbers of all words. One scan is a
+Spark job. Tasks count phrases as numbers; Spark adds the counts up by language
+and phrase and merges them with those of earlier scans. What has reached the threshold comes to
 the tasks as an array of hash cells for each length, of a fixed size, which holds
 the last scan after which a phrase of the cell reached it. Phrases that share a
 cell can only lengthen the time of counting: anything counted at all is counted
@@ -46,6 +47,8 @@ TOGETHER = 8_000_000
 
 _CUT = b"\xff"  # no byte of UTF-8
 _FOLD = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", _CUT * 10 + b" ")
+#: Stands between a language and a phrase; no word holds it.
+_LEAD = b"\n"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,24 +79,55 @@ def parts(text: bytes, limit: int) -> Iterator[bytes]:
     yield folded[start:]
 
 
-def count(lang: str, folded: list[bytes], scan: int, reached: list[np.ndarray], shards: int) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(words, phrases, counts) of what is active in this scan; length 0 stands for the number of all words.
-
-    `reached[n - 1][cell]`: 1 + the last scan after which a phrase of n words in that cell reached the threshold, else 0.
-    """
+def numbered(folded: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words, the mark of a cut among them, and all words as numbers of these."""
     tokens = _CUT.join(folded).replace(_CUT, b" " + _CUT + b" ").split()
     number = dict(zip(dict.fromkeys(tokens), range(len(tokens)), strict=False))
-    words = list(number)
-    ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-    del tokens
-    cut = number.get(_CUT, -1)
+    return list(number), np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens))
+
+
+def _blocks(shards: int, together: int):
+    """(lang, shard, words, ids) blocks: texts of a language and a shard as numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[bytes]] = {}
+        size = row = 0
+
+        def flush():
+            for (lang, shard), folded in held.items():
+                words, ids = numbered(folded)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+                         for x, kind in ((words, pa.binary()), (ids, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([shard], pa.int32()), *lists], ["lang", "shard", "words", "ids"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                row += 1
+                for part in parts(text.as_py() or b"", together):
+                    held.setdefault((lang, row % shards), []).append(part)
+                    size += len(part)
+                    if size >= shards * together:
+                        yield from flush()
+                        held, size = {}, 0
+        yield from flush()
+
+    return run
+
+
+def count(lang: str, words: list[bytes], ids: np.ndarray, scan: int, reached: list[np.ndarray], shards: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(phrases, counts) of what is active in this scan; the language and a line end stand before a phrase.
+
+    An empty phrase stands for the number of all words. `reached[n - 1][cell]`: 1 + the last scan after which a phrase of
+    n words in that cell reached the threshold, else 0.
+    """
+    lead = lang.encode() + _LEAD
+    cut = words.index(_CUT) if _CUT in words else -1
     if scan < shards:
         n = np.bincount(ids, minlength=len(words))
         if cut >= 0:
             n[cut] = 0
         met = np.flatnonzero(n)
-        yield 0, [b""], np.array([n.sum()])
-        yield 1, [words[i] for i in met], n[met]
+        yield [lead], np.array([n.sum()])
+        yield [lead + words[i] for i in met.tolist()], n[met]
     if not any(r.any() for r in reached):
         return
     hashes = word_hashes(lang, words)
@@ -101,14 +135,14 @@ def count(lang: str, folded: list[bytes], scan: int, reached: list[np.ndarray],
     if cut >= 0:
         last[cut] = 0
     own = hashes[ids]
-    size = len(words)
+    opening = [lead + w for w in words]
     grown, found = own, last[ids]  # of the phrase of n words that starts at each place
     for n in range(2, len(reached) + 2):
         # Both subphrases of n - 1 words reached the threshold, the later one less than a cycle ago.
         both = (found[:-1] > 0) & (found[1:] > 0)
         active = np.flatnonzero(both & (np.maximum(found[:-1], found[1:]) >= scan - shards + 1))
         if len(active):
-            yield n, *_distinct(ids, active, n, size, words)
+            yield _distinct(ids, active, n, words, opening)
         if n > len(reached) or not both.any():
             return
         grown = grown[:-1]
@@ -120,62 +154,49 @@ def count(lang: str, folded: list[bytes], scan: int, reached: list[np.ndarray],
         found[at] = reached[n - 1][cell(hashed)]
 
 
-def _distinct(ids: np.ndarray, at: np.ndarray, n: int, size: int, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+def _distinct(ids: np.ndarray, at: np.ndarray, n: int, words: list[bytes], opening: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """The distinct phrases of n words at some places, and how often each stands there."""
+    size = len(words)
     pair = lambda i: ids[at + i] * size + ids[at + i + 1]
-    key = pair(0) if n > 1 else ids[at]
+    key = pair(0)
     for i in range(2, n, 2):
         more = pair(i) if i + 1 < n else ids[at + i]
         joined, number = np.unique(np.concatenate([key, more]), return_inverse=True)
         key = number[:len(at)] * len(joined) + number[len(at):]
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
     places = at[first]
-    columns = [[words[j] for j in ids[places + i].tolist()] for i in range(n)]
-    return [b" ".join(p) for p in zip(*columns, strict=True)], counts
+    columns = [map((words if i else opening).__getitem__, ids[places + i].tolist()) for i in range(n)]
+    return list(map(b" ".join, zip(*columns, strict=True))), counts
 
 
-def _scanner(scan: int, sent, shards: int, together: int):
+def _scanner(scan: int, sent, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = sent.value
-        held: dict[str, list[bytes]] = {}
-        size = 0
-
-        def flush():
-            for lang, folded in held.items():
-                for n, phrases, counts in count(lang, folded, scan, reached, shards):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(phrases), pa.string()), pa.array([n] * len(phrases), pa.int32()),
-                         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
-                        ["lang", "words", "phrase", "fresh"])
-
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                for part in parts(text.as_py() or b"", together):
-                    held.setdefault(lang, []).append(part)
-                    size += len(part)
-                    if size >= together:
-                        yield from flush()
-                        held, size = {}, 0
-        yield from flush()
+            for lang, words, ids in zip(*batch.columns, strict=True):
+                own = ids.values.to_numpy().astype(np.int64)
+                for phrases, counts in count(lang.as_py(), words.as_py(), own, scan, reached, shards):
+                    yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["phrase", "fresh"])
 
     return run
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells of phrases that reached the threshold."""
+    """Lengths and cells of phrases that reached the threshold."""
     for batch in batches:
         lengths, at = [], []
-        for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = word_hashes(lang, phrase.encode().split(b" "))
-            grown = own[:1]
-            for i in range(1, len(own)):
-                grown = longer_hash(grown, own[i:i + 1])
-            lengths.append(len(own))
+        for own in batch.column(0).to_pylist():
+            lang, _, phrase = own.rpartition(_LEAD.decode())
+            hashes = word_hashes(lang, phrase.encode().split(b" "))
+            grown = hashes[:1]
+            for i in range(1, len(hashes)):
+                grown = longer_hash(grown, hashes[i:i + 1])
+            lengths.append(len(hashes))
             at.append(int(cell(grown)[0]))
         yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int32()), pa.array(at, pa.int64())], ["words", "cell"])
 
 
-_STATE = "lang string, words int, phrase string, total long, first int, newly boolean"
+_STATE = "phrase string, total long, first int, newly boolean"
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, together: int = TOGETHER,
@@ -183,26 +204,27 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards
     """(lang, words, phrase, total) of all phrases up to `longest` words that stand `least` times; words 0: all words of the language."""
     spark = docs.sparkSession
     dealt = work_dir(spark, "shards")
-    (docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"),
-                 (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
-     .write.partitionBy("shard").parquet(dealt))
-    corpus = spark.read.schema("lang string, text string, shard int").parquet(dealt)
+    block = "lang string, shard int, words array<binary>, ids array<int>"
+    (docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
+     .mapInArrow(_blocks(shards, together), block).write.partitionBy("shard").parquet(dealt))
+    corpus = spark.read.schema(block).parquet(dealt)
     reached = [np.zeros(1 << BITS, np.uint8) for _ in range(longest - 1)]
+    own = F.substring_index("phrase", _LEAD.decode(), -1)
+    words = F.when(own == "", 0).otherwise(F.length(own) - F.length(F.translate(own, " ", "")) + 1)
     state, held, scan, latest = spark.createDataFrame([], _STATE), None, 0, -1
     while scan < shards or scan <= latest + shards:
         sent = spark.sparkContext.broadcast(reached)
-        fresh = corpus.where(F.col("shard") == scan % shards).select("lang", "text").mapInArrow(
-            _scanner(scan, sent, shards, together), "lang string, words int, phrase string, fresh long")
+        fresh = corpus.where(F.col("shard") == scan % shards).select("lang", "words", "ids").mapInArrow(
+            _scanner(scan, sent, shards), "phrase string, fresh long")
         none = F.lit(None)
-        union = state.select("lang", "words", "phrase", "total", "first", F.lit(0).cast("long").alias("fresh")).unionByName(
-            fresh.select("lang", "words", "phrase", none.cast("long").alias("total"), none.cast("int").alias("first"), "fresh"))
-        met = union.groupBy("lang", "words", "phrase").agg(
+        union = state.select("phrase", "total", "first", F.lit(0).cast("long").alias("fresh")).unionByName(
+            fresh.select("phrase", none.cast("long").alias("total"), none.cast("int").alias("first"), "fresh"))
+        met = union.groupBy("phrase").agg(
             F.coalesce(F.max("total"), F.lit(0)).alias("old"), F.max("first").alias("since"), F.sum("fresh").alias("fresh"))
         first = F.coalesce("since", F.lit(scan))
         total = F.col("old") + F.when(first + shards > scan, F.col("fresh")).otherwise(0)
-        merged = (met.select("lang", "words", "phrase", total.alias("total"), first.alias("first"),
-                             ((F.col("old") < least) & (total >= least)).alias("newly"))
-                  .where((F.col("first") + shards - 1 > scan) | (F.col("total") >= least) | (F.col("words") == 0)))
+        merged = (met.select("phrase", total.alias("total"), first.alias("first"), ((F.col("old") < least) & (total >= least)).alias("newly"))
+                  .where((F.col("first") + shards - 1 > scan) | (F.col("total") >= least) | (own == "")))
         path = work_dir(spark, "counts")
         merged.write.parquet(path)
         state = spark.read.schema(_STATE).parquet(path)
@@ -211,7 +233,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards
         held = path
         sent.destroy()
         # At most one row for each cell.
-        hit = (state.where(f"newly and words between 1 and {longest - 1}").select("lang", "phrase")
+        hit = (state.where("newly").where(words.between(1, longest - 1)).select("phrase")
                .mapInArrow(_cells, "words int, cell long").distinct().toArrow())
         if len(hit):
             latest = scan
@@ -220,7 +242,8 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards
                 reached[n - 1][cells[lengths == n]] = scan + 1
         scan += 1
     remove(spark, dealt)
-    return state.where((F.col("total") >= least) | (F.col("words") == 0)).select("lang", "words", "phrase", "total")
+    of = F.substring("phrase", F.lit(1), F.length("phrase") - F.length(own) - 1)
+    return state.where((F.col("total") >= least) | (own == "")).select(of.alias("lang"), words.alias("words"), own.alias("phrase"), "total")
 
 
 def _run(words: Column, start: Column, n: Column) -> Column:
