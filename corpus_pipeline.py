@@ -3,7 +3,7 @@
 Five stages, each over all rows that the one before kept. Columns of the
 documents, also extra ones, pass through all stages but the last. Rows without
 id have no copies and no contamination; rows without text leave at the language
-stage at the latest. Of rows that repeat an id, one stays.
+stage at the latest. Of rows that repeat an id, that of the smallest checksum stays.
 """
 
 from __future__ import annotations
@@ -47,8 +47,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     if twice.isEmpty():
         return kept
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(
-        kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    # The row of the smallest checksum, whatever the order of rows.
+    own = F.struct(*docs.columns)
+    order = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.to_json(own))
+    one = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(own, order).alias("row"))
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one.select("row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

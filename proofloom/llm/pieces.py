@@ -8,7 +8,8 @@ vocabulary become the byte pieces of their UTF-8 form.
 
 No piece of a merge vocabulary needs to reach over two characters that stand
 side by side in no piece, so a text is cut there first: merges never cross
-such a cut, and the segments, which repeat a lot, are encoded once per worker.
+such a cut, and the segments, which repeat a lot, are remembered within a task;
+only some short ones stay in the worker for the next task.
 Every segment met for the first time is also encoded by the sentencepiece
 library, in one call per Arrow batch; a difference stops the job.
 
@@ -19,11 +20,12 @@ travels to the tasks as a broadcast, so executors need no file of their own.
 from __future__ import annotations
 
 import heapq
+import pickle
 import re
 import sys
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, chain, islice, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import slices
 
 BLANK = "▁"
-#: Segments a worker remembers, twice: when the memory is full it becomes the old one, and what is met again moves on.
+#: Segments a task remembers, twice: when the memory is full it becomes the old one, and what is met again moves on.
 REMEMBERED = 350_000
+#: Segments of so many characters at most, short ones being the most frequent, stay in a worker between tasks, up to this number.
+LASTING, MOST_LASTING = 6, 50_000
 #: Score of a pair that is no piece.
 NEVER = float("-inf")
 #: Longer segments keep their agenda in a heap.
@@ -166,6 +170,12 @@ class Vocabulary:
         flat = [b"".join(map(self.known.__getitem__, p)) for p in parts]
         return b"".join(flat), list(accumulate((len(f) // 4 for f in flat), initial=0))
 
+    def forget(self) -> None:
+        """Give the memory of a task back, but for some short segments; these are written anew, so that they hold no page of the others."""
+        lasting = pickle.dumps(dict(islice(((s, ids) for s, ids in self.known.items() if len(s) <= LASTING), MOST_LASTING)))
+        self.known = self.old = {}
+        self.known, self.old = pickle.loads(lasting), {}
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids; a byte that belongs to no valid character becomes U+FFFD."""
         try:
@@ -200,7 +210,7 @@ class Vocabulary:
 
 
 def _vocabulary(model: bytes) -> Vocabulary:
-    """One vocabulary, with its remembered segments, for all tasks of a worker."""
+    """One vocabulary for all tasks of a worker."""
     held = sys.__dict__.setdefault("_proofloom_vocabularies", {})
     key = hash(model)
     if key not in held:
@@ -250,6 +260,7 @@ def encode(spark: SparkSession, text: Column, model_path: str) -> Column:
         for batch in batches:
             for texts in _slices(batch):
                 yield _id_array(*vocabulary.encode(texts))
+        vocabulary.forget()
 
     return ids(text)
 
@@ -278,5 +289,6 @@ def round_trip(spark: SparkSession, text: Column, model_path: str) -> Column:
             for texts in _slices(batch):
                 ids = _id_array(*vocabulary.encode(texts))
                 yield pa.StructArray.from_arrays([ids, _texts(vocabulary, ids)], ["ids", "decoded"])
+        vocabulary.forget()
 
     return both(text)

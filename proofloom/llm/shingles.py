@@ -8,7 +8,7 @@ import xxhash
 #: Words of a shingle.
 WORDS = 5
 #: Word hashes a task remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
