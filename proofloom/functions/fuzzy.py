@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 from math import ceil
 
 # Thresholds of the matching strategies.
@@ -277,3 +278,57 @@ def best_windows(quote: str, text: str, threshold: float, top: int = 5):
         if ratio >= threshold:
             best = sorted([*best, (-ratio, start)])[:top]
     return [(s, s + n, -r) for r, s in best]
+
+
+class Wanted:
+    """A quotation, prepared to tell which texts can hold it with a confidence of `least` or more.
+
+    Each strategy has a condition on the whole text that any match of its own
+    satisfies, so a text that meets none is never a holder.
+    """
+
+    def __init__(self, quote: str, least: float):
+        low = quote.lower()
+        n = len(quote)
+        self.flat = normalize(quote)
+        # Windows: as many characters in order as the smallest one needs.
+        self.bound = Bound(low) if int(n * 1.1) >= MIN_WINDOW else None
+        self.need = FUZZY_MIN * (len(low) + int(n * 0.9)) / 2
+        self.stride, self.reach = max(8, n // 3), max(8, n // 3) + int(n * 1.1)
+        phrases = [p.strip().lower() for p in key_phrases(quote)]
+        self.phrases = [p for p in phrases if len(p) >= MIN_PHRASE]
+        self.phrases_needed = max(1, ceil(least * len(phrases) - 1e-9))
+        # A common run of `run` characters covers one of the pieces that start at every half of it.
+        run = max(MIN_BLOCK, ceil(least * n - 1e-9))
+        half = run // 2
+        self.pieces = [low[i:i + half] for i in range(0, len(low) - half + 1, half)] if n >= MIN_WINDOW else []
+        # A window may cut a word of the text, so words are looked for inside of words.
+        found = set(_WORD4.findall(low))
+        self.words = found if len(found) >= MIN_OVERLAP_WORDS else set()
+        self.words_needed = max(1, ceil(max(least, OVERLAP_SHARE) * len(found) - 1e-9))
+
+    def may_stand_in(self, low: str, flat: str) -> bool:
+        """low: the text in lower case; flat: the normalised text."""
+        if self.flat and self.flat in flat or any(p in low for p in self.pieces):
+            return True
+        if sum(p in low for p in self.phrases) >= self.phrases_needed or sum(w in low for w in self.words) >= self.words_needed:
+            return True
+        at = 0
+        while self.bound and at < len(low):
+            common = self.bound.common(low[at:at + self.reach])
+            if common >= self.need:
+                return True
+            # A block further on has at most as many common characters more as it has new ones.
+            at += self.stride * max(1, ceil((self.need - common) / self.stride))
+        return False
+
+
+def possible_holders(quotes: list[str], text: str, least: float) -> list[int]:
+    """Places of the quotations that the text may hold."""
+    low, flat = text.lower(), normalize(text)
+    return [i for i, q in enumerate(quotes) if _wanted(q, least).may_stand_in(low, flat)]
+
+
+@lru_cache(4096)
+def _wanted(quote: str, least: float) -> Wanted:
+    return Wanted(quote, least)

@@ -183,13 +183,17 @@ def sections(text: Column | str) -> Column:
                 i.alias("i"), strip(l).alias("heading"),
                 classify_heading(l).alias("category"))),
             lambda x: x["category"].isNotNull())
-        # Each heading adds the lines since the one before, so all lines are measured once.
-        gaps = F.transform(tagged, lambda x, k: let(
-            F.coalesce(F.get(tagged, k - 1)["i"], F.lit(0)),
-            lambda a: F.aggregate(F.slice(lines, a + 1, x["i"] - a), F.lit(0), lambda n, l: n + F.length(l) + 1)))
-        starts = let(gaps, lambda g: F.transform(F.arrays_zip(tagged.alias("x"), running(g).alias("start")), lambda z: F.struct(
-            z["start"].alias("start"), z["x"]["category"].alias("category"), z["x"]["heading"].alias("heading"))))
-        return let(starts, lambda heads: F.transform(heads, lambda h, i: F.struct(
+
+        def from_headings(found: Column) -> Column:
+            # Each heading adds the lines since the one before, so all lines are measured once.
+            gaps = F.transform(found, lambda x, k: let(
+                F.coalesce(F.get(found, k - 1)["i"], F.lit(0)),
+                lambda a: F.aggregate(F.slice(lines, a + 1, x["i"] - a), F.lit(0), lambda n, l: n + F.length(l) + 1)))
+            return let(gaps, lambda g: F.transform(F.arrays_zip(found.alias("x"), running(g).alias("start")), lambda z: F.struct(
+                z["start"].alias("start"), z["x"]["category"].alias("category"), z["x"]["heading"].alias("heading"))))
+
+        # Bound once, or every heading would classify all lines again.
+        return let(let(tagged, from_headings), lambda heads: F.transform(heads, lambda h, i: F.struct(
             h["start"].alias("start"),
             F.coalesce(F.get(heads, i + 1)["start"], F.length(t)).alias("end"),
             h["category"].alias("category"), h["heading"].alias("heading"))))
@@ -198,9 +202,19 @@ def sections(text: Column | str) -> Column:
 
 
 def section_at(section_map: Column | str, position: Column | str) -> Column:
-    """The heading at or before a position; UNKNOWN in front of the first one."""
-    at_or_before = F.filter(col(section_map), lambda s: s["start"] <= col(position))
-    return F.coalesce(F.try_element_at(at_or_before, F.lit(-1)), F.struct(
+    """The heading at or before a position; UNKNOWN in front of the first one. The ordered map is halved until one place is left."""
+    m, place = col(section_map), col(position)
+    size = F.coalesce(F.size(m), F.lit(0))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+
+    def half(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        before = F.coalesce(F.get(m, middle)["start"] <= place, F.lit(False))
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(
+            F.when(before, middle + 1).otherwise(s["low"]).alias("low"), F.when(before, s["high"]).otherwise(middle).alias("high")))
+
+    later = F.aggregate(steps, F.struct(F.lit(0).alias("low"), size.alias("high")), half)["low"]
+    return F.coalesce(let(later, lambda k: F.when(k > 0, F.get(m, k - 1))), F.struct(
         F.lit(0).alias("start"), F.lit(None).cast("int").alias("end"),
         F.lit("UNKNOWN").alias("category"), F.lit("").alias("heading")))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fuzzy
 from ..functions.authors import parse_citation, surname
 from ..functions.spans import pattern_spans
 from ..functions.text import let, normalize_text, strip, unify_quotes, words
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import passages as P
 from . import quotes as Q
 from .prefix import first_n_per_key
@@ -115,38 +117,41 @@ def _holds(pairs: DataFrame, texts: DataFrame, confidence: float = Q.AUDIT_CONFI
     return sure.unionByName(tried.where(F.col("confidence") >= confidence).select(*key)).distinct()
 
 
-def _source_candidates(open_quotes: DataFrame, studies: DataFrame, texts: DataFrame) -> DataFrame:
-    """Studies of the same review that share three words in a row with a
-    quotation, or one of its rarest words.
+#: Quotations that are tried on a text together.
+BLOCK = 64
 
-    A text that holds 60% of the distinct words of a quotation holds at least
-    one of the rarest 40% and one more, so those are enough to look up.
+
+def source_candidates(open_quotes: DataFrame, studies: DataFrame, texts: DataFrame, least: float = Q.AUDIT_CONFIDENCE) -> DataFrame:
+    """(review_id, n, doc_id): studies of the same review whose text may hold a quotation with a confidence of `least`.
+
+    The open quotations of a review are dealt into blocks, and a text meets each
+    block of its review once. There a quotation stays if the whole text
+    satisfies what a match of some strategy implies, so no holder is left out. A
+    review of very many studies or quotations is many rows, which a skewed join
+    spreads.
     """
-    def grams(c: Column) -> Column:
-        return let(F.filter(F.split(normalize_text(c), " "), lambda w: w != ""), lambda w: F.array_distinct(F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))),
-            lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
-
-    def long_words(c: Column) -> Column:
-        return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]{4,})"), 1),
-                                            lambda w: F.xxhash64(w)))
-
-    keys = ["review_id", "key"]
-    docs = studies.join(open_quotes.select("review_id").distinct(), "review_id", "left_semi").select(
-        "review_id", "doc_id").join(texts, "doc_id")
-    index = docs.select("review_id", "doc_id", F.explode(F.array_distinct(F.concat(grams(F.col("text")), long_words(F.col("text"))))).alias("key"))
-    runs = open_quotes.select("review_id", "n", F.explode(grams(F.col("quote"))).alias("key"))
-    single = open_quotes.select("review_id", "n", F.explode(long_words(F.col("quote"))).alias("key"))
-    wanted = runs.select(*keys).unionByName(single.select(*keys)).distinct()
-    # The index is cut to keys some quotation asks for before anything is counted.
-    index = index.join(wanted, keys, "left_semi")
-    df = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
-    ranked = single.join(df, keys, "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    w = Window.partitionBy("review_id", "n")
-    rare = ranked.withColumn("_r", F.row_number().over(w.orderBy("df", "key"))).withColumn(
-        "_k", F.count(F.lit(1)).over(w)).where(F.col("_r") <= F.floor(F.col("_k") * 0.4) + 1)
-    anchors = runs.unionByName(rare.select("review_id", "n", "key"))
-    return index.join(anchors, keys).select("review_id", "n", "doc_id").distinct()
+    @F.pandas_udf("array<bigint>")
+    def holders(numbers: pd.Series, quotes: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([[int(n[i]) for i in fuzzy.possible_holders(list(q), t, least)] if t else []
+                          for n, q, t in zip(numbers, quotes, found)])
+
+    sizes = open_quotes.groupBy("review_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    asked = (open_quotes.join(sizes, "review_id").withColumn("block", F.pmod(F.xxhash64("n", "quote"), F.col("blocks")))
+             .groupBy("review_id", "block").agg(F.collect_list(F.struct(F.col("n").cast("bigint").alias("n"), "quote")).alias("q")))
+    met = studies.select("review_id", "doc_id").distinct().join(asked, "review_id").join(texts.select("doc_id", "text"), "doc_id")
+    return (spread(met, "review_id", "block", "doc_id")
+            .select("review_id", "doc_id", F.explode(holders("q.n", "q.quote", "text")).alias("n"))
+            .select("review_id", F.col("n").cast(open_quotes.schema["n"].dataType).alias("n"), "doc_id").distinct())
+
+
+def verbatim_sources(quotes: DataFrame, studies: DataFrame, texts: DataFrame) -> DataFrame:
+    """(review_id, n, study_index): studies of the review that hold a quotation but for case and white space."""
+    key = ["review_id", "n"]
+    asked = quotes.select(*key, "quote")
+    met = source_candidates(asked, studies, texts).join(asked, key).join(texts.select("doc_id", "text"), "doc_id")
+    held = met.where(F.contains(normalize_text("text"), normalize_text("quote")))
+    return held.select(*key, "doc_id").join(studies.select("review_id", "doc_id", "study_index"), ["review_id", "doc_id"]).select(
+        *key, "study_index").distinct()
 
 
 def quote_sources(quotes: DataFrame, studies: DataFrame, texts: DataFrame) -> DataFrame:
@@ -168,7 +173,7 @@ def quote_sources(quotes: DataFrame, studies: DataFrame, texts: DataFrame) -> Da
     # Quotations that no cited study holds are looked for in the others.
     flagged = cut_lineage(flagged, "held-quotes")
     open_quotes = flagged.where("_known and _held is null").select("review_id", "n", "quote")
-    others = cut_lineage(_source_candidates(open_quotes, studies, texts).join(
+    others = cut_lineage(source_candidates(open_quotes, studies, texts).join(
         matches.select("review_id", "n", "doc_id"), ["review_id", "n", "doc_id"], "left_anti"), "candidate-sources")
     found = _holds(others.join(open_quotes, ["review_id", "n"]), texts).join(
         studies.select("review_id", "doc_id", "study_index"), ["review_id", "doc_id"]).groupBy("review_id", "n").agg(
@@ -186,8 +191,8 @@ def cited_not_quoted(reviews: DataFrame, studies: DataFrame, lookup: DataFrame)
 
 
 def attribution_audit(reviews: DataFrame, registry: DataFrame, studies: DataFrame, texts: DataFrame,
-                      question: str = "") -> DataFrame:
-    """All deterministic issues of each review."""
+                      question: str = "", max_cited: int | None = MAX_CITED_ISSUES) -> DataFrame:
+    """All deterministic issues of each review; of studies that are cited but not quoted the first `max_cited` (None: all)."""
     lookup = cut_lineage(token_lookup(reviews, registry), "tokens")
     invalid = lookup.where("not valid").select("review_id", "token").distinct().select(
         "review_id", F.when(F.startswith("token", F.lit("Q")), F.lit("invalid_quote_placeholder"))
@@ -196,7 +201,8 @@ def attribution_audit(reviews: DataFrame, registry: DataFrame, studies: DataFram
                                            F.concat_ws("@", "label", "start").alias("detail"))
     study = F.concat(F.lit("study "), "study_index").alias("detail")
     intros = intro_order_guard(lookup).select("review_id", "type", study)
-    idle = cap_issue_type(cited_not_quoted(reviews, studies, lookup)).select("review_id", "type", study)
+    idle = cited_not_quoted(reviews, studies, lookup)
+    idle = (idle if max_cited is None else cap_issue_type(idle, max_cited)).select("review_id", "type", study)
     verdicts = quote_sources(quoted_spans(reviews, question), studies, texts).where("verdict <> 'attributed'").select(
         "review_id", F.col("verdict").alias("type"), F.col("quote").alias("detail"))
     every = invalid.unionByName(leaks).unionByName(intros).unionByName(idle).unionByName(verdicts)

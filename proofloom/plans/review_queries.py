@@ -360,6 +360,38 @@ def _(spark, sf):
     return v.select("review_id", "quote", "citation_text", "verdict", "true_study")
 
 
+@query("j11_verbatim_sources", oracle(SPANS + """
+select distinct s.review_id, s.quote, st.study_index from spans s join studies st using (review_id) join documents d on d.doc_id = st.doc_id
+where contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(s.quote, '\\s+', ' ', 'g'))))""", "reviews", "studies"))
+def _(spark, sf):
+    """Studies that hold each hand-typed quotation."""
+    spans = cut_lineage(U.quoted_spans(reviews_of(spark, sf)).where("kind = 'inline'"), "typed-quotes")
+    found = U.verbatim_sources(spans, studies_of(spark, sf), texts_of(spark, sf))
+    return found.join(spans, ["review_id", "n"]).select("review_id", "quote", "study_index").distinct()
+
+
+@query("c3_token_issues", oracle(GUARD + r"""
+select review_id, case when token like 'Q%' then 'invalid_quote_placeholder' else 'invalid_summary_placeholder' end as type, token as detail from (select distinct review_id, token from lookup where not valid) x
+union all select review_id, type, 'study ' || study_index as detail from guard where type is not null""", *IN_ALL))
+def _(spark, sf):
+    """The issues of the audit that placeholders show."""
+    found = audit_of(spark, sf).where(F.col("type").isin("invalid_quote_placeholder", "invalid_summary_placeholder",
+                                                         "missing_study_intro", "study_intro_after_quote"))
+    return found.select("review_id", "type", "detail")
+
+
+@query("c3_citation_issues", oracle(BODY + """
+select i.review_id, 'cited_but_not_quoted' as type, 'study ' || i.study_index as detail, 'moderate' as severity from incite i
+where not exists (select 1 from lookup l where l.valid and l.review_id = i.review_id and l.paper_id = i.paper_id)""", *IN_ALL))
+def _(spark, sf):
+    """All studies that are cited but not quoted, without a limit."""
+    return audit_of(spark, sf, max_cited=None).where("type = 'cited_but_not_quoted'").select("review_id", "type", "detail", "severity")
+
+
+def audit_of(spark, sf, **options):
+    return U.attribution_audit(reviews_of(spark, sf), registry_of(spark, sf), studies_of(spark, sf), texts_of(spark, sf), **options)
+
+
 @query("c3_attribution_audit")
 def _(spark, sf):
     return U.attribution_audit(reviews_of(spark, sf), registry_of(spark, sf), studies_of(spark, sf), texts_of(spark, sf))

@@ -1,5 +1,6 @@
 """Large keys, padded lines, short quotations, text keys, unordered rounds, long lists: nothing is cut or lost."""
 
+import random
 import time
 
 import pytest
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 
 from proofloom.functions import fuzzy
 from proofloom.functions import headings as H
+from proofloom.functions.headings import section_at, sections
 from proofloom.functions.spans import pattern_spans
 from proofloom.functions.text import running
 from proofloom.operators import answers as N
+from proofloom.operators import audit as U
 from proofloom.operators import passages as P
 from proofloom.operators import quotes as Q
 from proofloom.operators import references as X
@@ -138,3 +141,65 @@ def test_reading_chunks_refuse_sizes_that_never_end(spark):
         P.chunk_sequential(docs, size=1000, overlap=1000)
     assert [(r.start, r.end) for r in P.chunk_sequential(docs, size=2000, overlap=200).orderBy("start").collect()] == [
         (0, 2000), (1800, 3800), (3600, 5000)]
+
+
+def _changed(rng, quote: str, share: float) -> str:
+    return "".join(rng.choice("abcdefgh ") if rng.random() < share else c for c in quote)
+
+
+def test_no_holder_is_left_out():
+    """All quotations against all texts: what the strategies accept was never ruled out beforehand."""
+    rng = random.Random(7)
+    letters = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 11))) for _ in range(60)]
+    texts = [" ".join(rng.choice(letters) for _ in range(rng.randint(10, 120))) for _ in range(200)]
+    quotes = []
+    for i in range(200):
+        size, text = rng.randint(15, 160), texts[i]
+        at = rng.randint(0, max(0, len(text) - size))
+        quotes.append(_changed(rng, text[at:at + size], rng.choice([0, 0.03, 0.08, 0.12, 0.2])))
+    accepted = ruled_out = 0
+    for t in texts:
+        possible = set(fuzzy.possible_holders(quotes, t, 0.6))
+        ruled_out += len(quotes) - len(possible)
+        for i, q in enumerate(quotes):
+            if i in possible:
+                continue
+            found = fuzzy.approximate_match(q, t, expand=False)
+            accepted += bool(found and found[3] >= 0.6) + (fuzzy.normalize(q) in fuzzy.normalize(t))
+    assert accepted == 0 and ruled_out > 20_000
+
+
+def test_a_source_with_a_wrong_letter_in_each_word_is_found(spark):
+    words = "investigations demonstrated considerable improvements throughout participating institutions notwithstanding methodological limitations regarding measurements".split()
+    quote = " ".join(w[:4] + "#" + w[5:] for w in words)
+    studies = spark.createDataFrame([(1, 0, 10, "Own", ["Smith J"], 2001), (1, 1, 11, "Other", ["Jones K"], 2002), (1, 2, 12, "Third", ["Brown L"], 2003)],
+                                    "review_id long, study_index long, doc_id long, paper_title string, paper_authors array<string>, paper_year int")
+    texts = spark.createDataFrame([(10, "nothing of the kind stands here. " * 9), (11, "Here: " + " ".join(words) + ". And more."), (12, "unrelated words. " * 20)],
+                                  "doc_id long, text string")
+    asked = spark.createDataFrame([(1, 0, quote, "(Smith, 2001)", "inline"), (1, 1, "an invented sentence that nobody wrote", "(Smith, 2001)", "inline")],
+                                  "review_id long, n int, quote string, citation_text string, kind string")
+    got = {r.n: (r.verdict, r.true_study) for r in U.quote_sources(asked, studies, texts).collect()}
+    assert got == {0: ("misattributed_quote", 1), 1: ("fabricated_quote", None)}
+
+
+def test_sections_take_time_in_proportion(spark):
+    def took(headings):
+        text = "\n".join(f"{i}. Results of part {i}\nSome text that follows the heading of this part.\nMore of it." for i in range(headings))
+        df = spark.createDataFrame([(text,)] * 8, "t string").repartition(8).cache()
+        df.count()
+        start = time.time()
+        n = df.select(F.size(sections("t")).alias("n")).agg(F.sum("n")).first()[0]
+        assert n == 8 * headings
+        return time.time() - start
+
+    took(100)
+    assert took(1600) < 8 * took(400) + 2
+
+
+def test_section_at_any_place(spark):
+    text = "front\nIntroduction\nA text.\nMethods\nB text.\nResults\nC text.\n"
+    rows = spark.createDataFrame([(text, i) for i in range(len(text) + 3)], "t string, i int").withColumn("m", sections("t"))
+    for r in rows.select("i", "m", section_at("m", "i").alias("s")).collect():
+        want = [h for h in r.m if h.start <= r.i]
+        assert (r.s.start, r.s.category) == ((want[-1].start, want[-1].category) if want else (0, "UNKNOWN"))
+    assert spark.range(1).select(section_at(F.lit(None).cast(rows.schema["m"].dataType), F.lit(3)).alias("s")).first().s.category == "UNKNOWN"
