@@ -104,14 +104,21 @@ def citation_to_study(cited: DataFrame, studies: DataFrame) -> DataFrame:
 def _holds(pairs: DataFrame, texts: DataFrame, confidence: float = Q.AUDIT_CONFIDENCE) -> DataFrame:
     """(quotation, document) pairs whose text holds the quotation.
 
-    Whole texts are searched for verbatim matches first; only the other pairs
-    are cut into chunks and reach the approximate strategies.
+    Whole texts are searched for verbatim matches first. Of the other pairs,
+    those whose text satisfies what a match implies are cut into chunks and
+    reach the approximate strategies.
     """
     key = ["review_id", "n", "doc_id"]
+
+    @F.pandas_udf("boolean")
+    def possible(quotes: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([bool(q and t and fuzzy.possible_holders([q], t, confidence)) for q, t in zip(quotes, found)])
+
     pairs = cut_lineage(pairs.select(*key, "quote"), "quotation-pairs")
     whole = pairs.join(texts.select("doc_id", "text"), "doc_id")
     sure = cut_lineage(whole.where(Q.verbatim_match(F.col("quote"), F.col("text")).isNotNull()).select(*key).distinct(), "verbatim-holders")
-    rest = pairs.join(sure, key, "left_anti")
+    rest = pairs.join(sure, key, "left_anti").join(texts.select("doc_id", "text"), "doc_id")
+    rest = cut_lineage(spread(rest, *key).where(possible("quote", "text")).select(*key, "quote"), "possible-holders")
     chunks = P.chunk_offsets(texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"))
     tried = Q.match_cascade(rest.join(chunks.select("doc_id", "chunk"), "doc_id"))
     return sure.unionByName(tried.where(F.col("confidence") >= confidence).select(*key)).distinct()
@@ -190,23 +197,39 @@ def cited_not_quoted(reviews: DataFrame, studies: DataFrame, lookup: DataFrame)
     return cited_in_body(idle, reviews).select("review_id", "study_index").withColumn("type", F.lit("cited_but_not_quoted"))
 
 
-def attribution_audit(reviews: DataFrame, registry: DataFrame, studies: DataFrame, texts: DataFrame,
-                      question: str = "", max_cited: int | None = MAX_CITED_ISSUES) -> DataFrame:
-    """All deterministic issues of each review; of studies that are cited but not quoted the first `max_cited` (None: all)."""
-    lookup = cut_lineage(token_lookup(reviews, registry), "tokens")
+def token_issues(reviews: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Placeholders without an entry, display text in prose, introductions that are missing or late."""
     invalid = lookup.where("not valid").select("review_id", "token").distinct().select(
         "review_id", F.when(F.startswith("token", F.lit("Q")), F.lit("invalid_quote_placeholder"))
         .otherwise(F.lit("invalid_summary_placeholder")).alias("type"), F.col("token").alias("detail"))
     leaks = scaffold_leaks(reviews).select("review_id", F.lit("scaffolding_leak").alias("type"),
                                            F.concat_ws("@", "label", "start").alias("detail"))
-    study = F.concat(F.lit("study "), "study_index").alias("detail")
-    intros = intro_order_guard(lookup).select("review_id", "type", study)
+    intros = intro_order_guard(lookup).select("review_id", "type", _study())
+    return invalid.unionByName(leaks).unionByName(intros)
+
+
+def _study() -> Column:
+    return F.concat(F.lit("study "), "study_index").alias("detail")
+
+
+def citation_issues(reviews: DataFrame, studies: DataFrame, lookup: DataFrame, limit: int | None = None) -> DataFrame:
+    """Studies that are cited but not quoted; the first `limit` of a review (None: all)."""
     idle = cited_not_quoted(reviews, studies, lookup)
-    idle = (idle if max_cited is None else cap_issue_type(idle, max_cited)).select("review_id", "type", study)
+    return (idle if limit is None else cap_issue_type(idle, limit)).select("review_id", "type", _study())
+
+
+def attribution_audit(reviews: DataFrame, registry: DataFrame, studies: DataFrame, texts: DataFrame,
+                      question: str = "", max_cited: int | None = MAX_CITED_ISSUES) -> DataFrame:
+    """All deterministic issues of each review; of studies that are cited but not quoted the first `max_cited` (None: all)."""
+    lookup = cut_lineage(token_lookup(reviews, registry), "tokens")
     verdicts = quote_sources(quoted_spans(reviews, question), studies, texts).where("verdict <> 'attributed'").select(
         "review_id", F.col("verdict").alias("type"), F.col("quote").alias("detail"))
-    every = invalid.unionByName(leaks).unionByName(intros).unionByName(idle).unionByName(verdicts)
-    return every.withColumn("severity", F.when(F.col("type") == "cited_but_not_quoted", F.lit("moderate")).otherwise(F.lit("critical")))
+    every = token_issues(reviews, lookup).unionByName(citation_issues(reviews, studies, lookup, max_cited)).unionByName(verdicts)
+    return with_severity(every)
+
+
+def with_severity(issues: DataFrame) -> DataFrame:
+    return issues.withColumn("severity", F.when(F.col("type") == "cited_but_not_quoted", F.lit("moderate")).otherwise(F.lit("critical")))
 
 
 def issue_severity(issues: DataFrame, keys: list[str], require_no_moderate: bool = True) -> DataFrame:

@@ -356,7 +356,7 @@ def _(spark, sf):
 
 @query("j11_true_source")
 def _(spark, sf):
-    v = U.quote_sources(U.quoted_spans(reviews_of(spark, sf)), studies_of(spark, sf), texts_of(spark, sf))
+    v = U.quote_sources(U.quoted_spans(reviews_of(spark, sf)), cut_lineage(studies_of(spark, sf), "studies"), texts_of(spark, sf))
     return v.select("review_id", "quote", "citation_text", "verdict", "true_study")
 
 
@@ -375,8 +375,7 @@ select review_id, case when token like 'Q%' then 'invalid_quote_placeholder' els
 union all select review_id, type, 'study ' || study_index as detail from guard where type is not null""", *IN_ALL))
 def _(spark, sf):
     """The issues of the audit that placeholders show."""
-    found = audit_of(spark, sf).where(F.col("type").isin("invalid_quote_placeholder", "invalid_summary_placeholder",
-                                                         "missing_study_intro", "study_intro_after_quote"))
+    found = U.token_issues(reviews_of(spark, sf), lookup_of(spark, sf)).where("type <> 'scaffolding_leak'")
     return found.select("review_id", "type", "detail")
 
 
@@ -385,16 +384,15 @@ select i.review_id, 'cited_but_not_quoted' as type, 'study ' || i.study_index as
 where not exists (select 1 from lookup l where l.valid and l.review_id = i.review_id and l.paper_id = i.paper_id)""", *IN_ALL))
 def _(spark, sf):
     """All studies that are cited but not quoted, without a limit."""
-    return audit_of(spark, sf, max_cited=None).where("type = 'cited_but_not_quoted'").select("review_id", "type", "detail", "severity")
-
-
-def audit_of(spark, sf, **options):
-    return U.attribution_audit(reviews_of(spark, sf), registry_of(spark, sf), studies_of(spark, sf), texts_of(spark, sf), **options)
+    return U.with_severity(U.citation_issues(reviews_of(spark, sf), studies_of(spark, sf), lookup_of(spark, sf))).select(
+        "review_id", "type", "detail", "severity")
 
 
 @query("c3_attribution_audit")
 def _(spark, sf):
-    return U.attribution_audit(reviews_of(spark, sf), registry_of(spark, sf), studies_of(spark, sf), texts_of(spark, sf))
+    reviews, studies = cut_lineage(reviews_of(spark, sf), "reviews"), cut_lineage(studies_of(spark, sf), "studies")
+    registry = cut_lineage(R.assign_tokens(studies, quotes_of(spark, sf)), "registry")
+    return U.attribution_audit(reviews, registry, studies, texts_of(spark, sf))
 
 
 @query("a9_issue_severity", oracle("""
