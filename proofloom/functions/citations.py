@@ -12,7 +12,6 @@ from .text import col, strip
 DOI_PATTERN = r"""(?i)(10\.\d{4,9}/[^\s,;\]\)>"']+)"""
 ENTRY_MARKER = r"(?m)^\s*(?:\[\d+\]|\(\d+\)|\d+[\.\)])\s+"
 MIN_ENTRY_CHARS = 15
-MAX_ENTRIES = 80
 
 # Signs that a sentence reports the work of others.
 _NAME = r"[A-Z][A-Za-zÀ-ſ\-]+"
@@ -56,14 +55,16 @@ def extract_dois(text: Column | str) -> Column:
         F.transform(raw, lambda d: doi_key(d, "harvest")), lambda d: d != ""))
 
 
-def split_references(block: Column | str) -> Column:
-    """Entries of a reference list: by markers, else blank lines, else lines."""
+def split_references(block: Column | str, limit: int | None = None) -> Column:
+    """Entries of a reference list: by markers, else blank lines, else lines; the first `limit` (None: all)."""
     b = strip(F.coalesce(col(block), F.lit("")))
     parts = (F.when(b.rlike(ENTRY_MARKER), F.split(b, ENTRY_MARKER))
              .when(F.contains(b, F.lit("\n\n")), F.split(b, "\n\n"))
              .otherwise(F.split(b, "\n")))
     flat = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
-    kept = F.slice(F.filter(flat, lambda p: F.length(p) >= MIN_ENTRY_CHARS), 1, MAX_ENTRIES)
+    kept = F.filter(flat, lambda p: F.length(p) >= MIN_ENTRY_CHARS)
+    if limit is not None:
+        kept = F.slice(kept, 1, limit)
     return F.transform(kept, lambda p: F.struct(
         p.alias("raw"),
         F.coalesce(F.get(extract_dois(p), F.lit(0)), F.lit("")).alias("doi")))

@@ -88,16 +88,18 @@ def resolve_catalog(papers: DataFrame) -> DataFrame:
 
     Both groupings fold plain numbers (which record supplies which field), so
     they hash-aggregate before the shuffle, a work with very many copies costs
-    one row per task, and texts move only once, at the end.
+    one row per task, and texts move only once, at the end. If the records have
+    a map `external_ids`, a work gets the first value of each kind of identifier.
     """
     seq = F.col("seq")
     dkey = doi_key("doi")
+    k1 = F.when(dkey != "", F.concat(F.lit("d"), dkey)).otherwise(F.concat(F.lit("p"), paper_id("doi", "title")))
 
     def supplier(ok) -> Column:
         return F.when(ok, seq)
 
     slim = papers.select(
-        "seq", F.when(dkey != "", F.concat(F.lit("d"), dkey)).otherwise(F.concat(F.lit("p"), paper_id("doi", "title"))).alias("k1"),
+        "seq", k1.alias("k1"),
         # The title key as two hashes: grouping by them is grouping by the key.
         F.when(title_usable("title"), F.xxhash64(title_key("title"))).alias("t1"),
         F.when(title_usable("title"), F.xxhash64(F.lit("second"), title_key("title"))).alias("t2"),
@@ -130,11 +132,31 @@ def resolve_catalog(papers: DataFrame) -> DataFrame:
     roles = {"abstract": "abstract_seq", "open_access_pdf_url": "pdf", "pmcid": "pmc", "arxiv_id": "arx",
              "full_text_content": "full", "acquisition_method": "full"}
     out = _take_fields(chosen, ["survivor"], "survivor", roles, papers, "seq", rest)
+    ids = []
+    if "external_ids" in papers.columns:
+        records = papers.select("seq", k1.alias("k1"), "external_ids")
+        out = out.join(_merged_ids(records, member.select("k1", "rep", "survivor", alone.alias("alone"))), "survivor", "left")
+        ids = [F.coalesce("ids", F.create_map().cast("map<string,string>")).alias("external_ids")]
     return out.select(
         F.col("survivor").alias("seq"), paper_id("doi", "title").alias("paper_id"), "title", "authors", "year", "venue",
         "doi", "source_api", "abstract", F.coalesce("cites", "citation_count").alias("citation_count"),
         "open_access_pdf_url", "pmcid", "arxiv_id", F.col("full").isNotNull().alias("full_text_available"),
-        "full_text_content", "acquisition_method", "n_records")
+        "full_text_content", "acquisition_method", "n_records", *ids)
+
+
+def _merged_ids(records: DataFrame, member: DataFrame) -> DataFrame:
+    """(survivor, ids): the earliest value of each kind of identifier among the records of a work.
+
+    Which record supplies a kind is folded as numbers, first within a group and
+    then within a work; values are fetched at the end, one for each kind.
+    """
+    entries = records.select("seq", "k1", F.explode("external_ids").alias("kind", "value")).where(~missing("value"))
+    firsts = entries.groupBy("k1", "kind").agg(F.min("seq").alias("seq"))
+    # A group that adds nothing has its own earliest record only.
+    live = firsts.join(member, "k1").where(~F.col("alone") | (F.col("seq") == F.col("rep")))
+    chosen = live.groupBy("survivor", "kind").agg(F.min("seq").alias("seq"))
+    found = chosen.join(entries.select("seq", "kind", "value"), ["seq", "kind"])
+    return found.groupBy("survivor").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "value")))).alias("ids"))
 
 
 def external_ids(papers: DataFrame) -> DataFrame:

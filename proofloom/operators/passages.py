@@ -23,9 +23,7 @@ MIN_SCORE = 0.05
 K1, B, IDF_FLOOR_SHARE = 1.5, 0.75, 0.25
 # Text choice.
 MIN_FULL_TEXT = 5000
-MAX_STUDY_TEXT = 50000
 MIN_ABSTRACT = 150
-EXCERPT_CHARS = 2000
 
 CHUNK_TYPE = "array<struct<chunk_index:int,start:int,end:int,chunk:string>>"
 
@@ -113,8 +111,11 @@ def document_listing(docs: DataFrame, chunks: DataFrame) -> DataFrame:
         "chunk_count", F.coalesce("chunk_count", F.lit(0).cast("bigint")))
 
 
-def source_text_choice(papers: DataFrame, mode: str) -> DataFrame:
-    """Which text of a paper quotations are checked against, if any."""
+def source_text_choice(papers: DataFrame, mode: str, limit: int | None = None) -> DataFrame:
+    """Which text of a paper quotations are checked against, if any; its first `limit` characters (None: all).
+
+    `omitted_chars` tells how many were left out.
+    """
     full = F.col("full_text_available") & ~missing("full_text_content")
     size = F.length("full_text_content")
     indirect = F.lit(mode == "tangential")
@@ -125,14 +126,21 @@ def source_text_choice(papers: DataFrame, mode: str) -> DataFrame:
     action = F.when(F.col("text_type").isNotNull(), F.lit("extract")).otherwise(
         F.lit("drop" if mode == "main" else "keep_unquoted"))
     return papers.withColumn("text_type", kind).withColumn(
-        "text", F.when(F.col("text_type").endswith("FULL TEXT"), F.substring("full_text_content", 1, MAX_STUDY_TEXT))
-        .when(F.col("text_type").isNotNull(), F.col("abstract"))).withColumn("action", action)
+        "text", F.when(F.col("text_type").endswith("FULL TEXT"), _first("full_text_content", limit))
+        .when(F.col("text_type").isNotNull(), F.col("abstract"))).withColumn(
+        "omitted_chars", F.when(F.col("text_type").endswith("FULL TEXT"), size - F.length("text")).otherwise(F.lit(0))).withColumn(
+        "action", action)
+
+
+def _first(text: str, limit: int | None) -> Column:
+    return F.col(text) if limit is None else F.substring(text, 1, limit)
 
 
-def quick_read_text(papers: DataFrame) -> DataFrame:
+def quick_read_text(papers: DataFrame, limit: int | None = None) -> DataFrame:
+    """The abstract, else the first `limit` characters of the full text (None: all)."""
     full = F.col("full_text_available") & ~missing("full_text_content")
     return papers.withColumn("read_text", F.when(~missing("abstract"), F.col("abstract")).when(
-        full, F.substring("full_text_content", 1, EXCERPT_CHARS)))
+        full, _first("full_text_content", limit)))
 
 
 def with_sections(docs: DataFrame, text: str = "text") -> DataFrame:

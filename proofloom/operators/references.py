@@ -15,20 +15,21 @@ from .selection import best_title_match
 MAX_DEPTH, MAX_PER_STUDY, MAX_TOTAL, MIN_VERIFIED = 1, 5, 20, 1
 
 
-def map_reference_selection(selections: DataFrame, entries: DataFrame) -> DataFrame:
+def map_reference_selection(selections: DataFrame, entries: DataFrame, title_chars: int | None = None) -> DataFrame:
     """Put selected references back onto the entries they number.
 
     selections: doc_id, pos, index (text), title, doi. The entry fills an absent
     DOI or title; a number without an entry stands only with a DOI; each work is
-    kept once per paper.
+    kept once per paper. An entry stands for its title whole, or by its first
+    `title_chars`.
     """
     number = F.when(F.col("index").rlike(r"^\d+$"), F.expr("try_cast(index as int)"))
     e = entries.select("doc_id", F.col("entry_no").alias("_i"), F.col("raw").alias("_raw"), F.col("doi").alias("_doi"))
     joined = selections.withColumn("_i", number).join(e, ["doc_id", "_i"], "left")
-    own = doi_key("doi", "harvest")
+    own, raw = doi_key("doi", "harvest"), F.coalesce("_raw", F.lit(""))
     joined = joined.withColumn("doi", F.when(own != "", own).otherwise(F.coalesce("_doi", F.lit("")))).withColumn(
         "title", F.when(strip(F.coalesce("title", F.lit(""))) != "", strip("title")).otherwise(
-            F.substring(F.coalesce("_raw", F.lit("")), 1, 200)))
+            raw if title_chars is None else F.substring(raw, 1, title_chars)))
     kept = joined.where((F.col("_raw").isNotNull() | (F.col("doi") != "")) & ((F.col("doi") != "") | (F.col("title") != "")))
     keyed = kept.select("doc_id", "pos", "title", "doi", F.coalesce("_raw", F.lit("")).alias("raw"),
                         candidate_key("doi", "title").alias("work_key"))

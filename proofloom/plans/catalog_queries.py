@@ -115,6 +115,27 @@ def _(spark, sf):
         "text_md5", F.md5("full_text_content")).drop("full_text_content")
 
 
+@query("a1_external_ids", oracle(CATALOG + """
+, ids as (select survivor, seq, 'DOI' as kind, doi as value from live union all select survivor, seq, 'PubMedCentral', pmcid from live
+ union all select survivor, seq, 'ArXiv', arxiv_id from live
+ union all select survivor, seq, 'OpenAlex', 'W' || seq from live where source_api = 'openalex'
+ union all select survivor, seq, 'CORE', 'c' || seq from live where source_api = 'core'),
+firsts as (select survivor, kind, arg_min(value, seq) as value from ids where trim(coalesce(value, '')) <> '' group by survivor, kind),
+joined as (select survivor, string_agg(kind || '=' || value, ',' order by kind) as ids, count(*) as n from firsts group by survivor)
+select c.seq, c.paper_id, coalesce(j.ids, '') as ids, coalesce(j.n, 0) as n_ids from catalog c left join joined j on j.survivor = c.seq""", "keyed_papers"))
+def _(spark, sf):
+    """Five kinds of identifiers, merged over the records of a work."""
+    papers = derive(spark, sf, "papers")
+    of = lambda api, lead: F.when(F.col("source_api") == api, F.concat(F.lit(lead), F.col("seq").cast("string")))
+    kinds = {"DOI": F.col("doi"), "PubMedCentral": F.col("pmcid"), "ArXiv": F.col("arxiv_id"),
+             "OpenAlex": of("openalex", "W"), "CORE": of("core", "c")}
+    ids = F.map_filter(F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    found = C.resolve_catalog(papers.withColumn("external_ids", ids))
+    lines = F.transform(F.map_entries("external_ids"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.select("seq", "paper_id", F.array_join(F.array_sort(lines), ",").alias("ids"),
+                        F.size("external_ids").cast("long").alias("n_ids"))
+
+
 @query("a2_api_stats", oracle("""
 select api, count(*) as total_queries, cast(sum(case when error is null then n_results else 0 end) as bigint) as total_results,
  count(error) as total_errors, arg_max(error, call_id) filter (where error is not null) as last_error,

@@ -125,7 +125,7 @@ def _(spark, sf):
 c as (select seq, mode, case when full_text_available and length(full_text_content) >= 5000 then 'FULL TEXT'
   when full_text_available and length(full_text_content) > 0 and mode = 'tangential' then 'SHORT FULL TEXT'
   when mode = 'tangential' and length(abstract) >= 150 then 'ABSTRACT ONLY (tangential mode)' end as text_type, full_text_content, abstract from papers, modes)
-select seq, mode, text_type, md5(case when text_type like '%FULL TEXT' then substring(full_text_content, 1, 50000) when text_type is not null then abstract end) as text_md5,
+select seq, mode, text_type, md5(case when text_type like '%FULL TEXT' then full_text_content when text_type is not null then abstract end) as text_md5,
  case when text_type is not null then 'extract' when mode = 'main' then 'drop' else 'keep_unquoted' end as action from c""", "papers"))
 def _(spark, sf):
     p = derive(spark, sf, "papers")
@@ -134,7 +134,7 @@ def _(spark, sf):
 
 
 @query("p7_quick_read_text", oracle("""
-select seq, case when abstract <> '' then abstract when full_text_available and full_text_content <> '' then substring(full_text_content, 1, 2000) end as read_text from papers""", "papers"))
+select seq, case when abstract <> '' then abstract when full_text_available and full_text_content <> '' then full_text_content end as read_text from papers""", "papers"))
 def _(spark, sf):
     return P.quick_read_text(derive(spark, sf, "papers")).select("seq", "read_text")
 
@@ -285,7 +285,7 @@ def entries_of(spark, sf):
         "doc_id", (F.col("i") + 1).alias("entry_no"), "e.raw", "e.doi")
 
 
-@query("f13_split_references", oracle(ENTRIES + "select doc_id, entry_no, raw, doi from entries where entry_no <= 80", "articles"))
+@query("f13_split_references", oracle(ENTRIES + "select doc_id, entry_no, raw, doi from entries", "articles"))
 def _(spark, sf):
     return entries_of(spark, sf)
 

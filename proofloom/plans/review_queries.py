@@ -135,14 +135,16 @@ def _(spark, sf):
 
 @query("c6_assemble_review", """
 select doc_id as review_id, 'INTRODUCTION' || chr(10) || chr(10) || trim(split_part(text, chr(10), 1)) || chr(10) || chr(10) || 'METHOD' || chr(10) || chr(10) || trim(split_part(text, chr(10), 2)) || chr(10) || chr(10)
- || 'EVIDENCE' || chr(10) || chr(10) || trim(split_part(text, chr(10), 3)) || chr(10) || chr(10) || 'DISCUSSION' || chr(10) || chr(10) || trim(split_part(text, chr(10), 4)) || chr(10) || chr(10)
+ || 'EVIDENCE' || chr(10) || chr(10) || trim(split_part(text, chr(10), 3)) || chr(10) || chr(10) || 'DISCUSSION' || chr(10) || chr(10) || regexp_replace(array_to_string(string_split(text, chr(10))[4:], chr(10)), '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10)
  || 'LIMITATIONS' || chr(10) || chr(10) || '' || chr(10) || chr(10) || 'CONCLUSION' || chr(10) || chr(10) || 'End.' || chr(10) || chr(10) || 'REFERENCES' || chr(10) as text from documents""")
 def _(spark, sf):
     def line(n):
         return F.split_part("text", F.lit("\n"), F.lit(n))
+    lines = F.split("text", "\n")
+    rest = F.array_join(F.slice(lines, F.lit(4), F.size(lines)), "\n")
     s = texts_of(spark, sf).select(
         F.col("doc_id").alias("review_id"), line(1).alias("introduction"), line(2).alias("method"), line(3).alias("evidence"),
-        line(4).alias("discussion"), F.lit(None).cast("string").alias("limitations"), F.lit("End.").alias("conclusion"))
+        rest.alias("discussion"), F.lit(None).cast("string").alias("limitations"), F.lit("End.").alias("conclusion"))
     return R.assemble_review(s)
 
 

@@ -18,7 +18,7 @@ PICKS = """
   case pos when 2 then 'No such entry' else '' end as title, case pos when 1 then 'DOI: 10.5555/ABC.' when 3 then 'https://doi.org/10.5555/x' || cast(doc_id % 50 as string) else '' end as doi
  from (select doc_id, unnest([0, 1, 2, 3, 4]) as pos from articles) a)
 , m as (select p.doc_id, p.pos, case when p.doi <> '' then lower(regexp_replace(regexp_replace(regexp_replace(p.doi, '^https://doi.org/', ''), '(?i)^doi:\\s*', ''), '[ ).,;]+$', '')) else coalesce(e.doi, '') end as doi,
-  case when p.title <> '' then p.title else substring(coalesce(e.raw, ''), 1, 200) end as title, e.raw as raw
+  case when p.title <> '' then p.title else coalesce(e.raw, '') end as title, e.raw as raw
  from picks p left join entries e on e.doc_id = p.doc_id and cast(e.entry_no as string) = p.idx)
 , k as (select *, case when doi <> '' then 'doi:' || doi else 'title:' || substring(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), 1, 120) end as work_key from m where (raw is not null or doi <> '') and (doi <> '' or title <> ''))
 , r as (select *, row_number() over (partition by doc_id, work_key order by pos) as rn from k)
@@ -120,7 +120,7 @@ def parsed_edges(spark, sf):
 
 PARSED = ENTRIES + """
 , records as (select doc_id as paper, '10.5555/' || substring(md5(cast(doc_id as string)), 1, 10) as doi from documents),
-edges as (select e.doc_id as paper, r.paper as cited from entries e join records r on r.doi = e.doi where e.entry_no <= 80),
+edges as (select e.doc_id as paper, r.paper as cited from entries e join records r on r.doi = e.doi),
 """ + GRAPH[GRAPH.index("nodes as"):]
 
 

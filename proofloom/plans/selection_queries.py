@@ -158,7 +158,7 @@ def _(spark, sf):
 
 
 _AREAS = """
-, areas as (select cast(floor(doc_id / 6) as bigint) as plan_id, doc_id % 6 as pos, case when doc_id % 9 = 0 then '' else substring(split_part(text, chr(10), 1), 1, 40) end as area,
+, areas as (select cast(floor(doc_id / 6) as bigint) as plan_id, doc_id % 6 as pos, case when doc_id % 9 = 0 then '' else text end as area,
   case doc_id % 5 when 0 then '7' when 1 then 'x' when 2 then null when 3 then '-1' else ' 4 ' end as priority, 'q' || cast(doc_id as string) as q1, doc_id % 4 = 0 as no_query from documents)
 , valid as (select plan_id, pos, area, case when regexp_matches(coalesce(priority, ''), '^\\s*[+-]?\\d+\\s*$') then least(greatest(cast(trim(priority) as int), 1), 5) else 3 end as priority, case when no_query then '' else q1 end as search_query from areas where area <> '')"""
 
@@ -167,7 +167,7 @@ def areas_of(spark, sf):
     k = F.col("doc_id") % 5
     return read(spark, sf, "documents").select(
         F.floor(F.col("doc_id") / 6).alias("plan_id"), (F.col("doc_id") % 6).alias("pos"),
-        F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 40)).alias("area"),
+        F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.col("text")).alias("area"),
         F.when(k == 0, F.lit("7")).when(k == 1, F.lit("x")).when(k == 2, F.lit(None)).when(k == 3, F.lit("-1")).otherwise(F.lit(" 4 ")).alias("priority"),
         F.when(F.col("doc_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(
             F.concat(F.lit("q"), F.col("doc_id")), F.lit("second"))).alias("search_queries"))
@@ -251,11 +251,11 @@ def _(spark, sf):
 
 
 @query("w7_last_n_context", """
-select conv_id, turn, array_to_string([substring(t, 1, 20) for t in coalesce(list(role || ':' || text) over (partition by conv_id order by turn rows between 4 preceding and 1 preceding), [])], '|') as context from conversations""")
+select conv_id, turn, array_to_string(coalesce(list(role || ':' || text) over (partition by conv_id order by turn rows between 4 preceding and 1 preceding), []), '|') as context from conversations""")
 def _(spark, sf):
     c = S.trailing_rows(read(spark, sf, "conversations"), ["conv_id"], "turn", 4,
                         F.concat_ws(":", "role", "text"), "ctx")
-    return c.select("conv_id", "turn", F.array_join(F.transform("ctx", lambda t: F.substring(t, 1, 20)), "|").alias("context"))
+    return c.select("conv_id", "turn", F.array_join("ctx", "|").alias("context"))
 
 
 @query("j2_resolve_selections")
