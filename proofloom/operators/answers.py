@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import missing
 from ..session import cut_lineage
+from ..sources.sinks import write_once
 from .prefix import pack_batches
 
 # Window sizing.
@@ -255,7 +256,6 @@ def transcript_rows(turns: DataFrame) -> DataFrame:
         "conv_id", "turn", F.concat(F.lit("Q: "), "question", F.lit("\n\nA: "), "answer").alias("value"))
 
 
-def append_transcript(turns: DataFrame, path: str) -> None:
-    """Append new pairs to the transcript, one folder per conversation bucket."""
-    rows = transcript_rows(turns).withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(64)))
-    rows.write.mode("append").partitionBy("bucket").parquet(path)
+def append_transcript(rows: DataFrame, folder: str, batch: str | int) -> bool:
+    """Append a batch of pairs to the transcript, one folder for each bucket of conversations; a batch is appended once."""
+    return write_once(rows.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(64))), folder, batch, "bucket")

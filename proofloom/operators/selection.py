@@ -235,12 +235,16 @@ def budgeted_list(rows: DataFrame, key: str, order: str, size: Column, max_chars
     return _with_omitted(run.withColumn("kept", F.col("used") <= max_chars), key, ~F.col("kept"))
 
 
+def streaks(rounds: DataFrame) -> DataFrame:
+    """Add `hits`, the rounds so far that added something, and `stagnant`, the rounds since then that did not."""
+    hit = running_totals(rounds, ["run_id"], "round", {"hits": F.when(F.col("added") > 0, 1).otherwise(0).cast("bigint")})
+    return running_totals(hit, ["run_id", "hits"], "round",
+                          {"stagnant": F.when(F.col("added") > 0, 0).otherwise(1).cast("bigint")})
+
+
 def stagnation(rounds: DataFrame, limit: int = 3) -> DataFrame:
     """Consecutive rounds that added nothing, counted up to each round."""
-    hit = running_totals(rounds, ["run_id"], "round", {"_island": F.when(F.col("added") > 0, 1).otherwise(0).cast("bigint")})
-    idle = running_totals(hit, ["run_id", "_island"], "round",
-                          {"stagnant": F.when(F.col("added") > 0, 0).otherwise(1).cast("bigint")})
-    return idle.withColumn("stop", F.col("stagnant") >= limit).drop("_island")
+    return streaks(rounds).withColumn("stop", F.col("stagnant") >= limit).drop("hits")
 
 
 def round_stop_reason(rounds: DataFrame, round_cap: int = 8, max_engagements: int = 2, max_stagnant: int = 3,

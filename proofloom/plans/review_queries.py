@@ -9,6 +9,7 @@ from ..operators import registry as R
 from ..session import cut_lineage
 from .catalog_queries import SPLIT_SQL
 from .registry import query
+from .round_queries import written_twice
 from .selection_queries import studies_of
 from .tables import derive, oracle, read
 
@@ -421,10 +422,31 @@ select r.review_id, 'LITERATURE REVIEW' || chr(10) || repeat('=', 60) || chr(10)
  || 'Unresolved issues: ' || cast(coalesce(i.n, 0) as string) || chr(10) || repeat('=', 60) || chr(10) || chr(10) || r.text as value from reviews r join s on r.review_id = s.review_id left join i on i.review_id = r.review_id""", "studies", "reviews", "study_quotes", "issues"))
 def _(spark, sf):
     roll = R.run_rollup(studies_of(spark, sf), reviews_of(spark, sf), quotes_of(spark, sf), derive(spark, sf, "issues").where("pass = 3"))
-    return R.sink_review(reviews_of(spark, sf), roll, "What holds?")
+    return written_twice(spark, R.sink_review(reviews_of(spark, sf), roll, "What holds?"), "reviews")
+
+
+def run_data(spark, sf):
+    """All that a run leaves behind; the issues of the last pass are those of the final verification."""
+    issues, rounds = derive(spark, sf, "issues"), derive(spark, sf, "search_rounds")
+    totals = rounds.groupBy("run_id").agg(F.count("*").alias("rounds"), F.sum(F.col("added").cast("long")).alias("papers_added"))
+    return R.sink_run_data(
+        derive(spark, sf, "keyed_papers"), analyses=studies_of(spark, sf), self_review_issues=issues.where("pass < 3"),
+        final_verification_issues=issues.where("pass = 3"), search_history=rounds, curation_history=derive(spark, sf, "decisions"),
+        methodology_weaknesses=issues.where("severity = 'critical'").select("review_id", "description").distinct(), run_totals=totals)
 
 
 @query("s10_sink_run_data")
 def _(spark, sf):
-    return R.sink_run_data(studies_of(spark, sf), derive(spark, sf, "issues"), derive(spark, sf, "keyed_papers"))
+    return written_twice(spark, run_data(spark, sf), "run-data", "entity")
+
+
+@query("s10_written_entities", oracle("""
+select 'catalog' as entity, cast(1 as bigint) as n union all select 'analyses', count(*) from studies
+union all select 'self_review_issues', count(*) from issues where pass < 3 union all select 'final_verification_issues', count(*) from issues where pass = 3
+union all select 'search_history', count(*) from search_rounds union all select 'curation_history', count(*) from decisions
+union all select 'methodology_weaknesses', count(*) from (select distinct review_id, description from issues where severity = 'critical')
+union all select 'run_totals', count(distinct run_id) from search_rounds""", "studies", "issues", "search_rounds", "decisions"))
+def _(spark, sf):
+    """Rows of each entity in the written folder, after the write was repeated."""
+    return written_twice(spark, run_data(spark, sf), "run-data", "entity").groupBy("entity").agg(F.count("*").alias("n"))
 

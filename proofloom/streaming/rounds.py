@@ -7,15 +7,12 @@ new.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.keys import title_key
 from ..operators.catalog import derive_paper_id, resolve_catalog
+from ..operators.selection import streaks
 from ..session import work_dir
 
 
@@ -26,10 +23,11 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_bat
             .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all available data into files and read them back."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over all available data into files and read them back. With the folder of an earlier run it goes on from there."""
     spark = stream.sparkSession
-    out, state = work_dir(spark, name), work_dir(spark, f"{name}-state")
+    folder = folder or work_dir(spark, name)
+    out, state = f"{folder}/rows", f"{folder}/state"
     if mode == "append":
         q = (stream.writeStream.format("parquet").option("checkpointLocation", state)
              .trigger(availableNow=True).start(out))
@@ -45,14 +43,16 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.option("recursiveFileLookup", "true").parquet(out)
 
 
-def stream_catalog(papers: DataFrame) -> DataFrame:
+def stream_catalog(papers: DataFrame, folder: str | None = None) -> DataFrame:
     """Catalog over a stream of records.
 
     Each batch is logged under its id; the catalog is the batch resolution over
-    the log, so late copies merge exactly as in one run.
+    the log, so late copies merge exactly as in one run. With the folder of an
+    earlier run it goes on from there.
     """
     spark = papers.sparkSession
-    out, state = work_dir(spark, "catalog-log"), work_dir(spark, "catalog-state")
+    folder = folder or work_dir(spark, "catalog-stream")
+    out, state = f"{folder}/log", f"{folder}/state"
 
     def log(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -75,23 +75,39 @@ def query_dedupe(queries: DataFrame) -> DataFrame:
     return queries.withColumn("query_key", title_key("query")).where("query_key <> ''").dropDuplicates(["run_id", "query_key"])
 
 
-def stagnation_stream(rounds: DataFrame, limit: int = 3) -> DataFrame:
-    """Rounds in a row that added nothing, kept as state per run."""
-    def count(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        idle = state.get[0] if state.exists else 0
-        # The parts of a batch come in any order; the rounds of one run in one batch are few numbers.
-        ordered = pd.concat(list(parts)).sort_values("round")
-        streaks = []
-        for added in ordered["added"]:
-            idle = 0 if added > 0 else idle + 1
-            streaks.append(idle)
-        yield pd.DataFrame({"run_id": ordered["run_id"].values, "round": ordered["round"].values, "stagnant": streaks,
-                            "stop": [s >= limit for s in streaks]})
-        state.update((idle,))
-
-    return rounds.groupBy("run_id").applyInPandasWithState(
-        count, "run_id bigint, round bigint, stagnant bigint, stop boolean", "idle bigint", "append",
-        GroupStateTimeout.NoTimeout)
+def stagnation_table(rounds: DataFrame, limit: int = 3, folder: str | None = None) -> DataFrame:
+    """Rounds in a row that added nothing, over all batches of a stream, read back from files.
+
+    The rounds of a batch come in any order and are counted in order by bucketed
+    running totals, so one run may hold most of them. What a run's last streak
+    was is a table of one row for each run, written under the number of the batch;
+    the next batch adds it to the rounds before the first that added something.
+    A repeated batch starts from the table before it and replaces itself. Called
+    again with the same folder, it goes on from where it stopped.
+    """
+    spark = rounds.sparkSession
+    folder = folder or work_dir(spark, "stagnation")
+    kind = rounds.schema["run_id"].dataType.simpleString()
+    carried = f"run_id {kind}, carried bigint"
+
+    def place(table: str, batch: int) -> str:
+        return f"{folder}/{table}/batch={batch}"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        before = own.read.schema(carried).parquet(place("carried", batch_id - 1)) if batch_id else own.createDataFrame([], carried)
+        found = streaks(batch.select("run_id", "round", "added")).join(before, "run_id", "left")
+        first = F.when(F.col("hits") == 0, F.coalesce("carried", F.lit(0))).otherwise(F.lit(0))
+        told = found.select("run_id", "round", (F.col("stagnant") + first).alias("stagnant"))
+        told.withColumn("stop", F.col("stagnant") >= limit).write.mode("overwrite").parquet(place("rows", batch_id))
+        rows = own.read.schema("run_id " + kind + ", round bigint, stagnant bigint").parquet(place("rows", batch_id))
+        last = rows.groupBy("run_id").agg(F.max_by("stagnant", "round").alias("carried"))
+        last.unionByName(before.join(last.select("run_id"), "run_id", "left_anti")).write.mode("overwrite").parquet(place("carried", batch_id))
+
+    rounds.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.schema(f"run_id {kind}, round bigint, stagnant bigint, stop boolean").option(
+        "recursiveFileLookup", "true").parquet(f"{folder}/rows")
 
 
 def api_stats_stream(calls: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:

@@ -22,6 +22,7 @@ from proofloom.operators import selection as S
 from proofloom.operators.catalog import resolve_catalog
 from proofloom.operators.prefix import pack_batches
 from proofloom.plans.tables import derive
+from proofloom.sources import sinks
 from proofloom.streaming import rounds
 
 
@@ -70,8 +71,7 @@ def test_unordered_rounds_of_one_batch(spark, tmp_path):
     shuffled = [(1, (i * 1201) % 3000, int((i * 1201) % 3000 == 999)) for i in order]
     spark.createDataFrame(shuffled, "run_id long, round long, added long").repartition(8).write.parquet(str(tmp_path / "rounds.parquet"))
     stream = rounds.read_table_stream(spark, str(tmp_path / "rounds.parquet").rsplit("/", 1)[0], "rounds")
-    got = rounds.run_to_table(rounds.stagnation_stream(
-        spark.readStream.schema("run_id long, round long, added long").parquet(str(tmp_path / "rounds.parquet"))), "unordered")
+    got = rounds.stagnation_table(spark.readStream.schema("run_id long, round long, added long").parquet(str(tmp_path / "rounds.parquet")))
     assert stream.isStreaming and got.count() == 3000
     assert got.agg(F.max("stagnant")).first()[0] == 2000 and got.where("round = 999").first().stagnant == 0
 
@@ -82,7 +82,7 @@ def test_rounds_over_several_batches(spark, tmp_path):
                               "run_id long, round long, added long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(0.05)
     stream = spark.readStream.schema("run_id long, round long, added long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {r["round"]: r.stagnant for r in rounds.run_to_table(rounds.stagnation_stream(stream), "parts").collect()}
+    got = {r["round"]: r.stagnant for r in rounds.stagnation_table(stream).collect()}
     assert got == {**{i: i + 1 for i in range(15)}, **{i: i - 15 for i in range(15, 40)}}
 
 
@@ -203,3 +203,29 @@ def test_section_at_any_place(spark):
         want = [h for h in r.m if h.start <= r.i]
         assert (r.s.start, r.s.category) == ((want[-1].start, want[-1].category) if want else (0, "UNKNOWN"))
     assert spark.range(1).select(section_at(F.lit(None).cast(rows.schema["m"].dataType), F.lit(3)).alias("s")).first().s.category == "UNKNOWN"
+
+
+def test_a_repeated_write_changes_nothing(spark, tmp_path):
+    folder = str(tmp_path / "sink")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    assert sinks.read_batches(spark, folder, rows.schema).count() == 0
+    assert sinks.write_once(rows, folder, 0, "k") and not sinks.write_once(rows.limit(1), folder, 0, "k")
+    assert sinks.write_once(rows.where("k = 2"), folder, "next", "k")
+    got = sorted(tuple(r) for r in sinks.read_batches(spark, folder, rows.schema).collect())
+    assert got == [(1, "a"), (2, "b"), (2, "b")]
+
+
+def test_rounds_go_on_after_a_restart(spark, tmp_path):
+    """Most rows are of one run; each part is landed and counted by a stream of its own, which goes on from the last one's folder."""
+    rounds_in = [(1 if i % 3 else i, i, int(i in (500, 1301))) for i in range(2000)]
+    for part in range(4):
+        own = rounds_in[part * 500:part * 500 + 500]
+        random.Random(part).shuffle(own)
+        spark.createDataFrame(own, "run_id long, round long, added long").repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("run_id long, round long, added long").parquet(str(tmp_path / "in"))
+        got = rounds.stagnation_table(stream, folder=str(tmp_path / "out"))
+    want, idle = {}, {}
+    for run, n, added in rounds_in:
+        idle[run] = 0 if added else idle.get(run, 0) + 1
+        want[run, n] = (idle[run], idle[run] >= 3)
+    assert {(r.run_id, r["round"]): (r.stagnant, r.stop) for r in got.collect()} == want
