@@ -35,7 +35,7 @@ from .common import slices
 
 BLANK = "▁"
 #: Segments a task remembers, twice: when the memory is full it becomes the old one, and what is met again moves on.
-REMEMBERED = 350_000
+REMEMBERED = 150_000
 #: Segments of so many characters at most, short ones being the most frequent, stay in a worker between tasks, up to this number.
 LASTING, MOST_LASTING = 6, 50_000
 #: Score of a pair that is no piece.
@@ -220,7 +220,7 @@ def _vocabulary(model: bytes) -> Vocabulary:
 
 
 #: Characters of texts that are worked on together.
-TOGETHER = 1_000_000
+TOGETHER = 300_000
 
 
 def _slices(batch: pa.Array) -> Iterator[list[str | None]]:
