@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -256,6 +257,10 @@ def transcript_rows(turns: DataFrame) -> DataFrame:
         "conv_id", "turn", F.concat(F.lit("Q: "), "question", F.lit("\n\nA: "), "answer").alias("value"))
 
 
-def append_transcript(rows: DataFrame, folder: str, batch: str | int) -> bool:
-    """Append a batch of pairs to the transcript, one folder for each bucket of conversations; a batch is appended once."""
-    return write_once(rows.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(64))), folder, batch, "bucket")
+def append_transcript(turns: DataFrame, folder: str, batch: str | int | None = None) -> bool:
+    """Append the pairs of some turns to the transcript, one folder for each bucket of conversations.
+
+    A numbered batch is appended once; false if it was there. Without a number each call is a batch of its own.
+    """
+    rows = transcript_rows(turns).withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(64)))
+    return write_once(rows, folder, uuid.uuid4().hex if batch is None else batch, "bucket")

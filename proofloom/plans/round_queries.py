@@ -238,11 +238,10 @@ def _(spark, sf):
 @query("s13_sink_qa_transcript", """
 select u.conv_id, u.turn, 'Q: ' || u.text || chr(10) || chr(10) || 'A: ' || a.text as value from conversations u join conversations a on a.role = 'assistant' and a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and u.text <> ''""")
 def _(spark, sf):
-    rows = N.transcript_rows(turns_of(spark, sf))
-    folder = work_dir(spark, "transcript")
+    turns, folder = turns_of(spark, sf), work_dir(spark, "transcript")
     for _ in range(2):  # the second call finds the batch and changes nothing
-        N.append_transcript(rows, folder, 0)
-    return read_batches(spark, folder, rows.schema)
+        N.append_transcript(turns, folder, 0)
+    return read_batches(spark, folder, N.transcript_rows(turns).schema)
 
 
 @query("c11_map_reduce_text")
