@@ -1,7 +1,7 @@
 """Benchmark decontamination on template windows.
 
 Texts become tokens: words in lower case, and typed slots for numbers, units
-after numbers, and names (capitalised words inside a sentence). A window of
+after numbers, and names (capitalised words). A window of
 `WIDTH` tokens, its slots reduced to their types, is a template; windows of
 documents and benchmark items meet by a hash join on 64 bits, each once for a
 document and item. A re-parameterised question keeps its template but has other
@@ -11,8 +11,15 @@ must always stand for the same value of the document, else the windows with
 slots of that occurrence do not count. A document is contaminated by an item if
 the windows that count are `share` of the item's distinct windows.
 
+A capitalised word that starts a sentence may be a name or not. In an item it
+is none if some item has it in lower case; then its slot admits only the word
+itself, and it counts as a word outside slots.
+
 Windows with fewer than `LITERALS` words outside slots are no evidence. Items
-shorter than a window are one window.
+shorter than a window are one window. An item none of whose windows is evidence
+counts if a document holds its whole template in one occurrence, if it has at
+least `WHOLE` tokens and two words outside slots; words that start its sentences
+are no names then, and windows of slots alone need not be looked up.
 
 A document is also contaminated by an item of which it holds `RUN` words in a
 row (all words of a shorter item), slot values included and case folded,
@@ -38,26 +45,32 @@ from .common import small
 WIDTH, LITERALS = 8, 5
 #: Share of an item's windows that a document must hold.
 SHARE = 0.5
+#: Tokens that an item without telling windows must have.
+WHOLE = 6
 #: Words in a row that are a copy whatever the share, and words of the windows that find them.
 RUN, KEY = 13, 8
 
 #: Units that may follow a number.
 UNITS = ("percent|kilometers|kilometres|kilograms|meters|metres|grams|litres|liters|hours|hour|minutes|minute|seconds|days|day|"
          "weeks|years|miles|feet|inches|dollars|euros|cents|kg|km|cm|mm|mg|ml|lb|oz|ft|mph|kmh|kwh|m|g|l|s|h|%|€|°C|°F")
-#: First characters of slot tokens, for numbers, units and names.
-NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
+#: First characters of slot tokens, for numbers, units, names, capitalised words at sentence starts, and those of
+#: them that are no names. The last three are one type.
+NUMBER, UNIT, NAME, START, WORD = "\x01", "\x02", "\x03", "\x04", "\x05"
+#: Tokens from here on are no slots.
+LITERAL = "\x06"
 
 _NAME_AT = r"([\p{Ll}0-9,;] )(\p{Lu}\p{Ll}+)"
 #: (pattern, replacement) in turn; names twice, because a name may end the context of the next one.
 STEPS = [
-    ("[\x01-\x03]", " "),
+    ("[\x01-\x05]", " "),
     (r"([0-9])[.,]([0-9])", "$1$2"),
     (_NAME_AT, f"$1{NAME}$2"),
     (_NAME_AT, f"$1{NAME}$2"),
+    ("(?<![\\p{L}\\p{N}\x03])(\\p{Lu}\\p{Ll}+)", f"{START}$1"),
     (rf"([0-9]) ?({UNITS})([^\p{{L}}]|$)", f"$1 {UNIT}$2 $3"),
     ("([0-9]+)", f" {NUMBER}$1 "),
 ]
-SPLIT = "[^\\p{L}\\p{N}\x01-\x03]+"
+SPLIT = "[^\\p{L}\\p{N}\x01-\x04]+"
 
 
 def tokens(text: Column) -> Column:
@@ -70,7 +83,18 @@ def tokens(text: Column) -> Column:
 
 def template(tokens: Column) -> Column:
     """The tokens with slots reduced to their type."""
-    return F.transform(tokens, lambda t: F.when(t < "\x04", F.substring(t, 1, 1)).otherwise(t))
+    return F.transform(tokens, lambda t: F.when(
+        t < LITERAL, F.translate(F.substring(t, 1, 1), START + WORD, NAME + NAME)).otherwise(t))
+
+
+def _bare(token: Column) -> Column:
+    """A token without its type."""
+    return F.when(token < LITERAL, F.substr(token, F.lit(2))).otherwise(token)
+
+
+def _said(tokens: Column) -> Column:
+    """How many tokens are words outside slots."""
+    return F.size(F.filter(tokens, lambda t: t >= WORD))
 
 
 def _starts(template: Column, width) -> Column:
@@ -85,13 +109,12 @@ def _windows(width: int, made) -> Column:
 
 
 def _has_slot(window: Column) -> Column:
-    return F.exists(window, lambda t: t < "\x04")
+    return F.exists(window, lambda t: t < LITERAL)
 
 
 def plain(tokens: Column) -> Column:
     """array<struct<word, at>>: the tokens without slot types, and where they stand, from 1."""
-    bare = F.transform(tokens, lambda t, i: F.struct(
-        F.when(t < "\x04", F.substr(t, F.lit(2))).otherwise(t).alias("word"), (i + 1).alias("at")))
+    bare = F.transform(tokens, lambda t, i: F.struct(_bare(t).alias("word"), (i + 1).alias("at")))
     return F.filter(bare, lambda x: x["word"] != "")
 
 
@@ -102,19 +125,41 @@ def _items(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return cut.groupBy("template", "tokens").agg(F.min("item_id").alias("item_id"))
 
 
+def _starts_known(items: DataFrame) -> DataFrame:
+    """The items with the words marked that start a sentence and stand in lower case in some item."""
+    every = items.select("item_id", F.explode("tokens").alias("t"))
+    lower = every.where(F.col("t") >= LITERAL).select(F.col("t").alias("word")).distinct()
+    starts = every.where(F.col("t").startswith(START)).select("item_id", _bare(F.col("t")).alias("word")).distinct()
+    usual = starts.join(lower, "word", "left_semi").groupBy("item_id").agg(F.collect_list("word").alias("usual"))
+    marked = F.transform("tokens", lambda t: F.when(
+        t.startswith(START) & F.array_contains("usual", _bare(t)), F.concat(F.lit(WORD), _bare(t))).otherwise(t))
+    return items.join(usual, "item_id", "left").withColumn("tokens", F.when(F.col("usual").isNull(), F.col("tokens")).otherwise(
+        marked)).drop("usual")
+
+
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WIDTH,
                  literals: int = LITERALS) -> DataFrame:
-    """(item_id, at, width, n, hash, slots, own): the distinct telling windows of the items; n counts them per item."""
-    cut = _items(items, item_id, text).withColumn("width", F.least(F.size("template"), F.lit(width)))
+    """(item_id, at, width, n, hash, slots, whole, own): the distinct windows of the items that are looked up.
+
+    n counts them per item; whole: the item has no telling window, and all of
+    them are needed in one occurrence.
+    """
+    cut = _starts_known(_items(items, item_id, text)).withColumn("width", F.least(F.size("template"), F.lit(width)))
     # Only the windows are exploded: a row that carried the whole item would make long items quadratic.
     windows = F.transform(_starts(F.col("template"), F.col("width")), lambda i: F.struct(
         i.alias("at"), F.slice("template", i, F.col("width")).alias("window"), F.slice("tokens", i, F.col("width")).alias("own")))
-    rows = cut.select("item_id", "width", F.explode(windows).alias("x")).select("item_id", "width", "x.*")
-    told = rows.where(F.size(F.filter("window", lambda t: t >= "\x04")) >= F.least(F.lit(literals), F.col("width")))
-    told = told.groupBy("item_id", "width", "window").agg(F.min(F.struct("at", "own")).alias("f"))
+    least = F.least(F.lit(literals), F.col("width"))
+    cut = cut.withColumn("telling", F.filter(windows, lambda x: _said(x["own"]) >= least)).withColumn(
+        "whole", F.size("telling") == 0)
+    cut = cut.withColumn("tokens", F.when(F.col("whole"), F.transform("tokens", lambda t: F.when(
+        t.startswith(START), F.concat(F.lit(WORD), _bare(t))).otherwise(t))).otherwise(F.col("tokens")))
+    enough = (F.size("tokens") >= WHOLE) & (_said(F.col("tokens")) >= 2)
+    looked = F.when(~F.col("whole"), F.col("telling")).when(enough, F.filter(windows, lambda x: _said(x["own"]) > 0))
+    rows = cut.select("item_id", "width", "whole", F.explode(looked).alias("x")).select("item_id", "width", "whole", "x.*")
+    told = rows.groupBy("item_id", "width", "whole", "window").agg(F.min(F.struct("at", "own")).alias("f"))
     n = told.groupBy("item_id").agg(F.count("*").alias("n"))
     return told.join(n, "item_id").select("item_id", "f.at", "width", "n", F.xxhash64("window").alias("hash"),
-                                          _has_slot(F.col("window")).alias("slots"), "f.own")
+                                          _has_slot(F.col("window")).alias("slots"), "whole", "f.own")
 
 
 def _runs(words: Column, width, step: int = 1) -> Column:
@@ -145,8 +190,11 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     document holds; n_changed: slot values that differ.
     """
     own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    theirs = small(item_windows(items, item_id, item_text, width, literals))
-    runs, keys = (small(x) for x in item_runs(items, item_id, item_text))
+    # Only numbers are sent to all executors; the words of a window are fetched for the pairs that met.
+    windowed = cut_lineage(item_windows(items, item_id, item_text, width, literals), "items")
+    theirs = small(windowed.drop("own"))
+    runs, keys = item_runs(items, item_id, item_text)
+    runs, keys = cut_lineage(runs, "runs"), small(keys)
     widths = sorted(r["width"] for r in theirs.select("width").distinct().collect()) or [width]  # at most `width` numbers
     whole = own.select("doc_id", tokens(F.col("text")).alias("tokens"))
     # A window that a document repeats meets the items once.
@@ -160,7 +208,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     met = cut_lineage(met.distinct(), "windows")
     windows = met.join(theirs.select("item_id", "n", "hash", "slots"), "hash")
     words = windows.where("not slots").select("doc_id", "item_id", "n", "hash", F.lit(0).cast("long").alias("changed"))
-    slots, torn = _slot_windows(whole, windows.where("slots"), theirs.where("slots"), widths)
+    slots, torn = _slot_windows(whole, windows.where("slots"), theirs.where("slots"), windowed.select("item_id", "at", "own"), widths)
     covered = words.unionByName(slots).groupBy("doc_id", "item_id", "n", "hash").agg(F.min("changed").alias("changed"))
     counted = covered.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_covered"), F.max("changed").alias("n_changed"))
     held = _held_runs(whole, met.join(keys.select("hash"), "hash", "left_semi"), runs, torn)
@@ -180,14 +228,18 @@ def _held_runs(whole: DataFrame, met: DataFrame, runs: DataFrame, torn: DataFram
     every = [_runs(F.col("words"), w) for w in sizes] or [_runs(F.col("words"), RUN)]
     rows = again.select("doc_id", F.explode(F.concat(*every)).alias("x")).select(
         "doc_id", F.col("x.at").alias("pos"), F.col("x.run").alias("theirs"), F.xxhash64("x.run").alias("hash"))
-    both = rows.join(runs, "hash").where(F.col("run") == F.col("theirs"))
+    both = rows.join(small(runs.drop("run")), "hash").join(runs.select("item_id", "at", "run"), ["item_id", "at"])
+    both = both.where(F.col("run") == F.col("theirs"))
     places = both.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     return places.join(torn, ["doc_id", "item_id", "shift"], "left_anti").select("doc_id", "item_id").distinct()
 
 
-def _slot_windows(whole: DataFrame, met: DataFrame, theirs: DataFrame, widths: list[int]) -> tuple[DataFrame, DataFrame]:
+def _slot_windows(whole: DataFrame, met: DataFrame, theirs: DataFrame, owns: DataFrame,
+                  widths: list[int]) -> tuple[DataFrame, DataFrame]:
     """The met windows with slots that stand in an occurrence whose slot values agree, and how many values differ there.
 
+    Of an item without telling windows, those of an occurrence that has them all.
+
     Also (doc_id, item_id, shift): the occurrences whose slot values do not agree.
     """
     again = whole.join(small(met.select("doc_id").distinct()), "doc_id", "left_semi").withColumn("template", template(F.col("tokens")))
@@ -195,14 +247,22 @@ def _slot_windows(whole: DataFrame, met: DataFrame, theirs: DataFrame, widths: l
         i.alias("pos"), F.slice("template", i, w).alias("window"), F.slice("tokens", i, w).alias("theirs"))) for w in widths])
     rows = again.select("doc_id", F.explode(F.filter(windows, lambda x: _has_slot(x["window"]))).alias("x"))
     rows = rows.select("doc_id", F.xxhash64("x.window").alias("hash"), "x.window", "x.pos", "x.theirs")
-    both = rows.join(theirs, "hash").where(template(F.col("own")) == F.col("window"))
-    both = both.withColumn("shift", F.col("pos") - F.col("at"))
-    pairs = F.filter(F.arrays_zip(F.col("own").alias("a"), F.col("theirs").alias("b")), lambda p: p["a"] < "\x04")
+    both = rows.join(theirs, "hash").join(owns, ["item_id", "at"]).where(template(F.col("own")) == F.col("window"))
+    zipped = F.arrays_zip(F.col("own").alias("a"), F.col("theirs").alias("b"))
+    both = both.where(F.forall(zipped, lambda p: ~p["a"].startswith(WORD) | (_bare(p["a"]) == _bare(p["b"]))))
+    both = cut_lineage(both.withColumn("shift", F.col("pos") - F.col("at")).select(
+        "doc_id", "item_id", "shift", "hash", "n", "whole", "own", "theirs"), "slots")
+    pairs = F.transform(F.filter(zipped, lambda p: p["a"] < WORD), lambda p: F.struct(
+        _bare(p["a"]).alias("a"), _bare(p["b"]).alias("b")))
     key = ["doc_id", "item_id", "shift"]
     values = both.select(*key, F.explode(pairs).alias("p")).groupBy(*key, F.col("p.a").alias("a")).agg(
         F.min("p.b").alias("least"), F.max("p.b").alias("most"))
     agreed = cut_lineage(values.groupBy(*key).agg(
         F.sum((F.col("least") != F.col("most")).cast("long")).alias("torn"),
         F.sum((F.col("least") != F.col("a")).cast("long")).alias("changed")), "occurrences")
-    found = both.join(agreed.where("torn = 0").drop("torn"), key).select("doc_id", "item_id", "n", "hash", "changed")
-    return found, agreed.where("torn > 0").select(*key)
+    # An occurrence whose slots are all words has no values.
+    found = both.join(agreed, key, "left").where("coalesce(torn, 0) = 0").select(
+        *key, "n", "hash", "whole", F.coalesce("changed", F.lit(0)).cast("long").alias("changed"))
+    full = found.where("whole").groupBy(*key, "n").agg(F.countDistinct("hash").alias("k")).where("k = n").select(*key)
+    found = found.where("not whole").unionByName(found.where("whole").join(full, key, "left_semi"))
+    return found.select("doc_id", "item_id", "n", "hash", "changed"), agreed.where("torn > 0").select(*key)
