@@ -38,6 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import cut_lineage
 from .common import small
 
@@ -59,24 +60,23 @@ NUMBER, UNIT, NAME, START, WORD = "\x01", "\x02", "\x03", "\x04", "\x05"
 #: Tokens from here on are no slots.
 LITERAL = "\x06"
 
-_NAME_AT = r"([\p{Ll}0-9,;] )(\p{Lu}\p{Ll}+)"
-#: (pattern, replacement) in turn; names twice, because a name may end the context of the next one.
-STEPS = [
-    ("[\x01-\x05]", " "),
-    (r"([0-9])[.,]([0-9])", "$1$2"),
-    (_NAME_AT, f"$1{NAME}$2"),
-    (_NAME_AT, f"$1{NAME}$2"),
-    ("(?<![\\p{L}\\p{N}\x03])(\\p{Lu}\\p{Ll}+)", f"{START}$1"),
-    (rf"([0-9]) ?({UNITS})([^\p{{L}}]|$)", f"$1 {UNIT}$2 $3"),
-    ("([0-9]+)", f" {NUMBER}$1 "),
-]
+#: Capitalised words: all of them, those inside a sentence, and those that are left then. The capital is looked for first, which
+#: is quicker than a look back at every character.
+_CAPITAL = (r"(\p{Lu})(?<![\p{L}\p{N}]\p{Lu})(\p{Ll}+)", f"{NAME}$1$2")
+_INSIDE = (r"(\p{Lu})(?<=[\p{Ll}0-9,;] \p{Lu})(\p{Ll}+)", f"{NAME}$1$2")
+_STARTING = ("(\\p{Lu})(?<![\\p{L}\\p{N}\x03]\\p{Lu})(\\p{Ll}+)", f"{START}$1$2")
+_CLEAR = [("[\x01-\x05]", " "), (r"([0-9])[.,]([0-9])", "$1$2")]
+_NUMBERS = [(rf"([0-9]) ?({UNITS})([^\p{{L}}]|$)", f"$1 {UNIT}$2 $3"), ("([0-9]+)", f" {NUMBER}$1 ")]
+#: (pattern, replacement) in turn, for documents and for items; only items tell where a capitalised word stands.
+STEPS = [*_CLEAR, _CAPITAL, *_NUMBERS]
+ITEM_STEPS = [*_CLEAR, _INSIDE, _STARTING, *_NUMBERS]
 SPLIT = "[^\\p{L}\\p{N}\x01-\x04]+"
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, steps: list[tuple[str, str]] = STEPS) -> Column:
     """array<string>: words, and slots as a type character and the value."""
     out = F.coalesce(text, F.lit(""))
-    for pattern, to in STEPS:
+    for pattern, to in steps:
         out = F.regexp_replace(out, pattern, to)
     return F.array_remove(F.split(F.lower(out), SPLIT), "")
 
@@ -120,7 +120,7 @@ def plain(tokens: Column) -> Column:
 
 def _items(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """(item_id, tokens, template) of the items that count as one, under the smallest id."""
-    cut = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("tokens"))
+    cut = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), tokens(F.col(text), ITEM_STEPS).alias("tokens"))
     cut = cut.withColumn("template", template(F.col("tokens"))).where(F.size("tokens") > 0)
     return cut.groupBy("template", "tokens").agg(F.min("item_id").alias("item_id"))
 
@@ -133,8 +133,8 @@ def _starts_known(items: DataFrame) -> DataFrame:
     usual = starts.join(lower, "word", "left_semi").groupBy("item_id").agg(F.collect_list("word").alias("usual"))
     marked = F.transform("tokens", lambda t: F.when(
         t.startswith(START) & F.array_contains("usual", _bare(t)), F.concat(F.lit(WORD), _bare(t))).otherwise(t))
-    return items.join(usual, "item_id", "left").withColumn("tokens", F.when(F.col("usual").isNull(), F.col("tokens")).otherwise(
-        marked)).drop("usual")
+    return items.join(usual, "item_id", "left").withColumn(
+        "tokens", F.when(F.col("usual").isNull(), F.col("tokens")).otherwise(marked)).drop("usual")
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WIDTH,
@@ -145,17 +145,24 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     them are needed in one occurrence.
     """
     cut = _starts_known(_items(items, item_id, text)).withColumn("width", F.least(F.size("template"), F.lit(width)))
+    size, least = F.col("width"), F.least(F.lit(literals), F.col("width"))
+
+    def windows(own: Column, whole: bool, words) -> Column:
+        """The windows that hold so many words outside slots."""
+        every = F.transform(_starts(own, size), lambda i: F.struct(
+            i.alias("at"), F.lit(whole).alias("whole"), F.slice(own, i, size).alias("own")))
+        return F.filter(every, lambda x: _said(x["own"]) >= words)
+
+    def looked(own: Column, telling: Column) -> Column:
+        words = F.transform(own, lambda t: F.when(t.startswith(START), F.concat(F.lit(WORD), _bare(t))).otherwise(t))
+        others = let(words, lambda w: F.when((F.size(w) >= WHOLE) & (_said(w) >= 2), windows(w, True, F.lit(1))))
+        return F.when(F.size(telling) > 0, telling).otherwise(others)
+
+    # The marked words are bound once; an expression inside the windows would be worked out for each of them.
     # Only the windows are exploded: a row that carried the whole item would make long items quadratic.
-    windows = F.transform(_starts(F.col("template"), F.col("width")), lambda i: F.struct(
-        i.alias("at"), F.slice("template", i, F.col("width")).alias("window"), F.slice("tokens", i, F.col("width")).alias("own")))
-    least = F.least(F.lit(literals), F.col("width"))
-    cut = cut.withColumn("telling", F.filter(windows, lambda x: _said(x["own"]) >= least)).withColumn(
-        "whole", F.size("telling") == 0)
-    cut = cut.withColumn("tokens", F.when(F.col("whole"), F.transform("tokens", lambda t: F.when(
-        t.startswith(START), F.concat(F.lit(WORD), _bare(t))).otherwise(t))).otherwise(F.col("tokens")))
-    enough = (F.size("tokens") >= WHOLE) & (_said(F.col("tokens")) >= 2)
-    looked = F.when(~F.col("whole"), F.col("telling")).when(enough, F.filter(windows, lambda x: _said(x["own"]) > 0))
-    rows = cut.select("item_id", "width", "whole", F.explode(looked).alias("x")).select("item_id", "width", "whole", "x.*")
+    chosen = let(F.col("tokens"), lambda own: let(windows(own, False, least), lambda telling: looked(own, telling)))
+    rows = cut.select("item_id", "width", F.explode(chosen).alias("x")).select("item_id", "width", "x.*")
+    rows = rows.withColumn("window", template(F.col("own")))
     told = rows.groupBy("item_id", "width", "whole", "window").agg(F.min(F.struct("at", "own")).alias("f"))
     n = told.groupBy("item_id").agg(F.count("*").alias("n"))
     return told.join(n, "item_id").select("item_id", "f.at", "width", "n", F.xxhash64("window").alias("hash"),
@@ -228,8 +235,9 @@ def _held_runs(whole: DataFrame, met: DataFrame, runs: DataFrame, torn: DataFram
     every = [_runs(F.col("words"), w) for w in sizes] or [_runs(F.col("words"), RUN)]
     rows = again.select("doc_id", F.explode(F.concat(*every)).alias("x")).select(
         "doc_id", F.col("x.at").alias("pos"), F.col("x.run").alias("theirs"), F.xxhash64("x.run").alias("hash"))
-    both = rows.join(small(runs.drop("run")), "hash").join(runs.select("item_id", "at", "run"), ["item_id", "at"])
-    both = both.where(F.col("run") == F.col("theirs"))
+    # The words are compared once for each place of the document, before the places of the items come in.
+    same = rows.join(runs.select("hash", "run").distinct(), "hash").where(F.col("run") == F.col("theirs"))
+    both = same.select("doc_id", "pos", "hash").join(small(runs.drop("run")), "hash")
     places = both.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     return places.join(torn, ["doc_id", "item_id", "shift"], "left_anti").select("doc_id", "item_id").distinct()
 

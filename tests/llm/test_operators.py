@@ -492,7 +492,7 @@ def test_templates_keep_items_that_differ_in_slot_values(spark):
 
 
 def _brute_tokens(text):
-    for pattern, to in templates.STEPS:
+    for pattern, to in templates.ITEM_STEPS:
         text = regex.sub(pattern, regex.sub(r"\$(\d)", r"\\g<\1>", to), text)
     return [t for t in regex.split(templates.SPLIT, text.lower()) if t]
 
