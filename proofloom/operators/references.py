@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import candidate_key, doi_key
 from ..functions.text import missing, strip
 from ..session import cut_lineage
-from .prefix import first_n_per_key, first_per_key
+from .prefix import first_per_key, first_rows
 from .selection import best_title_match
 
 # Bounds of the citation chase.
@@ -64,10 +67,11 @@ def citation_snowball(seeds: DataFrame, edges: DataFrame, papers: DataFrame, max
                       min_verified: int = MIN_VERIFIED) -> DataFrame:
     """Works reached over references, generation by generation.
 
-    seeds: paper, ord. edges: paper, entry_no, cited (key of the cited work).
-    papers: paper, n_verified, has_text. A work is tried once; one with enough
-    verified quotations is kept and expanded next. `budget` bounds the number of
-    tries over all generations in frontier order; None lifts the bound.
+    seeds: paper, ord (unique). edges: paper, entry_no, cited (key of the cited
+    work). papers: paper, n_verified, has_text. A work is tried once; one with
+    enough verified quotations is kept and expanded next. `budget` bounds the
+    number of tries over all generations in frontier order, and a paper reads no
+    more entries than tries are left when its turn comes; None lifts the bound.
     Each generation is one job whose result is written before the next.
     """
     # The place of a work is the path of entry numbers from its seed. Only works with a text have references to read.
@@ -78,11 +82,15 @@ def citation_snowball(seeds: DataFrame, edges: DataFrame, papers: DataFrame, max
     for depth in range(1, max_depth + 1):
         if left is not None and left <= 0:
             break
-        capped = first_n_per_key(edges, ["paper"], per_study, F.col("entry_no"))
-        out = frontier.join(capped, "paper").select(F.col("cited").alias("paper"), "ord", "entry_no")
-        fresh = first_per_key(out, ["paper"], "ord", "entry_no").join(seen, "paper", "left_anti")
+        place = F.row_number().over(Window.partitionBy("paper").orderBy("entry_no"))
+        capped = edges.withColumn("place", place).where(F.col("place") <= per_study)
+        out = frontier.join(capped, "paper").select(F.col("cited").alias("paper"), "ord", "entry_no", "place")
+        unseen = out.join(seen, "paper", "left_anti")
+        fresh = first_per_key(unseen, ["paper"], "ord", "entry_no")
         if left is not None:
-            fresh = fresh.orderBy("ord", "entry_no", "paper").limit(left)
+            unseen = cut_lineage(unseen, f"unseen-{depth}")
+            fresh = _within_budget(unseen, cut_lineage(first_per_key(unseen, ["paper"], "ord", "entry_no"), f"fresh-{depth}"),
+                                   per_study, left)
         tried = fresh.join(papers, "paper", "left").select(
             "paper", F.lit(depth).alias("depth"), "ord", "entry_no",
             F.coalesce("has_text", F.lit(False)).alias("acquired"),
@@ -103,6 +111,46 @@ def citation_snowball(seeds: DataFrame, edges: DataFrame, papers: DataFrame, max
     return every
 
 
+def _within_budget(unseen: DataFrame, fresh: DataFrame, per_study: int, left: int) -> DataFrame:
+    """The first `left` works of a generation in frontier order.
+
+    unseen: paper, ord, entry_no, place (the entry's number among those its paper
+    may read). fresh: the first row of each work. Papers read `per_study` entries
+    while as many tries are left, so their works are the first ones in order. The
+    papers after them read fewer: each step finds the next paper with a work to
+    try among its first entries. A step spends at least one try, and fewer than
+    `per_study` are left, so there are few steps, each an aggregate over all rows.
+    """
+    free = left - per_study + 1
+    last, head = None, fresh.limit(0)
+    if free > 0:
+        if fresh.count() < free:
+            return fresh
+        last = first_rows(fresh, free, "ord", "entry_no").agg(F.max("ord").alias("ord")).first()["ord"]
+        head = fresh.where(F.col("ord") <= _path(last))
+        left -= head.count()
+        unseen = cut_lineage(unseen.where(F.col("ord") > _path(last)).join(head, "paper", "left_anti"), "tail")
+    taken = []  # fewer than `per_study` rows, or than the budget if that is less
+    while left > 0:
+        rest = unseen.where((F.col("place") <= left) & ~F.col("paper").isin([r["paper"] for r in taken]))
+        if last is not None:
+            rest = rest.where(F.col("ord") > _path(last))
+        last = rest.agg(F.min("ord").alias("ord")).first()["ord"]
+        if last is None:
+            break
+        tried = first_per_key(rest.where(F.col("ord") == _path(last)), ["paper"], "entry_no").collect()
+        taken += tried
+        left -= len(tried)
+    if not taken:
+        return head
+    return head.unionByName(unseen.where(reduce(or_, [
+        (F.col("ord") == _path(r["ord"])) & (F.col("entry_no") == r["entry_no"]) for r in taken])))
+
+
+def _path(ord: list[int]) -> Column:
+    return F.array(*[F.lit(n).cast("bigint") for n in ord])
+
+
 def harvest_rollup(events: DataFrame, seeds: int | Column, budget: int) -> DataFrame:
     """Frontier, candidates, kept and budget left of each generation.
 

@@ -108,7 +108,23 @@ def _(spark, sf):
     return snowball_of(spark, sf).drop("ord", "entry_no")
 
 
-@query("c2_citation_snowball_budget")
+#: The chase paper by paper: a queue of papers, the works met, and the tries of 20 that are spent.
+BUDGETED = GRAPH.replace("with recursive", "") + """
+, lists as (select e.paper, list({'p': e.cited, 'k': o.has_text and o.n_verified >= 1} order by e.entry_no) as es from edges e join nodes o on o.paper = e.cited group by e.paper),
+turns as (select 1 as depth, list(s.paper order by s.paper) filter (where o.has_text) as queue, cast([] as bigint[]) as later, list(s.paper) as met, cast([] as struct(p bigint, d int)[]) as tried from seeds s join nodes o on o.paper = s.paper
+ union all
+ select case when len(queue) > 0 then depth else depth + 1 end, case when len(queue) > 0 then queue[2:] else later end,
+  case when len(queue) > 0 then list_concat(later, list_transform(list_filter(news, lambda x: x.k), lambda x: x.p)) else cast([] as bigint[]) end,
+  list_concat(met, list_transform(news, lambda x: x.p)), list_concat(tried, list_transform(news, lambda x: {'p': x.p, 'd': depth}))
+ from (select t.*, list_filter(cut, lambda x, i: not list_contains(met, x.p) and list_position(list_transform(cut, lambda y: y.p), x.p) = i) as news
+  from (select t.*, case when len(t.queue) > 0 then l.es[1:least(5, 20 - len(t.tried))] else l.es[1:0] end as cut from turns t left join lists l on l.paper = t.queue[1]
+   where len(t.tried) < 20 and t.depth <= 3 and (len(t.queue) > 0 or len(t.later) > 0)) t)),
+ended as (select tried from turns order by len(tried) desc limit 1),
+spent as (select unnest(tried, recursive := true) from ended)
+select s.p as paper, s.d as depth, o.has_text as acquired, o.n_verified, o.has_text and o.n_verified >= 1 as kept from spent s join nodes o on o.paper = s.p"""
+
+
+@query("c2_citation_snowball_budget", oracle(BUDGETED, "study_quotes"))
 def _(spark, sf):
     return snowball_of(spark, sf, 20).drop("ord", "entry_no")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from proofloom.operators import catalog as C
 from proofloom.operators import references as X
-from proofloom.operators.prefix import number_rows, pack_batches, running_totals, trailing_rows
+from proofloom.operators.prefix import first_rows, number_rows, pack_batches, running_totals, trailing_rows
 
 PAPER = ("seq bigint, title string, authors array<string>, year int, abstract string, doi string, venue string, "
          "citation_count int, open_access_pdf_url string, source_api string, pmcid string, arxiv_id string, "
@@ -124,6 +124,28 @@ def test_first_wins_linkage(spark):
     assert sorted(map(repr, got.values())) == sorted(repr(tuple(v)) for v in want.values())
 
 
+def chase(seeds, edges, papers, max_depth, per_study, budget):
+    """The chase paper by paper: a paper reads no more entries than tries are left."""
+    seen, left, want = set(seeds), budget, {}
+    # A seed without text has no references to follow.
+    frontier = [p for p in seeds if papers[p][2]]
+    for depth in range(1, max_depth + 1):
+        tried = []
+        for paper in frontier:
+            remaining = left - len(tried)
+            if remaining <= 0:
+                break
+            for _, _, cited in [x for x in edges if x[0] == paper][:min(per_study, remaining)]:
+                if cited not in seen:
+                    seen.add(cited)
+                    tried.append(cited)
+        left -= len(tried)
+        for cited in tried:
+            want[cited] = (depth, papers[cited][2] and papers[cited][1] >= 1)
+        frontier = [c for c in tried if want[c][1]]
+    return want
+
+
 def test_snowball_budget_counts_tries(spark):
     edges = [(p, e, (p * 5 + e * 3) % 40) for p in range(40) for e in (1, 2, 3)]
     papers = [(p, p % 3, p % 4 != 0) for p in range(40)]
@@ -132,20 +154,26 @@ def test_snowball_budget_counts_tries(spark):
     seeds = spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "paper bigint, ord bigint")
     got = X.citation_snowball(seeds, e, p, max_depth=4, per_study=2, budget=9).collect()
     assert len(got) == 9
-    # A seed without text has no references to follow.
-    seen, frontier, left, want = {0, 1, 2}, [(q, o) for q, o in [(0, 0), (1, 1), (2, 2)] if papers[q][2]], 9, {}
-    for depth in range(1, 5):
-        fresh, nxt = [], []
-        for ord_, paper in sorted((o, q) for q, o in frontier):
-            for _, no, cited in [x for x in edges if x[0] == paper][:2]:
-                if cited not in seen and len(fresh) < left:
-                    seen.add(cited)
-                    fresh.append((cited, ord_ * 100 + no))
-        left -= len(fresh)
-        for cited, o in fresh:
-            kept = papers[cited][2] and papers[cited][1] >= 1
-            want[cited] = (depth, kept)
-            if kept:
-                nxt.append((cited, o))
-        frontier = nxt
-    assert {r.paper: (r.depth, r.kept) for r in got} == want
+    assert {r.paper: (r.depth, r.kept) for r in got} == chase([0, 1, 2], edges, papers, 4, 2, 9)
+
+
+def test_snowball_share_narrows_at_the_end_of_the_budget(spark):
+    # Many seeds cite the same few works first, so late papers spend their narrowed share on works already tried.
+    rng = random.Random(3)
+    edges = [(p, e, rng.randrange(12) if e < 4 else rng.randrange(60)) for p in range(60) for e in range(1, 8)]
+    papers = [(p, p % 3, p % 4 != 0) for p in range(60)]
+    e = spark.createDataFrame(edges, "paper bigint, entry_no bigint, cited bigint")
+    p = spark.createDataFrame(papers, "paper bigint, n_verified bigint, has_text boolean")
+    first = [50, 51, 53, 54, 55, 57, 58, 59]
+    seeds = spark.createDataFrame(list(zip(first, range(8), strict=True)), "paper bigint, ord bigint")
+    for budget in (1, 5, 14, 23, 1000):
+        got = X.citation_snowball(seeds, e, p, max_depth=3, per_study=5, budget=budget).collect()
+        assert len(got) <= budget
+        assert {r.paper: (r.depth, r.kept) for r in got} == chase(first, edges, papers, 3, 5, budget)
+
+
+def test_first_rows(spark):
+    rows = [(i * 37 % 101, i % 2) for i in range(101)]
+    df = spark.createDataFrame(rows, "o bigint, v bigint").repartition(7)
+    for n in (0, 1, 50, 101, 500):
+        assert sorted(r.o for r in first_rows(df, n, "o").collect()) == list(range(min(n, 101)))
