@@ -174,7 +174,7 @@ def _valid(c: Column) -> Column:
 
 
 def dead_letter_json(answers: DataFrame) -> DataFrame:
-    """Answers beyond repair with the reason and the text around the break."""
+    """Answers beyond repair with the reason and the text around the break, or the whole text if it holds no object."""
     lost = repair_json(answers).where("value is null").withColumn("_t", _without_thoughts(F.col("raw")))
 
     @F.pandas_udf("struct<reason:string,position:int,window:string>")
@@ -184,7 +184,7 @@ def dead_letter_json(answers: DataFrame) -> DataFrame:
             part = _sliced(text or "")
             try:
                 json.loads(part) if part else None
-                rows.append(("no object in the answer", None, (text or "")[:2 * FAILURE_RADIUS]))
+                rows.append(("no object in the answer", None, text or ""))
             except json.JSONDecodeError as e:
                 rows.append((e.msg, e.pos, part[max(0, e.pos - FAILURE_RADIUS):e.pos + FAILURE_RADIUS]))
         out = pd.DataFrame(rows, columns=["reason", "position", "window"])

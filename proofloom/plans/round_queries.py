@@ -225,7 +225,7 @@ def _(spark, sf):
 a as (select answer_id, braced, case when braced then '{' || title || '}' else title end as raw from t where not braced or title <> '')
 select answer_id, raw, case when braced then 'Expecting property name enclosed in double quotes' else 'no object in the answer' end as reason,
  case when braced then 1 + len(raw[2:]) - len(ltrim(raw[2:])) end as position,
- case when braced then substring(raw, 1, 1 + len(raw[2:]) - len(ltrim(raw[2:])) + 400) else substring(trim(raw), 1, 800) end as "window" from a""".replace(", t as", "with t as", 1)))
+ case when braced then substring(raw, 1, 1 + len(raw[2:]) - len(ltrim(raw[2:])) + 400) else trim(raw) end as "window" from a""".replace(", t as", "with t as", 1)))
 def _(spark, sf):
     # Of the answers without an object, every other one has braces around its words.
     braced = (F.col("answer_id") % 18 == 17) & (F.col("raw") != "")
