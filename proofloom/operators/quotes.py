@@ -176,6 +176,8 @@ def approximate_matches(pairs: DataFrame, min_similarity: float = 0.0,
         out = pd.DataFrame(rows, columns=["method", "start", "end", "confidence", "similarity"])
         return out.astype({"start": "Int32", "end": "Int32", "confidence": "float64", "similarity": "float64"})
 
+    # Deterministic steps are run again below the shuffle for each filter on their outcome.
+    match = match.asNondeterministic()
     wanted = F.lit(True) if where is None else where
     return pairs.withColumn("a", match(F.when(wanted, F.col("quote")), F.when(wanted, F.col("chunk")))).withColumn(
         "a", F.when(F.col("a.method").isNotNull(), F.col("a")))
@@ -333,6 +335,8 @@ def fuzzy_topk(pairs: DataFrame, threshold: float = 0.9, top: int = 5) -> DataFr
         return pd.Series([[{"start": s, "end": e, "ratio": r} for s, e, r in fuzzy.best_windows(q, t, threshold, top)]
                           if q and t else [] for q, t in zip(quotes, texts)])
 
+    # As above: a filter on the size of the outcome would search once more before the shuffle.
+    search = search.asNondeterministic()
     return spread(pairs, "quote_id", "doc_id").withColumn("_w", search("quote", "text")).select(
         "quote_id", "doc_id", F.posexplode("_w").alias("rank", "w")).select(
             "quote_id", "doc_id", "rank", "w.start", "w.end", F.round("w.ratio", 6).alias("ratio"))
@@ -348,5 +352,5 @@ def similarity_of(pairs: DataFrame, left: str, right: str, name: str = "similari
     contained = F.contains(normalize_text(right), normalize_text(left)) & (normalize_text(left) != "")
     flagged = pairs.withColumn("_in", F.coalesce(contained, F.lit(False)))
     sure = flagged.where("_in").withColumn(name, F.lit(1.0))
-    rest = flagged.where("not _in").withColumn(name, ratio(left, right))
+    rest = spread(flagged.where("not _in"), F.xxhash64(left, right)).withColumn(name, ratio(left, right))
     return sure.unionByName(rest).drop("_in")
