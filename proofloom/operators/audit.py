@@ -10,7 +10,7 @@ from ..functions import fuzzy
 from ..functions.authors import parse_citation, surname
 from ..functions.spans import pattern_spans
 from ..functions.text import let, normalize_text, strip, unify_quotes, words
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 from . import passages as P
 from . import quotes as Q
 from .prefix import first_n_per_key
@@ -36,7 +36,8 @@ def scaffold_leaks(reviews: DataFrame) -> DataFrame:
             F.lit(label).alias("label"), s["start"].alias("start"), s["end"].alias("end")))
 
     parts = [labelled(*scaffold) for scaffold in SCAFFOLDS]
-    return reviews.select("review_id", F.explode(F.concat(*parts)).alias("s")).select("review_id", "s.*")
+    # The outer form keeps the optimizer from testing for matches first, which would search twice.
+    return reviews.select("review_id", F.explode_outer(F.concat(*parts)).alias("s")).where("s is not null").select("review_id", "s.*")
 
 
 def intro_order_guard(lookup: DataFrame) -> DataFrame:
@@ -114,11 +115,13 @@ def _holds(pairs: DataFrame, texts: DataFrame, confidence: float = Q.AUDIT_CONFI
     def possible(quotes: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([bool(q and t and fuzzy.possible_holders([q], t, confidence)) for q, t in zip(quotes, found)])
 
-    pairs = cut_lineage(pairs.select(*key, "quote"), "quotation-pairs")
-    whole = pairs.join(texts.select("doc_id", "text"), "doc_id")
-    sure = cut_lineage(whole.where(Q.verbatim_match(F.col("quote"), F.col("text")).isNotNull()).select(*key).distinct(), "verbatim-holders")
-    rest = pairs.join(sure, key, "left_anti").join(texts.select("doc_id", "text"), "doc_id")
-    rest = cut_lineage(spread(rest, *key).where(possible("quote", "text")).select(*key, "quote"), "possible-holders")
+    # A text moves to its quotations once, for both tests.
+    whole = pairs.select(*key, "quote").join(texts.select("doc_id", "text"), "doc_id").withColumn(
+        "sure", Q.verbatim_match(F.col("quote"), F.col("text")).isNotNull())
+    tested = whole.withColumn("maybe", possible.asNondeterministic()(F.when(~F.col("sure"), F.col("quote")), "text"))
+    tested = cut_lineage(tested.where("sure or maybe").select(*key, "quote", "sure"), "possible-holders")
+    sure = tested.where("sure").select(*key).distinct()
+    rest = tested.where("not sure").select(*key, "quote").join(sure, key, "left_anti")
     chunks = P.chunk_offsets(texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"))
     tried = Q.match_cascade(rest.join(chunks.select("doc_id", "chunk"), "doc_id"))
     return sure.unionByName(tried.where(F.col("confidence") >= confidence).select(*key)).distinct()
@@ -128,37 +131,43 @@ def _holds(pairs: DataFrame, texts: DataFrame, confidence: float = Q.AUDIT_CONFI
 BLOCK = 64
 
 
+def _met(open_quotes: DataFrame, studies: DataFrame, texts: DataFrame) -> DataFrame:
+    """(review_id, doc_id, q, text): the texts of a review beside each block of its quotations.
+
+    The open quotations of a review are dealt into blocks, and a text meets each
+    block of its review once. A review of very many studies or quotations is
+    many rows, which a skewed join spreads.
+    """
+    sizes = open_quotes.groupBy("review_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    asked = (open_quotes.join(sizes, "review_id").withColumn("block", F.pmod(F.xxhash64("n", "quote"), F.col("blocks")))
+             .groupBy("review_id", "block").agg(F.collect_list(F.struct(F.col("n").cast("bigint").alias("n"), "quote")).alias("q")))
+    return studies.select("review_id", "doc_id").distinct().join(asked, "review_id").join(texts.select("doc_id", "text"), "doc_id")
+
+
 def source_candidates(open_quotes: DataFrame, studies: DataFrame, texts: DataFrame, least: float = Q.AUDIT_CONFIDENCE) -> DataFrame:
     """(review_id, n, doc_id): studies of the same review whose text may hold a quotation with a confidence of `least`.
 
-    The open quotations of a review are dealt into blocks, and a text meets each
-    block of its review once. There a quotation stays if the whole text
-    satisfies what a match of some strategy implies, so no holder is left out. A
-    review of very many studies or quotations is many rows, which a skewed join
-    spreads.
+    A quotation stays beside a text if the whole text satisfies what a match of
+    some strategy implies, so no holder is left out.
     """
     @F.pandas_udf("array<bigint>")
     def holders(numbers: pd.Series, quotes: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([[int(n[i]) for i in fuzzy.possible_holders(list(q), t, least)] if t else []
                           for n, q, t in zip(numbers, quotes, found)])
 
-    sizes = open_quotes.groupBy("review_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    asked = (open_quotes.join(sizes, "review_id").withColumn("block", F.pmod(F.xxhash64("n", "quote"), F.col("blocks")))
-             .groupBy("review_id", "block").agg(F.collect_list(F.struct(F.col("n").cast("bigint").alias("n"), "quote")).alias("q")))
-    met = studies.select("review_id", "doc_id").distinct().join(asked, "review_id").join(texts.select("doc_id", "text"), "doc_id")
-    return (spread(met, "review_id", "block", "doc_id")
+    return (_met(open_quotes, studies, texts)
             .select("review_id", "doc_id", F.explode(holders("q.n", "q.quote", "text")).alias("n"))
             .select("review_id", F.col("n").cast(open_quotes.schema["n"].dataType).alias("n"), "doc_id").distinct())
 
 
 def verbatim_sources(quotes: DataFrame, studies: DataFrame, texts: DataFrame) -> DataFrame:
     """(review_id, n, study_index): studies of the review that hold a quotation but for case and white space."""
-    key = ["review_id", "n"]
-    asked = quotes.select(*key, "quote")
-    met = source_candidates(asked, studies, texts).join(asked, key).join(texts.select("doc_id", "text"), "doc_id")
-    held = met.where(F.contains(normalize_text("text"), normalize_text("quote")))
-    return held.select(*key, "doc_id").join(studies.select("review_id", "doc_id", "study_index"), ["review_id", "doc_id"]).select(
-        *key, "study_index").distinct()
+    held = F.filter("q", lambda x: F.contains(F.col("flat"), normalize_text(x["quote"])) & (normalize_text(x["quote"]) != ""))
+    met = _met(quotes.select("review_id", "n", "quote"), studies, texts).withColumn("flat", normalize_text("text"))
+    found = met.select("review_id", "doc_id", F.explode_outer(F.transform(held, lambda x: x["n"])).alias("n")).where("n is not null")
+    return found.withColumn("n", F.col("n").cast(quotes.schema["n"].dataType)).join(
+        studies.select("review_id", "doc_id", "study_index"), ["review_id", "doc_id"]).select(
+            "review_id", "n", "study_index").distinct()
 
 
 def quote_sources(quotes: DataFrame, studies: DataFrame, texts: DataFrame) -> DataFrame:
