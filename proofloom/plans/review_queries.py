@@ -6,7 +6,7 @@ from ..functions import authors as A
 from ..functions.text import strip
 from ..operators import audit as U
 from ..operators import registry as R
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .catalog_queries import SPLIT_SQL
 from .registry import query
 from .round_queries import written_twice
@@ -277,7 +277,8 @@ def _(spark, sf):
 
 @query("f24_context_window")
 def _(spark, sf):
-    leaks = U.scaffold_leaks(reviews_of(spark, sf)).join(reviews_of(spark, sf), "review_id")
+    reviews = spread(reviews_of(spark, sf), "review_id")
+    leaks = U.scaffold_leaks(reviews).join(reviews, "review_id")
     return leaks.withColumn("w", R.context_window("text", F.col("start"), F.col("end"), 12)).select(
         "review_id", "label", "start", "end", F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"),
         F.substring("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("context"))
