@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import missing
 from ..session import cut_lineage
 from ..sources.sinks import write_once
-from .prefix import pack_batches
+from .prefix import batch_labels
 
 # Window sizing.
 CHARS_PER_TOKEN, INPUT_SAFETY, HEADROOM, FLOOR = 3.0, 1.25, 2048, 1024
@@ -227,26 +227,41 @@ def map_reduce_text(rows: DataFrame, key: str, order: str, text: str, map_chars:
     do not fit, a few rounds at most. A fragment holds what fits the budget (or
     one larger text), so no step gathers a whole group. Result: ordered
     fragments per key.
-    """
-    current = rows.select(key, F.col(order).cast("bigint").alias("_o"), F.col(text).alias("_x"))
-
-    def merge(parts: DataFrame, budget: int) -> DataFrame:
-        packed = pack_batches(parts.withColumn("_n", F.length("_x")), key, "_o", "_n", budget)
-        return packed.groupBy(key, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-            F.struct("_o", "_x"))), lambda p: p["_x"]), "\n").alias("_x")).withColumnRenamed("batch", "_o")
 
-    current = cut_lineage(merge(current, map_chars), "fragments")
+    All rounds work on lengths; texts are joined to their fragments once, at the end.
+    """
+    keyed = rows.select(key, F.col(order).cast("bigint").alias("_o"), F.col(text).alias("_x"))
+    sizes = cut_lineage(keyed.select(key, "_o", F.length("_x").alias("_n")), "sizes")
+    # The first pieces of a text's fragment are its `_piece`s; `_f` is the fragment a piece is in by now.
+    packed = cut_lineage(batch_labels(sizes, key, "_o", "_n", map_chars).withColumnRenamed("batch", "_piece"), "batches")
+    # Null texts leave no line end behind.
+    current = cut_lineage(sizes.join(packed, [key, "_o"]).groupBy(key, "_piece").agg(
+        _joined_length().alias("_n")).withColumn("_f", F.col("_piece")), "pieces")
     for _ in range(rounds):
+        fragments = current.groupBy(key, F.col("_f").alias("_o")).agg(_joined_length().alias("_n"))
         # Only keys whose fragments do not fit go another round.
-        big = current.groupBy(key).agg((F.sum(F.length("_x")) + 2 * F.count(F.lit(1))).alias("_total"),
-                                       F.count(F.lit(1)).alias("_parts")).where(
+        big = fragments.groupBy(key).agg((F.sum("_n") + 2 * F.count(F.lit(1))).alias("_total"),
+                                         F.count(F.lit(1)).alias("_parts")).where(
             (F.col("_total") > reduce_chars) & (F.col("_parts") > 1)).select(key)
         if big.isEmpty():
             break
-        done = current.join(big, key, "left_anti")
-        again = merge(current.join(big, key, "left_semi"), reduce_chars)
-        current = cut_lineage(done.unionByName(again.select(*done.columns)), "fragments")
-    return current.select(key, F.col("_o").alias("fragment"), F.col("_x").alias("text"))
+        again = batch_labels(fragments.join(big, key, "left_semi"), key, "_o", "_n", reduce_chars)
+        current = cut_lineage(current.join(again.withColumnRenamed("_o", "_f"), [key, "_f"], "left").select(
+            key, "_piece", "_n", F.coalesce("batch", "_f").alias("_f")), "pieces")
+
+    def lines(of: str, *by: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, of))), lambda p: p[of]), "\n")
+
+    places = packed.join(current.select(key, "_piece", "_f"), [key, "_piece"])
+    # One exchange serves both groupings.
+    spread = keyed.join(places, [key, "_o"]).repartition(key, "_f")
+    return spread.groupBy(key, "_f", "_piece").agg(lines("_x", "_o").alias("_x")).groupBy(key, "_f").agg(
+        lines("_x", "_piece").alias("text")).select(key, F.col("_f").alias("fragment"), "text")
+
+
+def _joined_length() -> Column:
+    """Characters of texts joined by line ends, from their lengths `_n`."""
+    return F.coalesce(F.sum("_n") + F.count("_n") - 1, F.lit(0).cast("bigint"))
 
 
 def transcript_rows(turns: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 BUCKET_ROWS = 1_000_000
 
@@ -108,6 +108,13 @@ def pack_batches(df: DataFrame, key: str, order: str, size: str, budget: int,
                  bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Greedy packing in order: a batch closes when the next row would exceed
     the budget. Adds `batch`, counted from 0.
+    """
+    return df.join(batch_labels(df, key, order, size, budget, bucket_rows), [key, order])
+
+
+def batch_labels(df: DataFrame, key: str, order: str, size: str, budget: int,
+                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The batch of each row, by key and order.
 
     What a bucket does depends only on the length carried into it, and only the
     place of its first closed batch matters. Each bucket reports that mapping
@@ -119,8 +126,9 @@ def pack_batches(df: DataFrame, key: str, order: str, size: str, budget: int,
 
     cut = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket_rows)))
     kind = df.schema[key].dataType.simpleString()
-    rows = cut.select(F.col(key).alias("k"), F.col("_bucket").alias("b"),
-                      F.col(order).alias("o"), F.col(size).cast("bigint").alias("n"))
+    # A group costs Python a fixed time, however few bytes it has.
+    rows = spread(cut.select(F.col(key).alias("k"), F.col("_bucket").alias("b"),
+                             F.col(order).alias("o"), F.col(size).cast("bigint").alias("n")), "k", "b")
 
     def next_starts(total):
         """Start of the batch after the one that starts at each row."""
@@ -157,7 +165,7 @@ def pack_batches(df: DataFrame, key: str, order: str, size: str, budget: int,
                 carry, batch = r.carry[at], batch + r.opened[at]
         return pd.DataFrame(out, columns=["k", "b", "carry", "batch"])
 
-    entry = maps.groupBy("k").applyInPandas(chain, f"k {kind}, b bigint, carry bigint, batch bigint")
+    entry = spread(maps, "k").groupBy("k").applyInPandas(chain, f"k {kind}, b bigint, carry bigint, batch bigint")
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("o")
@@ -174,4 +182,4 @@ def pack_batches(df: DataFrame, key: str, order: str, size: str, budget: int,
 
     labels = rows.join(entry, ["k", "b"]).groupBy("k", "b").applyInPandas(
         number, f"k {kind}, o bigint, batch bigint")
-    return df.join(labels.select(F.col("k").alias(key), F.col("o").alias(order), "batch"), [key, order])
+    return labels.select(F.col("k").alias(key), F.col("o").alias(order), "batch")

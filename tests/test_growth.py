@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofloom.functions import fuzzy
 from proofloom.functions import headings as H
 from proofloom.functions import text as X
+from proofloom.operators import answers as N
 from proofloom.operators import audit as U
 from proofloom.operators import passages as P
 from proofloom.operators import quotes as Q
@@ -100,3 +101,32 @@ def test_index_is_read_in_order(spark):
     built = df.select(X.abstract_from_index("index").alias("t"))
     assert built.first().t == "a b a b"
     assert "lambdafunction(CASE" not in plan(built) and "sort_array" in plan(built)
+
+
+def test_map_reduce_moves_texts_once(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = {(k, o): "w" * rng.choice([0, 3, 10, 25, 60]) + f" {o}" * rng.randint(0, 2) for k in range(4) for o in range(12 * k + 1)}
+
+    def merge(parts, budget):
+        out, size = [], None
+        for t in parts:
+            if size is None or size + len(t) > budget:
+                out, size = [*out, []], 0
+            out[-1].append(t)
+            size += len(t)
+        return ["\n".join(x) for x in out]
+
+    want = {}
+    for k in range(4):
+        parts = merge([texts[k, o] for o in range(12 * k + 1)], 40)
+        for _ in range(3):
+            if sum(map(len, parts)) + 2 * len(parts) > 90 and len(parts) > 1:
+                parts = merge(parts, 90)
+        want |= {(k, i): t for i, t in enumerate(parts)}
+    written = []
+    keep = N.cut_lineage
+    monkeypatch.setattr(N, "cut_lineage", lambda df, name: written.append(dict(df.dtypes)) or keep(df, name))
+    rows = spark.createDataFrame([(k, o, t) for (k, o), t in texts.items()], "k long, o long, t string")
+    got = {(r.k, r.fragment): r.text for r in N.map_reduce_text(rows, "k", "o", "t", 40, 90).collect()}
+    assert got == want
+    assert written and not any("string" in types.values() for types in written)
