@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,16 @@ def test_repeated_runs_are_no_rows(spark):
     got = R.strip_transcription(reviews, reg)
     assert "posexplode" not in plan(got) and "Window" not in plan(got)
     assert [tuple(r) for r in got.collect()] == [(1, "Intro [[S1]]. A connector stays.")]
+
+
+def test_texts_are_cut_in_slices_of_bytes(spark, monkeypatch):
+    """A task held all texts of an Arrow batch, and their chunks, as Python objects."""
+    monkeypatch.setattr(P, "CUT_BYTES", 10)
+    texts = ["abc", None, "éé", "", "x" * 25, "yy", "z" * 9, None]
+    cut = P._cutter(lambda b: ((s, s + 2, b[s:s + 2]) for s in range(0, len(b), 2))).func
+    got = list(cut(iter([pa.array(texts), pa.array([], pa.string()), pa.array(["end"])])))
+    assert [len(a) for a in got] == [4, 1, 1, 2, 1]
+    assert [[(c["chunk_index"], c["start"], c["end"], c["chunk"]) for c in row] for a in got for row in a.to_pylist()] == [
+        [(k, 2 * k, 2 * k + 2, t[2 * k:2 * k + 2]) for k in range((len(t) + 1) // 2)] for t in [t or "" for t in texts] + ["end"]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.chunk) for r in P.chunk_offsets(docs).collect()) == [(i, t) for i, t in enumerate(texts) if t]
