@@ -9,7 +9,7 @@ scans, mostly in fewer than one cycle for each length, and every count is that
 of the whole corpus.
 
 Texts are split once: blocks of some megabytes of a language and a shard are
-written as their distinct words and the numbers of all words. One scan is a
+written as their distinct words, the hashes of these and the numbers of all words. One scan is a
 Spark job. Tasks count phrases as numbers; Spark adds the counts up by language
 and phrase and merges them with those of earlier scans. What has reached the threshold comes to
 the tasks as an array of hash cells for each length, of a fixed size, which holds
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ def numbered(folded: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 
 
 def _blocks(shards: int, together: int):
-    """(lang, shard, words, ids) blocks: texts of a language and a shard as numbers."""
+    """(lang, shard, words, hashes, ids) blocks: texts of a language and a shard as numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[bytes]] = {}
         size = row = 0
@@ -96,8 +97,8 @@ def _blocks(shards: int, together: int):
             for (lang, shard), folded in held.items():
                 words, ids = numbered(folded)
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-                         for x, kind in ((words, pa.binary()), (ids, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([shard], pa.int32()), *lists], ["lang", "shard", "words", "ids"])
+                         for x, kind in ((words, pa.binary()), (word_hashes(lang, words).view(np.int64), pa.int64()), (ids, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([shard], pa.int32()), *lists], ["lang", "shard", "words", "hashes", "ids"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -113,30 +114,28 @@ def _blocks(shards: int, together: int):
     return run
 
 
-def count(lang: str, words: list[bytes], ids: np.ndarray, scan: int, reached: list[np.ndarray], shards: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+def count(lang: str, words: pa.Array, hashes: np.ndarray, ids: np.ndarray, scan: int, reached: list[np.ndarray], shards: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """(phrases, counts) of what is active in this scan; the language and a line end stand before a phrase.
 
     An empty phrase stands for the number of all words. `reached[n - 1][cell]`: 1 + the last scan after which a phrase of
     n words in that cell reached the threshold, else 0.
     """
     lead = lang.encode() + _LEAD
-    cut = words.index(_CUT) if _CUT in words else -1
+    cut = pc.index(words, _CUT).as_py()
+    opening = pc.binary_join_element_wise(pa.scalar(lead), words, pa.scalar(b""))
     if scan < shards:
         n = np.bincount(ids, minlength=len(words))
         if cut >= 0:
             n[cut] = 0
         met = np.flatnonzero(n)
-        yield [lead], np.array([n.sum()])
-        yield [lead + words[i] for i in met.tolist()], n[met]
+        yield pa.array([lead]), np.array([n.sum()])
+        yield opening.take(pa.array(met)), n[met]
     if not any(r.any() for r in reached):
         return
-    hashes = word_hashes(lang, words)
     last = reached[0][cell(hashes)]
     if cut >= 0:
         last[cut] = 0
-    own = hashes[ids]
-    opening = [lead + w for w in words]
-    grown, found = own, last[ids]  # of the phrase of n words that starts at each place
+    grown, found = None, last[ids]  # of the phrase of n words that starts at each place
     for n in range(2, len(reached) + 2):
         # Both subphrases of n - 1 words reached the threshold, the later one less than a cycle ago.
         both = (found[:-1] > 0) & (found[1:] > 0)
@@ -145,38 +144,34 @@ def count(lang: str, words: list[bytes], ids: np.ndarray, scan: int, reached: li
             yield _distinct(ids, active, n, words, opening)
         if n > len(reached) or not both.any():
             return
-        grown = grown[:-1]
         at = np.flatnonzero(both)
-        hashed = longer_hash(grown[at], own[at + n - 1])
+        hashed = longer_hash(hashes[ids[at]] if grown is None else grown[at], hashes[ids[at + n - 1]])
         grown = np.zeros(len(both), np.uint64)
         grown[at] = hashed
         found = np.zeros(len(both), np.uint8)
         found[at] = reached[n - 1][cell(hashed)]
 
 
-def _distinct(ids: np.ndarray, at: np.ndarray, n: int, words: list[bytes], opening: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+def _distinct(ids: np.ndarray, at: np.ndarray, n: int, words: pa.Array, opening: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The distinct phrases of n words at some places, and how often each stands there."""
-    size = len(words)
-    pair = lambda i: ids[at + i] * size + ids[at + i + 1]
-    key = pair(0)
-    for i in range(2, n, 2):
-        more = pair(i) if i + 1 < n else ids[at + i]
-        joined, number = np.unique(np.concatenate([key, more]), return_inverse=True)
-        key = number[:len(at)] * len(joined) + number[len(at):]
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    places = at[first]
-    columns = [map((words if i else opening).__getitem__, ids[places + i].tolist()) for i in range(n)]
-    return list(map(b" ".join, zip(*columns, strict=True))), counts
+    number = ids[at]
+    for i in range(1, n):
+        number = pa.array(number.astype(np.int64) * len(words) + ids[at + i]).dictionary_encode().indices.to_numpy()
+    counts = np.bincount(number)
+    places = np.empty(len(counts), np.int64)
+    places[number] = at
+    columns = [(words if i else opening).take(pa.array(ids[places + i])) for i in range(n)]
+    return pc.binary_join_element_wise(*columns, pa.scalar(b" ")), counts
 
 
 def _scanner(scan: int, sent, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = sent.value
         for batch in batches:
-            for lang, words, ids in zip(*batch.columns, strict=True):
-                own = ids.values.to_numpy().astype(np.int64)
-                for phrases, counts in count(lang.as_py(), words.as_py(), own, scan, reached, shards):
-                    yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["phrase", "fresh"])
+            for lang, words, hashes, ids in zip(*batch.columns, strict=True):
+                own = hashes.values.to_numpy().view(np.uint64), ids.values.to_numpy()
+                for phrases, counts in count(lang.as_py(), words.values, *own, scan, reached, shards):
+                    yield pa.RecordBatch.from_arrays([phrases.cast(pa.string()), pa.array(counts, pa.int64())], ["phrase", "fresh"])
 
     return run
 
@@ -196,6 +191,11 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int32()), pa.array(at, pa.int64())], ["words", "cell"])
 
 
+def _distinct_in(*columns: str) -> dict[str, str]:
+    """Options of a Parquet file whose columns have few equal values, so that no dictionary is tried."""
+    return {f"parquet.enable.dictionary#{c}": "false" for c in columns}
+
+
 _STATE = "phrase string, total long, first int, newly boolean"
 
 
@@ -204,9 +204,9 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards
     """(lang, words, phrase, total) of all phrases up to `longest` words that stand `least` times; words 0: all words of the language."""
     spark = docs.sparkSession
     dealt = work_dir(spark, "shards")
-    block = "lang string, shard int, words array<binary>, ids array<int>"
+    block = "lang string, shard int, words array<binary>, hashes array<bigint>, ids array<int>"
     (docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
-     .mapInArrow(_blocks(shards, together), block).write.partitionBy("shard").parquet(dealt))
+     .mapInArrow(_blocks(shards, together), block).write.partitionBy("shard").options(**_distinct_in("words.list.element", "hashes.list.element")).parquet(dealt))
     corpus = spark.read.schema(block).parquet(dealt)
     reached = [np.zeros(1 << BITS, np.uint8) for _ in range(longest - 1)]
     own = F.substring_index("phrase", _LEAD.decode(), -1)
@@ -214,7 +214,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards
     state, held, scan, latest = spark.createDataFrame([], _STATE), None, 0, -1
     while scan < shards or scan <= latest + shards:
         sent = spark.sparkContext.broadcast(reached)
-        fresh = corpus.where(F.col("shard") == scan % shards).select("lang", "words", "ids").mapInArrow(
+        fresh = corpus.where(F.col("shard") == scan % shards).select("lang", "words", "hashes", "ids").mapInArrow(
             _scanner(scan, sent, shards), "phrase string, fresh long")
         none = F.lit(None)
         union = state.select("phrase", "total", "first", F.lit(0).cast("long").alias("fresh")).unionByName(
@@ -224,9 +224,9 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards
         first = F.coalesce("since", F.lit(scan))
         total = F.col("old") + F.when(first + shards > scan, F.col("fresh")).otherwise(0)
         merged = (met.select("phrase", total.alias("total"), first.alias("first"), ((F.col("old") < least) & (total >= least)).alias("newly"))
-                  .where((F.col("first") + shards - 1 > scan) | (F.col("total") >= least) | (own == "")))
+                  .where((F.col("first") + shards - 1 > scan) | (F.col("total") >= least) | F.endswith("phrase", F.lit(_LEAD.decode()))))
         path = work_dir(spark, "counts")
-        merged.write.parquet(path)
+        merged.write.options(**_distinct_in("phrase")).parquet(path)
         state = spark.read.schema(_STATE).parquet(path)
         if held:
             remove(spark, held)

@@ -9,6 +9,8 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -299,6 +301,19 @@ def test_phrases_equal_brute_force(spark, monkeypatch, bits, shards, together, l
     assert got == phrases_by_hand(rows, least, 40)
 
 
+def test_a_scan_hashes_no_words(monkeypatch):
+    """Words were hashed again in every scan of their block; their hashes are written with them."""
+    words, ids = collocations.numbered([b"a b a b\xffa b c"])
+    hashes = collocations.word_hashes("en", words)
+    monkeypatch.setattr(collocations, "word_hashes", None)
+    reached = [np.zeros(1 << collocations.BITS, np.uint8) for _ in range(3)]
+    reached[0][collocations.cell(hashes)] = 1
+    got = {}
+    for phrases, counts in collocations.count("en", pa.array(words, pa.binary()), hashes, ids, 1, reached, 4):
+        got |= dict(zip(phrases.to_pylist(), counts.tolist(), strict=True))
+    assert got == {b"en\n": 7, b"en\na": 3, b"en\nb": 3, b"en\nc": 1, b"en\na b": 3, b"en\nb a": 1, b"en\nb c": 1}
+
+
 def test_a_phrase_that_becomes_frequent_in_the_last_scan_is_counted_whole(spark):
     """Shards are dealt by row: each holds a few of the occurrences, so the threshold is reached late."""
     rows = [("alpha beta gamma delta", "en")] * 30 + [("alpha beta", "en"), ("gamma", "en")]
