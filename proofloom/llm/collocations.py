@@ -10,8 +10,9 @@ of the whole corpus.
 
 Texts are split once: blocks of some megabytes of a language and a shard are
 written as their distinct words, the hashes of these and the numbers of all words. One scan is a
-Spark job. Tasks count phrases as numbers; Spark adds the counts up by language
-and phrase and merges them with those of earlier scans. What has reached the threshold comes to
+Spark job. Tasks count phrases as numbers and deal them into buckets by hash; Spark brings the
+packed counts of a bucket together, where a task adds them up and merges them with those of earlier
+scans. The number of buckets grows with the corpus, so a bucket stays small. What has reached the threshold comes to
 the tasks as an array of hash cells for each length, of a fixed size, which holds
 the last scan after which a phrase of the cell reached it. Phrases that share a
 cell can only lengthen the time of counting: anything counted at all is counted
@@ -25,6 +26,7 @@ extra columns are not read. An empty table has no phrases.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import work_dir
+from ..session import cut_lineage, work_dir
 from .common import remove
 from .shingles import mix
 
@@ -45,6 +47,8 @@ COVERED = 80
 BITS = 22
 #: Bytes of text that a task counts together.
 TOGETHER = 8_000_000
+#: Bytes of text for each bucket of phrases; phrases that a task deals out together, or packs into a row.
+BUCKET, PACKED = 16_000_000, 400_000
 
 _CUT = b"\xff"  # no byte of UTF-8
 _FOLD = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", _CUT * 10 + b" ")
@@ -88,7 +92,7 @@ def numbered(folded: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 
 
 def _blocks(shards: int, together: int):
-    """(lang, shard, words, hashes, ids) blocks: texts of a language and a shard as numbers."""
+    """(lang, shard, bytes, words, hashes, ids) blocks: texts of a language and a shard as numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[bytes]] = {}
         size = row = 0
@@ -98,7 +102,9 @@ def _blocks(shards: int, together: int):
                 words, ids = numbered(folded)
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
                          for x, kind in ((words, pa.binary()), (word_hashes(lang, words).view(np.int64), pa.int64()), (ids, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([shard], pa.int32()), *lists], ["lang", "shard", "words", "hashes", "ids"])
+                sizes = pa.array([sum(map(len, folded))], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([shard], pa.int32()), sizes, *lists],
+                                                 ["lang", "shard", "bytes", "words", "hashes", "ids"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -120,6 +126,11 @@ def count(lang: str, words: pa.Array, hashes: np.ndarray, ids: np.ndarray, scan:
     An empty phrase stands for the number of all words. `reached[n - 1][cell]`: 1 + the last scan after which a phrase of
     n words in that cell reached the threshold, else 0.
     """
+    return ((phrases, counts) for phrases, counts, _ in _counted(lang, words, hashes, ids, scan, reached, shards))
+
+
+def _counted(lang: str, words: pa.Array, hashes: np.ndarray, ids: np.ndarray, scan: int, reached: list[np.ndarray], shards: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(phrases, counts, hashes) as in `count`."""
     lead = lang.encode() + _LEAD
     cut = pc.index(words, _CUT).as_py()
     opening = pc.binary_join_element_wise(pa.scalar(lead), words, pa.scalar(b""))
@@ -128,8 +139,8 @@ def count(lang: str, words: pa.Array, hashes: np.ndarray, ids: np.ndarray, scan:
         if cut >= 0:
             n[cut] = 0
         met = np.flatnonzero(n)
-        yield pa.array([lead]), np.array([n.sum()])
-        yield opening.take(pa.array(met)), n[met]
+        yield pa.array([lead], pa.binary()), np.array([n.sum()]), np.zeros(1, np.uint64)
+        yield opening.take(pa.array(met)), n[met], hashes[met]
     if not any(r.any() for r in reached):
         return
     last = reached[0][cell(hashes)]
@@ -141,7 +152,7 @@ def count(lang: str, words: pa.Array, hashes: np.ndarray, ids: np.ndarray, scan:
         both = (found[:-1] > 0) & (found[1:] > 0)
         active = np.flatnonzero(both & (np.maximum(found[:-1], found[1:]) >= scan - shards + 1))
         if len(active):
-            yield _distinct(ids, active, n, words, opening)
+            yield _distinct(ids, active, n, words, opening, hashes)
         if n > len(reached) or not both.any():
             return
         at = np.flatnonzero(both)
@@ -152,8 +163,9 @@ def count(lang: str, words: pa.Array, hashes: np.ndarray, ids: np.ndarray, scan:
         found[at] = reached[n - 1][cell(hashed)]
 
 
-def _distinct(ids: np.ndarray, at: np.ndarray, n: int, words: pa.Array, opening: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The distinct phrases of n words at some places, and how often each stands there."""
+def _distinct(ids: np.ndarray, at: np.ndarray, n: int, words: pa.Array, opening: pa.Array,
+              hashes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct phrases of n words at some places, how often each stands there, and their hashes."""
     number = ids[at]
     for i in range(1, n):
         number = pa.array(number.astype(np.int64) * len(words) + ids[at + i]).dictionary_encode().indices.to_numpy()
@@ -161,34 +173,124 @@ def _distinct(ids: np.ndarray, at: np.ndarray, n: int, words: pa.Array, opening:
     places = np.empty(len(counts), np.int64)
     places[number] = at
     columns = [(words if i else opening).take(pa.array(ids[places + i])) for i in range(n)]
-    return pc.binary_join_element_wise(*columns, pa.scalar(b" ")), counts
+    hashed = hashes[ids[places]]
+    for i in range(1, n):
+        hashed = longer_hash(hashed, hashes[ids[places + i]])
+    return pc.binary_join_element_wise(*columns, pa.scalar(b" ")), counts, hashed
+
+
+#: Phrases with their counts in one scan; with their counts so far and the scan that met them first.
+_FRESH = pa.schema([("phrase", pa.binary()), ("fresh", pa.int64())])
+_TOTALS = pa.schema([("phrase", pa.binary()), ("total", pa.int64()), ("first", pa.int32())])
+
+
+def pack(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
 
+def unpack(packed: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+
+
+def _packed_rows(bucket, old: bool, packed: list[bytes], cells: list[list[int]] | None = None) -> pa.RecordBatch:
+    columns = [pa.array(bucket).cast(pa.int32()), pa.array([old] * len(packed)), pa.array(packed, pa.binary())]
+    more = [] if cells is None else [pa.array(cells, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns + more, ["bucket", "old", "packed", "cells"][:3 + len(more)])
+
+
+def _scanner(scan: int, sent, shards: int, buckets: int):
+    """(bucket, old, packed): the counts of a scan, dealt into buckets by hash."""
+    def dealt(held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        bucket = np.concatenate([h for _, _, h in held]) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows = pa.RecordBatch.from_arrays([pa.concat_arrays([p for p, _, _ in held]), pa.array(np.concatenate([c for _, c, _ in held]))],
+                                          schema=_FRESH).take(pa.array(order))
+        own, starts = np.unique(bucket[order], return_index=True)
+        packed = [pack(rows.slice(a, b - a)) for a, b in pairwise([*starts.tolist(), len(order)])]
+        return _packed_rows(own, False, packed)
 
-def _scanner(scan: int, sent, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached = sent.value
+        reached, held, size = sent.value, [], 0
         for batch in batches:
             for lang, words, hashes, ids in zip(*batch.columns, strict=True):
                 own = hashes.values.to_numpy().view(np.uint64), ids.values.to_numpy()
-                for phrases, counts in count(lang.as_py(), words.values, *own, scan, reached, shards):
-                    yield pa.RecordBatch.from_arrays([phrases.cast(pa.string()), pa.array(counts, pa.int64())], ["phrase", "fresh"])
+                for found in _counted(lang.as_py(), words.values, *own, scan, reached, shards):
+                    held.append(found)
+                    size += len(found[1])
+                    if size >= PACKED:
+                        yield dealt(held)
+                        held, size = [], 0
+        if size:
+            yield dealt(held)
+
+    return run
+
+
+def merged(old: pa.Table, fresh: pa.Table, scan: int, shards: int, least: int) -> tuple[pa.RecordBatch, pa.Array]:
+    """The counts so far after a scan, without complete phrases below the threshold; the phrases that reached it in this scan.
+
+    A phrase stands once in `old`, any number of times in `fresh`.
+    """
+    every = pa.chunked_array([*old.column(0).chunks, *fresh.column(0).chunks], pa.binary()).combine_chunks().dictionary_encode()
+    phrases, number = every.dictionary, every.indices.to_numpy()
+    # Numbers are given in order, so those of `old` come first.
+    before, first = np.zeros(len(phrases), np.int64), np.full(len(phrases), scan, np.int32)
+    before[:len(old)], first[:len(old)] = old.column(1).to_numpy(), old.column(2).to_numpy()
+    total = before.copy()
+    np.add.at(total, number[len(old):], fresh.column(1).to_numpy())
+    total = np.where(first + shards > scan, total, before)
+    ends = pc.ends_with(phrases, _LEAD).to_numpy(zero_copy_only=False)
+    kept = (first + shards - 1 > scan) | (total >= least) | ends
+    newly = (before < least) & (total >= least) & ~ends
+    rows = pa.RecordBatch.from_arrays([phrases, pa.array(total), pa.array(first)], schema=_TOTALS)
+    return rows.filter(pa.array(kept)), phrases.filter(pa.array(newly))
+
+
+def _merger(scan: int, shards: int, least: int, longest: int):
+    """(bucket, old, packed, cells): the counts so far, and the cells of the phrases that reached the threshold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[pa.RecordBatch], list[pa.RecordBatch]]] = {}
+        for batch in batches:
+            for bucket, old, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held.setdefault(bucket, ([], []))[not old].append(unpack(packed))
+        for bucket in list(held):
+            old, fresh = held.pop(bucket)
+            rows, newly = merged(pa.Table.from_batches(old, _TOTALS), pa.Table.from_batches(fresh, _FRESH), scan, shards, least)
+            found = cells(newly, longest)
+            for start in range(0, len(rows), PACKED):
+                yield _packed_rows([bucket], True, [pack(rows.slice(start, PACKED))], [[] if start else found])
 
     return run
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lengths and cells of phrases that reached the threshold."""
-    for batch in batches:
-        lengths, at = [], []
-        for own in batch.column(0).to_pylist():
-            lang, _, phrase = own.rpartition(_LEAD.decode())
-            hashes = word_hashes(lang, phrase.encode().split(b" "))
+def cells(phrases: pa.Array, longest: int) -> list[int]:
+    """Distinct cells of phrases that may grow: (words - 1) * 2 ** BITS + cell."""
+    found = set()
+    for own in phrases.to_pylist():
+        lang, _, phrase = own.rpartition(_LEAD)
+        words = phrase.split(b" ")
+        if len(words) < longest:
+            hashes = word_hashes(lang.decode(), words)
             grown = hashes[:1]
             for i in range(1, len(hashes)):
                 grown = longer_hash(grown, hashes[i:i + 1])
-            lengths.append(len(hashes))
-            at.append(int(cell(grown)[0]))
-        yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int32()), pa.array(at, pa.int64())], ["words", "cell"])
+            found.add(((len(words) - 1) << BITS) + int(cell(grown)[0]))
+    return sorted(found)
+
+
+def _frequent_rows(least: int):
+    """(phrase, total) of the phrases that reached the threshold, and the numbers of all words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(0):
+                rows = unpack(packed)
+                rows = rows.filter(pc.or_(pc.greater_equal(rows.column(1), least), pc.ends_with(rows.column(0), _LEAD)))
+                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.string()), rows.column(1)], ["phrase", "total"])
+
+    return run
 
 
 def _distinct_in(*columns: str) -> dict[str, str]:
@@ -196,7 +298,7 @@ def _distinct_in(*columns: str) -> dict[str, str]:
     return {f"parquet.enable.dictionary#{c}": "false" for c in columns}
 
 
-_STATE = "phrase string, total long, first int, newly boolean"
+_PACKED = "bucket int, old boolean, packed binary"
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, together: int = TOGETHER,
@@ -204,46 +306,43 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards
     """(lang, words, phrase, total) of all phrases up to `longest` words that stand `least` times; words 0: all words of the language."""
     spark = docs.sparkSession
     dealt = work_dir(spark, "shards")
-    block = "lang string, shard int, words array<binary>, hashes array<bigint>, ids array<int>"
+    block = "lang string, shard int, bytes bigint, words array<binary>, hashes array<bigint>, ids array<int>"
     (docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
      .mapInArrow(_blocks(shards, together), block).write.partitionBy("shard").options(**_distinct_in("words.list.element", "hashes.list.element")).parquet(dealt))
     corpus = spark.read.schema(block).parquet(dealt)
+    size = corpus.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(spark.sparkContext.defaultParallelism, size // BUCKET + 1)
     reached = [np.zeros(1 << BITS, np.uint8) for _ in range(longest - 1)]
-    own = F.substring_index("phrase", _LEAD.decode(), -1)
-    words = F.when(own == "", 0).otherwise(F.length(own) - F.length(F.translate(own, " ", "")) + 1)
-    state, held, scan, latest = spark.createDataFrame([], _STATE), None, 0, -1
+    state, scan, latest, schema = None, 0, -1, f"{_PACKED}, cells array<bigint>"
     while scan < shards or scan <= latest + shards:
         sent = spark.sparkContext.broadcast(reached)
-        fresh = corpus.where(F.col("shard") == scan % shards).select("lang", "words", "hashes", "ids").mapInArrow(
-            _scanner(scan, sent, shards), "phrase string, fresh long")
-        none = F.lit(None)
-        union = state.select("phrase", "total", "first", F.lit(0).cast("long").alias("fresh")).unionByName(
-            fresh.select("phrase", none.cast("long").alias("total"), none.cast("int").alias("first"), "fresh"))
-        met = union.groupBy("phrase").agg(
-            F.coalesce(F.max("total"), F.lit(0)).alias("old"), F.max("first").alias("since"), F.sum("fresh").alias("fresh"))
-        first = F.coalesce("since", F.lit(scan))
-        total = F.col("old") + F.when(first + shards > scan, F.col("fresh")).otherwise(0)
-        merged = (met.select("phrase", total.alias("total"), first.alias("first"), ((F.col("old") < least) & (total >= least)).alias("newly"))
-                  .where((F.col("first") + shards - 1 > scan) | (F.col("total") >= least) | F.endswith("phrase", F.lit(_LEAD.decode()))))
+        rows = corpus.where(F.col("shard") == scan % shards).select("lang", "words", "hashes", "ids").mapInArrow(
+            _scanner(scan, sent, shards, buckets), _PACKED)
+        if state:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(state).drop("cells"))
         path = work_dir(spark, "counts")
-        merged.write.options(**_distinct_in("phrase")).parquet(path)
-        state = spark.read.schema(_STATE).parquet(path)
-        if held:
-            remove(spark, held)
-        held = path
+        (rows.repartitionById(buckets, "bucket").mapInArrow(_merger(scan, shards, least, longest), schema)
+         .write.options(compression="none", **_distinct_in("packed")).parquet(path))
+        if state:
+            remove(spark, state)
+        state = path
         sent.destroy()
         # At most one row for each cell.
-        hit = (state.where("newly").where(words.between(1, longest - 1)).select("phrase")
-               .mapInArrow(_cells, "words int, cell long").distinct().toArrow())
+        hit = spark.read.schema(schema).parquet(state).select(F.explode("cells").alias("cell")).distinct().toArrow()
         if len(hit):
             latest = scan
-            lengths, cells = hit.column("words").to_numpy(), hit.column("cell").to_numpy()
+            found = hit.column("cell").to_numpy()
             for n in range(1, longest):
-                reached[n - 1][cells[lengths == n]] = scan + 1
+                reached[n - 1][found[found >> BITS == n - 1] & ((1 << BITS) - 1)] = scan + 1
         scan += 1
     remove(spark, dealt)
+    counted = spark.read.schema(schema).parquet(state).select("packed").mapInArrow(_frequent_rows(least), "phrase string, total long")
+    own = F.substring_index("phrase", _LEAD.decode(), -1)
+    words = F.when(own == "", 0).otherwise(F.length(own) - F.length(F.translate(own, " ", "")) + 1)
     of = F.substring("phrase", F.lit(1), F.length("phrase") - F.length(own) - 1)
-    return state.where((F.col("total") >= least) | (own == "")).select(of.alias("lang"), words.alias("words"), own.alias("phrase"), "total")
+    counted = cut_lineage(counted.select(of.alias("lang"), words.alias("words"), own.alias("phrase"), "total"), "frequent")
+    remove(spark, state)
+    return counted
 
 
 def _run(words: Column, start: Column, n: Column) -> Column:

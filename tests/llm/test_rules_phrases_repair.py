@@ -322,6 +322,16 @@ def test_a_phrase_that_becomes_frequent_in_the_last_scan_is_counted_whole(spark)
     assert got[4, "alpha beta gamma delta"] == 30 and got[2, "alpha beta"] == 31 and got[1, "gamma"] == 31 and got[0, ""] == 123
 
 
+def test_counts_of_a_bucket_are_merged_in_arrow():
+    """Each scan's counts were rows that Spark shuffled and added up one by one; they are packed by bucket now."""
+    old = pa.table({"phrase": [b"en\na", b"en\nb", b"en\nc"], "total": [28, 40, 5], "first": [1, 0, 0]}, schema=collocations._TOTALS)
+    fresh = pa.table({"phrase": [b"en\na", b"en\nd", b"en\nb", b"en\n", b"en\na"], "fresh": [1, 3, 9, 7, 1]}, schema=collocations._FRESH)
+    rows, newly = collocations.merged(old, fresh, 4, 4, 30)
+    assert rows.to_pylist() == [{"phrase": p, "total": n, "first": f} for p, n, f in (
+        (b"en\na", 30, 1), (b"en\nb", 40, 0), (b"en\nd", 3, 4), (b"en\n", 7, 4))] and newly.to_pylist() == [b"en\na"]
+    assert collocations.unpack(pa.scalar(collocations.pack(rows), pa.binary())).equals(rows)
+
+
 def test_phrases_of_odd_tables(spark, odd):
     assert collocations.collocations(collocations.frequent(odd.where("false")), 10).collect() == []
     counted = collocations.frequent(odd)
