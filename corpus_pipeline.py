@@ -4,6 +4,7 @@ Five stages, each over all rows that the one before kept. Columns of the
 documents, also extra ones, pass through all stages but the last. Rows without
 id have no copies and no contamination; rows without text leave at the language
 stage at the latest. Of rows that repeat an id, that of the smallest checksum stays.
+Stages that send texts through Python lower the session's rows of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from proofloom.llm import neardup, pieces, profiles, ranking, templates
 from proofloom.llm.common import held_out, small, table
 from proofloom.llm.queries import tokenizer_path
-from proofloom.session import work_dir
+from proofloom.session import small_batches, work_dir
 
 #: Language scores below this belong to texts that look like none of the learned languages.
 LEAST_LANGUAGE = 0.2
@@ -28,6 +29,7 @@ def _where(docs: DataFrame, value: Column, keep) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality by pairwise ranking."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out("doc_id", 5))
     ranker = ranking.train(docs, labels, "quality")
     return _where(docs, ranking.score(ranker, F.col("text")), lambda score: ranking.predicted(score) == 1)
@@ -35,6 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a text in one of the learned languages."""
+    small_batches(spark)
     known = profiles.learn(docs.where(~held_out("doc_id", 5)))
     return _where(docs, profiles.predict(known, F.col("text")),
                   lambda p: (p["lang"] != profiles.UNKNOWN) & (p["score"] >= LEAST_LANGUAGE))
@@ -42,6 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id."""
+    small_batches(spark)
     found = neardup.near_duplicates(docs)
     kept = docs.join(small(found.where("not kept").select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
     twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
@@ -62,6 +66,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as ids of the piece vocabulary, and the text that these ids decode to."""
+    small_batches(spark)
     both = docs.select("doc_id", pieces.round_trip(spark, F.col("text"), tokenizer_path()).alias("p"))
     return both.select("doc_id", F.size("p.ids").cast("long").alias("n_tokens"), "p.ids", "p.decoded")
 

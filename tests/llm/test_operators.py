@@ -728,3 +728,16 @@ def test_stages_on_odd_rows(spark, odd, empty):
     kept = corpus_pipeline.near_duplicates(spark, odd, SF)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 8, 10, 11, 12, None]))
     assert corpus_pipeline.encoded(spark, odd, SF).count() == len(ODD)
+
+
+def test_pipeline_lowers_the_rows_of_an_arrow_batch(spark):
+    """In sessions of others, executor and worker each held batches of 10,000 whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, then in (("10000", "512"), ("0", "512"), ("100", "100")):
+            spark.conf.set(key, given)
+            corpus_pipeline.encoded(spark, corpus_pipeline.table(spark, SF, "documents"), SF)
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, before)
