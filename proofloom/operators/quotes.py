@@ -20,7 +20,6 @@ MIN_SIMILARITY = 0.95
 MIN_QUOTE_CHARS = 20
 MAX_LEADING_CHARS = 8000
 SEARCH_WORDS = 10
-SEARCH_TOP = 10
 AUDIT_CONFIDENCE = 0.6
 
 GRAM_WORDS = 4
@@ -197,17 +196,19 @@ def match_cascade(pairs: DataFrame) -> DataFrame:
 
 
 def candidate_chunks(proposals: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(quote_id, doc_id, chunk_index, rank): chunks of the quotation's own paper to search.
+    """(quote_id, doc_id, chunk_index, rank): all chunks of the quotation's own paper, in the order of search.
 
-    These are the ranked ones for its first words, or all chunks when ranking
-    yields none. No text is carried.
+    Those ranked for its first words come first, the others follow in text
+    order. No text is carried.
     """
     ask = proposals.select(F.col("quote_id").alias("query_id"), "doc_id", tokenize(P.first_words("quote", SEARCH_WORDS)).alias("terms"))
-    ranked = cut_lineage(P.rank_passages(ask, chunks, SEARCH_TOP).select(
+    ranked = cut_lineage(P.rank_passages(ask, chunks, None).select(
         F.col("query_id").alias("quote_id"), "doc_id", "chunk_index", "rank"), "ranked-chunks")
-    unranked = proposals.select("quote_id", "doc_id").join(ranked.select("quote_id").distinct(), "quote_id", "left_anti")
-    every = unranked.join(chunks.select("doc_id", "chunk_index"), "doc_id").withColumn("rank", F.col("chunk_index") + 1)
-    return ranked.unionByName(every.select(*ranked.columns))
+    every = proposals.select("quote_id", "doc_id").join(chunks.select("doc_id", "chunk_index"), "doc_id").distinct()
+    last = ranked.groupBy("quote_id").agg(F.max("rank").alias("last"))
+    others = every.join(ranked, ["quote_id", "doc_id", "chunk_index"], "left_anti").join(last, "quote_id", "left").withColumn(
+        "rank", F.coalesce("last", F.lit(0)) + F.col("chunk_index") + 1)
+    return ranked.unionByName(others.select(*ranked.columns))
 
 
 def locate_quotes(proposals: DataFrame, chunks: DataFrame,

@@ -229,3 +229,19 @@ def test_rounds_go_on_after_a_restart(spark, tmp_path):
         idle[run] = 0 if added else idle.get(run, 0) + 1
         want[run, n] = (idle[run], idle[run] >= 3)
     assert {(r.run_id, r["round"]): (r.stagnant, r.stop) for r in got.collect()} == want
+
+
+def test_quotations_are_searched_in_all_chunks(spark):
+    """The first words of a quotation are frequent in twelve chunks and stand once in the one that holds it."""
+    start = "yield of the northern field under heavy rain was measured"
+    quote = start + " once more after Zanzibar closed"
+    frequent = (start + " again. ") * 55
+    text = frequent * 13 + "Nothing else grew on those hills that year. " * 60 + quote + ". " + "Nothing else grew there. " * 400
+    docs = spark.createDataFrame([(1, "Results\n" + text)], "doc_id long, text string")
+    asked = spark.createDataFrame([(5, 1, quote, 0, "high", "")], "quote_id long, doc_id long, quote string, pos int, importance string, context string")
+    chunks = P.chunk_offsets(docs)
+    pairs = Q.candidate_chunks(asked, chunks).collect()
+    assert sorted(r.chunk_index for r in pairs) == list(range(chunks.count()))
+    assert len({r["rank"] for r in pairs}) == len(pairs)
+    row = Q.verify_quotes(asked, docs).first()
+    assert (row.verification_method, row.quote, row.verified) == ("exact", quote, True)
