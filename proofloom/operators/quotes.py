@@ -153,23 +153,28 @@ MATCH_TYPE = "struct<method:string,start:int,end:int,confidence:double,similarit
 
 
 def approximate_matches(pairs: DataFrame, min_similarity: float = 0.0,
-                        where: Column | None = None) -> DataFrame:
+                        where: Column | None = None, reached: bool = False) -> DataFrame:
     """Add `a`, the outcome of the approximate strategies on each pair.
 
     With a least similarity, pairs that cannot reach it are skipped by a
-    necessary condition on shared character grams. Pairs that fail `where`
+    necessary condition on shared character grams; with `reached`, by that of an
+    expanded match, and outcomes below it count as none. Pairs that fail `where`
     reach the Python step as nulls and cost nothing there.
     """
+    possible = fuzzy.sentence_may_reach if reached else fuzzy.may_reach
+
     @F.pandas_udf(MATCH_TYPE)
     def match(quotes: pd.Series, chunks: pd.Series) -> pd.DataFrame:
         rows = []
         for q, c in zip(quotes, chunks):
             hit = None
-            if q and c and (min_similarity <= 0 or fuzzy.may_reach(q, c, min_similarity)):
+            if q and c and (min_similarity <= 0 or possible(q, c, min_similarity)):
                 hit = fuzzy.approximate_match(q, c)
             if hit:
                 method, start, end, confidence = hit
-                rows.append((method, start, end, confidence, fuzzy.similarity(q, c[start:end])))
+                hit = (method, start, end, confidence, fuzzy.similarity(q, c[start:end]))
+            if hit and not (reached and hit[-1] < min_similarity):
+                rows.append(hit)
             else:
                 rows.append((None, None, None, None, None))
         out = pd.DataFrame(rows, columns=["method", "start", "end", "confidence", "similarity"])
@@ -211,31 +216,70 @@ def candidate_chunks(proposals: DataFrame, chunks: DataFrame) -> DataFrame:
     return ranked.unionByName(others.select(*ranked.columns))
 
 
-def locate_quotes(proposals: DataFrame, chunks: DataFrame,
+#: Quotations of one paper that are tried in one task.
+TOGETHER = 256
+
+
+def with_texts(quotes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Quotations with the text of their paper, which moves to them once.
+
+    Papers with more than TOGETHER quotations are dealt over several tasks, each
+    with a copy of the text; the list of such papers is that many times shorter
+    than the quotations.
+    """
+    crowded = F.broadcast(quotes.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("_parts")).where("_parts > 1"))
+    parts = F.coalesce("_parts", F.lit(1))
+    asked = quotes.join(crowded, "doc_id", "left").withColumn("_part", F.pmod(F.xxhash64("quote_id", "quote"), parts).cast("int")).drop("_parts")
+    texts = docs.select("doc_id", F.col(text).alias("text")).join(crowded, "doc_id", "left").select(
+        "doc_id", "text", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return asked.join(spread(texts, "doc_id", "_part"), ["doc_id", "_part"]).drop("_part")
+
+
+def chunk_matches(quotes: DataFrame, docs: DataFrame, text: str = "text", threshold: float = MIN_SIMILARITY) -> DataFrame:
+    """All matches of each quotation in the chunks of its own paper, with offsets in the text.
+
+    Texts are cut and searched in the row where they met the quotation, so no
+    chunk is written or moved. A quotation with a verbatim match in a text needs
+    no approximate one there.
+    """
+    rows = with_texts(quotes, docs, text).withColumn("_c", P.chunks_of(F.col("text")))
+    tried = F.transform("_c", lambda c: F.struct(
+        c["chunk_index"].alias("chunk_index"), c["start"].alias("start"), c["chunk"].alias("chunk"),
+        verbatim_match(F.col("quote"), c["chunk"]).alias("v")))
+    kept = let(tried, lambda t: let(F.filter(t, lambda x: x["v"].isNotNull()), lambda sure: F.when(F.size(sure) > 0, sure).otherwise(t)))
+    # The outer form keeps the optimizer from testing for chunks first, which would search twice.
+    pairs = rows.select("quote_id", "doc_id", "quote", F.explode_outer(kept).alias("p")).select("quote_id", "doc_id", "quote", "p.*")
+    found = approximate_matches(pairs, threshold, F.col("v").isNull(), reached=True).where("v is not null or a is not null")
+    start, end = F.coalesce("v.start", "a.start"), F.coalesce("v.end", "a.end")
+    return found.select(
+        "quote_id", "doc_id", "quote", "chunk_index", F.col("v").isNotNull().alias("verbatim"), F.coalesce("v.method", "a.method").alias("method"),
+        F.when(F.col("v").isNotNull(), F.lit(1.0)).otherwise(F.col("a.similarity")).alias("similarity"),
+        (F.col("start") + start).alias("m_start"), (F.col("start") + end).alias("m_end"),
+        F.substring("chunk", start + 1, end - start).alias("matched"))
+
+
+def locate_quotes(proposals: DataFrame, docs: DataFrame, text: str = "text",
                   threshold: float = MIN_SIMILARITY) -> DataFrame:
-    """Best accepted match of each proposed quotation in its own paper."""
-    long_enough = proposals.where(F.length("quote") >= MIN_QUOTE_CHARS)
-    chunks = cut_lineage(chunks, "chunks")
-    pairs = cut_lineage(candidate_chunks(long_enough, chunks), "candidate-chunks")
-
-    def with_texts(rows: DataFrame) -> DataFrame:
-        return rows.join(long_enough.drop("doc_id"), "quote_id").join(
-            chunks.select("doc_id", "chunk_index", "start", "chunk"), ["doc_id", "chunk_index"])
-
-    def placed(rows: DataFrame, method: Column, similarity: Column, start: Column, end: Column) -> DataFrame:
-        return rows.select("quote_id", "doc_id", "quote", "rank", method.alias("method"), similarity.alias("similarity"),
-                           (F.col("start") + start).alias("m_start"), (F.col("start") + end).alias("m_end"),
-                           F.substring("chunk", start + 1, end - start).alias("matched"))
-
-    sure = with_texts(pairs).withColumn("v", verbatim_match(F.col("quote"), F.col("chunk"))).where("v is not null")
-    sure = cut_lineage(placed(sure, F.col("v.method"), F.lit(1.0), F.col("v.start"), F.col("v.end")), "verbatim-matches")
-    # A quotation with a verbatim match needs no approximate one.
-    open_pairs = pairs.join(sure.select("quote_id").distinct(), "quote_id", "left_anti")
-    near = approximate_matches(spread(with_texts(open_pairs), "quote_id", "chunk_index"), threshold).where("a is not null")
-    found = sure.unionByName(placed(near, F.col("a.method"), F.col("a.similarity"), F.col("a.start"), F.col("a.end")))
+    """Best accepted match of each proposed quotation in its own paper.
+
+    Of equally good matches the one in the chunk that is searched first counts;
+    the order of chunks is worked out for quotations with such matches only.
+    """
+    long_enough = cut_lineage(proposals.where(F.length("quote") >= MIN_QUOTE_CHARS).select("quote_id", "doc_id", "quote"), "long-quotes")
+    quotes = long_enough.select("quote_id", "doc_id").distinct().join(long_enough.select("quote_id", "quote").distinct(), "quote_id")
+    found = cut_lineage(chunk_matches(quotes, docs, text, threshold), "chunk-matches")
+    place = F.struct("doc_id", "chunk_index")
+    level = found.groupBy("quote_id", "verbatim", "similarity").agg((F.min(place) != F.max(place)).alias("tied"))
+    tied = level.groupBy("quote_id").agg(F.max_by("tied", F.struct("verbatim", "similarity")).alias("tied")).where("tied").select("quote_id")
+    asked = cut_lineage(long_enough.join(tied, "quote_id", "left_semi"), "tied-quotes")
+    if asked.isEmpty():
+        found = found.withColumn("rank", F.lit(0))
+    else:
+        chunks = P.chunk_offsets(docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi"), text)
+        found = found.join(candidate_chunks(asked, chunks), ["quote_id", "doc_id", "chunk_index"], "left")
     best = found.groupBy("quote_id").agg(F.max_by(F.struct(
         "doc_id", "quote", "method", "m_start", "m_end", "matched", "similarity"),
-        F.struct("similarity", -F.col("rank"))).alias("b")).select("quote_id", "b.*")
+        F.struct("verbatim", "similarity", -F.coalesce("rank", F.lit(0)), -F.col("m_start"))).alias("b")).select("quote_id", "b.*")
     return best.where(accept_match("similarity", "quote", "matched", threshold)).withColumn(
         "similarity", F.round("similarity", 4))
 
@@ -266,9 +310,7 @@ def verify_quotes(proposals: DataFrame, docs: DataFrame, text: str = "text",
 
     docs: doc_id, the text column, and optionally `abstract_only`.
     """
-    docs = docs.join(proposals.select("doc_id").distinct(), "doc_id", "left_semi")
-    chunks = P.chunk_offsets(docs, text)
-    found = locate_quotes(proposals, chunks)
+    found = locate_quotes(proposals, docs, text)
     only = F.col("abstract_only") if "abstract_only" in docs.columns else F.lit(False)
     maps = docs.select("doc_id", F.length(text).alias("text_chars"), sections(text).alias("section_map"),
                        only.alias("abstract_only"))

@@ -1,6 +1,7 @@
 """Steps run once, texts move once, and the memory of a task does not grow with the input."""
 
 import math
+import pathlib
 import random
 
 import numpy as np
@@ -16,6 +17,7 @@ from proofloom.operators import audit as U
 from proofloom.operators import passages as P
 from proofloom.operators import quotes as Q
 from proofloom.operators import registry as R
+from proofloom.session import work_dir
 
 
 def plan(df) -> str:
@@ -180,3 +182,42 @@ def test_texts_are_cut_in_slices_of_bytes(spark, monkeypatch):
         [(k, 2 * k, 2 * k + 2, t[2 * k:2 * k + 2]) for k in range((len(t) + 1) // 2)] for t in [t or "" for t in texts] + ["end"]]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted((r.doc_id, r.chunk) for r in P.chunk_offsets(docs).collect()) == [(i, t) for i, t in enumerate(texts) if t]
+
+
+def test_expanded_matches_are_never_skipped():
+    """The condition of one stretch holds for every expanded match that reaches the threshold."""
+    pick = random.Random(7)
+    words = "the yield of Dr. Smith's field rose by 3.5 percent in wet years e.g. here. Then? Rain! stopped \n\nResults\n and\nmore words".split(" ")
+    reached = 0
+    for _ in range(1500):
+        passage = " ".join(pick.choices(words, k=pick.randrange(5, 120)))
+        at = pick.randrange(len(passage))
+        quote = list(passage[at:at + pick.randrange(20, 160)])
+        for _ in range(pick.randrange(4)):
+            quote[pick.randrange(len(quote))] = pick.choice("xy 7")
+        quote = "".join(quote)
+        match = fuzzy.approximate_match(quote, passage)
+        if match and fuzzy.similarity(quote, passage[match[1]:match[2]]) >= 0.9:
+            reached += 1
+            assert fuzzy.sentence_may_reach(quote, passage, 0.9)
+    assert reached > 50
+
+
+def test_texts_are_not_written_for_verification(spark):
+    """Neither chunks nor tokens go to the shared folder; crowded papers and equal matches are settled all the same."""
+    line = F.concat_ws(" ", *[F.substring(F.sha2(F.concat("id", F.lit(f"-{i}")).cast("binary"), 256), 1, 30) for i in range(300)])
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("Results\n"), line, F.lit(". A line that is said two times here.\n" * 2)).alias("text"))
+    asked = docs.select(F.col("doc_id").alias("quote_id"), "doc_id", F.lit(0).alias("pos"), F.lit("high").alias("importance"), F.lit("").alias("context"), F.when(
+        F.col("doc_id") % 20 == 0, F.substring("text", 3700, 60)).when(F.col("doc_id") % 2 == 0, F.substring("text", 500, 60)).otherwise(F.lit("A line that is said two times here.")).alias("quote"))
+    crowd = spark.range(1000, 1600).select(F.col("id").alias("quote_id"), F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("pos"), F.lit("low").alias("importance"),
+                                           F.lit("").alias("context"), F.concat(F.lit("absent words of quotation "), "id").alias("quote"))
+    work_dir(spark, "any")
+    base = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+
+    def written() -> int:
+        return sum(f.stat().st_size for f in base.rglob("*.parquet"))
+
+    before = written()
+    rows = Q.verify_quotes(asked.unionByName(crowd), docs).collect()
+    assert written() - before < docs.agg(F.sum(F.length("text"))).first()[0] / 4
+    assert [r.verification_method for r in sorted(rows, key=lambda r: r.quote_id)] == ["exact"] * 200 + ["not_found"] * 600
