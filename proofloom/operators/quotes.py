@@ -119,7 +119,9 @@ def space_pattern(quote: Column | str) -> Column:
 
 def verbatim_match(quote: Column, passage: Column) -> Column:
     """Exact match, else a match but for case and white space, else null."""
-    found = F.regexp_substr(passage, space_pattern(quote))
+    # Each blank of the pattern takes a character, so no shorter passage can hold a match; the pattern of a very
+    # long quotation is too deep to compile.
+    found = F.when(F.length(passage) >= F.length(F.array_join(words(quote), " ")), F.regexp_substr(passage, space_pattern(quote)))
 
     def spaced(m: Column) -> Column:
         at = F.instr(passage, m)

@@ -245,3 +245,14 @@ def test_quotations_are_searched_in_all_chunks(spark):
     assert len({r["rank"] for r in pairs}) == len(pairs)
     row = Q.verify_quotes(asked, docs).first()
     assert (row.verification_method, row.quote, row.verified) == ("exact", quote, True)
+
+
+def test_very_long_quotations_are_tried(spark):
+    """A quotation longer than any chunk is not found; one of many short words is."""
+    letters = " ".join(random.Random(3).choices("abcdefgh", k=1300))
+    docs = spark.createDataFrame([(1, "Results\n" + "Orre " * 6000), (2, "Results\n" + letters + ". " + "More words follow. " * 300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, 1, "Orre " * 5500, 0, "high", ""), (2, 2, letters.replace(" ", "  "), 0, "high", "")],
+                                  "quote_id long, doc_id long, quote string, pos int, importance string, context string")
+    rows = {r.quote_id: r for r in Q.verify_quotes(asked, docs).collect()}
+    assert rows[1].verification_method == "not_found" and not rows[1].verified
+    assert (rows[2].verification_method, rows[2].quote) == ("normalized", letters)
